@@ -166,4 +166,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def passed(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, in their own columns."""
     judged = rules(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
-    return judged.filter("kept").select("_row.*")
+    # A filter goes below a projection unless that numbers rows; here it would
+    # take a copy of every expression along for each use of it.
+    numbered = judged.withColumn("_no", F.monotonically_increasing_id())
+    return numbered.filter("kept and _no >= 0").select("_row.*")
