@@ -1,0 +1,47 @@
+"""Term tables: one row for each token, so that matching is an equi-join."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as tx
+
+
+def occurrences(df: DataFrame, key: str) -> DataFrame:
+    """key, pos (from 1), raw and term of every token; terms under two letters are left out."""
+    each = df.select(key, F.posexplode(tx.tokens(F.col("text"))).alias("at", "raw"))
+    out = each.select(key, (F.col("at") + 1).alias("pos"), "raw", tx.term(F.lower("raw")).alias("term"))
+    return out.filter(F.length("term") > 1)
+
+
+def content(df: DataFrame, key: str) -> DataFrame:
+    """The occurrences that are no stop words."""
+    return occurrences(df, key).filter(~F.lower("raw").isin(tx.STOPWORDS) & ~F.col("term").isin(tx.STOPWORDS))
+
+
+def anchors(terms: DataFrame, key: str) -> DataFrame:
+    """Terms that carry a question: with a digit, long, or capitalised; else any of four letters."""
+    good = terms.filter(~F.col("term").isin(tx.NON_ANCHOR))
+    strong = F.col("raw").rlike("[0-9]") | (F.length("raw") >= 6) | F.col("raw").rlike("^[A-Z]")
+    marked = good.select(key, "term", strong.alias("strong"), F.length("raw").alias("n"))
+    some = marked.groupBy(key).agg(F.max("strong").alias("some"))
+    kept = marked.join(some, key).filter(F.col("strong") | (~F.col("some") & (F.col("n") >= 4)))
+    return kept.select(key, "term").distinct()
+
+
+def constraints(terms: DataFrame, key: str) -> DataFrame:
+    small = ~F.col("term").isin(tx.NON_ANCHOR) & F.col("raw").rlike("^[a-z]") & (F.length("term") >= 4)
+    return terms.filter(F.col("raw").rlike("[0-9]") | small).select(key, "term").distinct()
+
+
+def bigrams(terms: DataFrame, key: str) -> DataFrame:
+    """Different neighbouring pairs of content terms, without pairs of equals."""
+    after = F.lead("term").over(Window.partitionBy(key).orderBy("pos"))
+    pairs = terms.withColumn("next", after).filter("next is not null and next <> term")
+    return pairs.select(key, "term", "next").distinct()
+
+
+def term_sets(terms: DataFrame, key: str) -> DataFrame:
+    return terms.select(key, "term").distinct()

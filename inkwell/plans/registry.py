@@ -2,6 +2,213 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import sql
+from ..functions import text as tx
+from ..operators import retrieval
+from ..operators import terms as tm
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "vc05_lexical"
+
+
+def query(name: str, oracle: str, *tables: str):
+    """Registers f(table, ...) under the name."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+        ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def per_doc(name: str, value, oracle: str) -> None:
+    """A column of each document's text."""
+    query(name, f"SELECT doc_id, {oracle} AS value FROM documents", "documents")(lambda d: d.select("doc_id", value(F.col("text")).alias("value")))
+
+
+per_doc("tx01_normalize_ws", tx.collapse, r"trim(regexp_replace(text, '\s+', ' ', 'g'))")
+per_doc("tx02_tokens", lambda t: F.size(tx.tokens(F.lower(t))).cast("long"), "len(regexp_extract_all(lower(text), '[a-z0-9]+'))")
+per_doc("tx11_token_estimate", lambda t: F.greatest(F.lit(1), F.rint(F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) * 1.3)).cast("long"), r"CAST(greatest(1, round_even(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * 1.3, 0)) AS BIGINT)")
+per_doc("tx20_numeric_values", lambda t: F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"\$?[0-9][0-9,]*(?:\.[0-9]+)?%?"), F.lit(0)), lambda v: F.regexp_replace(v, "[$%,]", "")))), " "), r"coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\$?[0-9][0-9,]*(?:\.[0-9]+)?%?'), lambda v: regexp_replace(v, '[$%,]', '', 'g')))), ' '), '')")
+per_doc("flt08_page_number_lines", lambda t: F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x).rlike(r"(?i)^((page )?[0-9]+|[ivxlcdm]+)$"))).cast("long"), r"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '(?i)^((page )?[0-9]+|[ivxlcdm]+)$')))")
+per_doc("gr01_paragraph_offsets", lambda t: F.array_join(F.transform(F.split(t, "\n"), lambda x, i: F.length(x).cast("string")), ","), "array_to_string(list_transform(string_split(text, chr(10)), lambda x: CAST(length(x) AS VARCHAR)), ',')")
+
+
+@query("tx03_normalize_term", f"SELECT DISTINCT token, {sql.term('token')} AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)", "documents")
+def _(d):
+    return d.select(F.explode(tx.tokens(F.lower("text"))).alias("token")).distinct().select("token", tx.term(F.col("token")).alias("term"))
+
+
+@query("tx04_term_sets", f"SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS sequence FROM ({sql.content('documents', 'doc_id')}) GROUP BY 1", "documents")
+def _(d):
+    return tm.content(d, "doc_id").groupBy("doc_id").agg(F.countDistinct("term").alias("terms"), F.count("*").alias("sequence"))
+
+
+@query("tx06_anchor_terms", sql.anchors(sql.content("benchmark", "item_id"), "item_id"), "benchmark")
+def _(b):
+    return tm.anchors(tm.content(b, "item_id"), "item_id")
+
+
+@query("tx07_constraint_terms", sql.constraints(sql.content("benchmark", "item_id"), "item_id"), "benchmark")
+def _(b):
+    return tm.constraints(tm.content(b, "item_id"), "item_id")
+
+
+@query(
+    "tx08_named_subjects",
+    f"SELECT DISTINCT item_id, term FROM ({sql.occurrences('benchmark', 'item_id')}) WHERE regexp_matches(raw, '^[A-Z]') AND NOT (pos = 1 AND lower(raw) IN ({sql.STOP})) AND term NOT IN ({sql.STOP}) AND term NOT IN ({sql.PLAIN})",
+    "benchmark",
+)
+def _(b):
+    o = tm.occurrences(b, "item_id")
+    first = (F.col("pos") == 1) & F.lower("raw").isin(tx.STOPWORDS)
+    return o.filter(F.col("raw").rlike("^[A-Z]") & ~first & ~F.col("term").isin(tx.STOPWORDS + tx.NON_ANCHOR)).select("item_id", "term").distinct()
+
+
+@query(
+    "tx10_metadata_noise",
+    f"SELECT doc_id, round(CASE WHEN m = 0 THEN 0.0 ELSE least(1.0, m / n * 4 + CASE WHEN m >= 2 THEN 0.2 ELSE 0.0 END) END, 6) AS noise FROM (SELECT doc_id, count(*)::DOUBLE AS n, count(*) FILTER (term IN ({sql.META}))::DOUBLE AS m FROM ({sql.occurrences('documents', 'doc_id')}) GROUP BY 1)",
+    "documents",
+)
+def _(d):
+    n = tm.occurrences(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("term").isin(tx.METADATA)).alias("m"))
+    noise = F.least(F.lit(1.0), F.col("m") / F.col("n") * 4 + F.when(F.col("m") >= 2, 0.2).otherwise(0.0))
+    return n.select("doc_id", F.round(F.when(F.col("m") == 0, 0.0).otherwise(noise), 6).alias("noise"))
+
+
+@query("wn11_bigrams", f"SELECT item_id, count(*) AS pairs FROM (SELECT DISTINCT item_id, term, nxt FROM (SELECT item_id, term, lead(term) OVER (PARTITION BY item_id ORDER BY pos) AS nxt FROM ({sql.content('benchmark', 'item_id')})) WHERE nxt <> term) GROUP BY 1", "benchmark")
+def _(b):
+    return tm.bigrams(tm.content(b, "item_id"), "item_id").groupBy("item_id").agg(F.count("*").alias("pairs"))
+
+
+@query("src03_filename", "SELECT page_id, CASE WHEN b = '' THEN 'document.pdf' WHEN b LIKE '%.pdf' THEN b ELSE b || '.pdf' END AS filename FROM (SELECT page_id, regexp_replace(trim(list_extract(string_split(url, '/'), -1)), '[^A-Za-z0-9._-]+', '-', 'g') AS b FROM pages)", "pages")
+def _(p):
+    base = F.regexp_replace(F.trim(F.element_at(F.split("url", "/"), -1)), "[^A-Za-z0-9._-]+", "-")
+    return p.select("page_id", base.alias("b")).select("page_id", F.when(F.col("b") == "", "document.pdf").when(F.col("b").endswith(".pdf"), F.col("b")).otherwise(F.concat("b", F.lit(".pdf"))).alias("filename"))
+
+
+@query("src04_dedupe", "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY sha256(text)", "documents")
+def _(d):
+    return d.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("src06_cascade_delete", "SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", "conversations", "labels")
+def _(c, lab):
+    gone = lab.filter("toxic = 1").select(F.col("doc_id").alias("conv_id"))
+    return c.join(gone, "conv_id", "left_anti").select("conv_id", "turn")
+
+
+@query("src07_latest_job", "SELECT user_id, max(event_id) AS event_id FROM (SELECT user_id, event_id, rank() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r = 1 GROUP BY 1", "events")
+def _(e):
+    return e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", F.col("m.event_id").alias("event_id"))
+
+
+@query("jn01_chunk_document", "SELECT l.doc_id, l.quality, d.lang, d.source FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic = 0", "labels", "documents")
+def _(lab, d):
+    return lab.filter("toxic = 0").join(d.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "quality", "lang", "source")
+
+
+@query("jn04_page_overlap", "WITH s AS (SELECT conv_id, turn AS a, turn + 1 AS b FROM conversations) SELECT x.conv_id, x.a AS page, y.a AS sibling FROM s x JOIN s y ON x.conv_id = y.conv_id AND y.a <= x.b AND y.b >= x.a AND y.a <> x.a", "conversations")
+def _(c):
+    x = c.select("conv_id", F.col("turn").alias("page"))
+    y = c.select("conv_id", F.col("turn").alias("sibling"))
+    near = (F.col("sibling") <= F.col("page") + 1) & (F.col("sibling") + 1 >= F.col("page")) & (F.col("sibling") != F.col("page"))
+    return x.join(y, "conv_id").filter(near)
+
+
+@query("jn05_adjacent", "SELECT conv_id, turn, lag(turn) OVER w AS before, lead(turn) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)", "conversations")
+def _(c):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return c.select("conv_id", "turn", F.lag("turn").over(w).alias("before"), F.lead("turn").over(w).alias("after"))
+
+
+@query("jn07_term_semi", f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM ({sql.content('documents', 'doc_id')}) WHERE term IN (SELECT term FROM ({sql.content('benchmark', 'item_id')}) WHERE length(term) >= 8))", "documents", "benchmark")
+def _(d, b):
+    known = tm.content(b, "item_id").filter(F.length("term") >= 8).select("term").distinct()
+    return d.select("doc_id").join(tm.content(d, "doc_id").join(known, "term", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+@query("jn08_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", "documents", "labels")
+def _(d, lab):
+    return d.select("doc_id").join(lab, "doc_id", "left_anti")
+
+
+@query("ag01_boundary_counts", r"SELECT signature, count(*) AS n FROM (SELECT regexp_replace(trim(regexp_replace(lower(list_extract(string_split(text, chr(10)), 1)), '[0-9]', '#', 'g')), '[^a-z0-9# ]+', ' ', 'g') AS signature FROM conversations) GROUP BY 1 HAVING count(*) >= 3", "conversations")
+def _(c):
+    first = F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.get(F.split("text", "\n"), F.lit(0))), "[0-9]", "#")), "[^a-z0-9# ]+", " ")
+    return c.groupBy(first.alias("signature")).agg(F.count("*").alias("n")).filter("n >= 3")
+
+
+@query("ag04_rates", "SELECT quality, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n FROM labels GROUP BY 1", "labels")
+def _(lab):
+    return lab.groupBy("quality").agg(F.round(F.avg((F.col("toxic") == 1).cast("double")), 6).alias("rate"), F.count("*").alias("n"))
+
+
+@query("ag05_unsupported_precision", "SELECT round(count(*) FILTER (quality = 0 AND toxic = 1) / nullif(count(*) FILTER (quality = 0), 0)::DOUBLE, 6) AS unsupported_precision FROM labels", "labels")
+def _(lab):
+    both, said = F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)), F.count_if(F.col("quality") == 0)
+    return lab.agg(F.round(both / F.nullif(said, F.lit(0)), 6).alias("unsupported_precision"))
+
+
+@query("ag06_latency_percentiles", "SELECT event_type, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1", "events")
+def _(e):
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+
+
+@query("ag07_per_document", "SELECT d.source, count(*) AS questions, count(*) FILTER (quality = 0) AS failures FROM labels l JOIN documents d USING (doc_id) GROUP BY 1", "labels", "documents")
+def _(lab, d):
+    return lab.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("questions"), F.count_if(F.col("quality") == 0).alias("failures"))
+
+
+@query("vc01_hash_embedding", "SELECT doc_id, CAST(('0x' || substr(h, 1, 8))::UBIGINT % 128 AS BIGINT) AS dim, CAST(sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM (SELECT doc_id, sha256(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h FROM documents) GROUP BY 1, 2", "documents")
+def _(d):
+    return retrieval.hashed_embedding(d)
+
+
+DENSE_SQL = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5) QUALIFY rank <= 5"
+
+
+@query("wn01_dense_topk", DENSE_SQL, "embeddings")
+def _(v):
+    return retrieval.dense(v)
+
+
+LEXICAL_SQL = f"""
+WITH q AS ({sql.content('benchmark', 'item_id')}), d AS ({sql.content('documents', 'doc_id')}),
+qs AS (SELECT DISTINCT item_id, term FROM q), ds AS (SELECT DISTINCT doc_id, term FROM d),
+qa AS ({sql.anchors('SELECT * FROM q', 'item_id')}), qc AS ({sql.constraints('SELECT * FROM q', 'item_id')}),
+qp AS (SELECT DISTINCT item_id, term, nxt FROM (SELECT item_id, term, lead(term) OVER (PARTITION BY item_id ORDER BY pos) AS nxt FROM q) WHERE nxt <> term),
+dp AS (SELECT DISTINCT doc_id, term, nxt FROM (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM d) WHERE nxt <> term),
+m AS (SELECT item_id, doc_id, count(*)::DOUBLE AS n FROM qs JOIN ds USING (term) GROUP BY 1, 2),
+a AS (SELECT item_id, doc_id, count(*)::DOUBLE AS n FROM qa JOIN ds USING (term) GROUP BY 1, 2),
+c AS (SELECT item_id, doc_id, count(*)::DOUBLE AS n FROM qc JOIN ds USING (term) GROUP BY 1, 2),
+p AS (SELECT item_id, doc_id, count(*)::DOUBLE AS n FROM qp JOIN dp USING (term, nxt) GROUP BY 1, 2),
+s AS (SELECT m.item_id, m.doc_id, round(
+    m.n / (SELECT count(*) FROM qs x WHERE x.item_id = m.item_id) * 0.32 + m.n / dn.k * 0.08
+    + coalesce(a.n / (SELECT count(*) FROM qa x WHERE x.item_id = m.item_id), 0) * 0.35 + coalesce(a.n, 0) / dn.k * 0.1
+    + coalesce(p.n / (SELECT count(*) FROM qp x WHERE x.item_id = m.item_id), 0) * 0.2
+    + coalesce(c.n / (SELECT count(*) FROM qc x WHERE x.item_id = m.item_id), 0) * 0.35 + coalesce(c.n, 0) / dn.k * 0.08, 6) AS score
+  FROM m JOIN (SELECT doc_id, count(*) AS k FROM ds GROUP BY 1) dn ON dn.doc_id = m.doc_id
+  LEFT JOIN a ON a.item_id = m.item_id AND a.doc_id = m.doc_id LEFT JOIN c ON c.item_id = m.item_id AND c.doc_id = m.doc_id
+  LEFT JOIN p ON p.item_id = m.item_id AND p.doc_id = m.doc_id)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5"""
+
+
+@query(FLAGSHIP, LEXICAL_SQL, "benchmark", "documents")
+def _(b, d):
+    return retrieval.lexical(b, d)
+
+
+@query("vc04_rrf", f"WITH r1 AS (SELECT query_id, vec_id, rank FROM ({DENSE_SQL})), r2 AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS rank FROM r1) SELECT query_id, vec_id, round(0.6 / (20.0 + r1.rank) + 0.4 / (20.0 + r2.rank), 6) AS score FROM r1 FULL JOIN r2 USING (query_id, vec_id)", "embeddings")
+def _(v):
+    first = retrieval.dense(v)
+    second = retrieval.top(first.select("query_id", "vec_id"), "query_id", 5, F.desc("vec_id"))
+    return retrieval.fuse(first, second, "query_id", "vec_id")
