@@ -20,9 +20,10 @@ LENGTH - K bytes before, LENGTH from its start.
    in an interval of prefix length r whose texts before the anchor agree in l
    bytes and then differ are a maximal repeat of l + r bytes, with all its
    occurrences. Those of LENGTH bytes or more are the result.
-   K-grams with more than ``BUCKET`` different contexts (a phrase that a large
-   share of the corpus uses in different surroundings) go another exact way: the
-   contexts' windows are hashed and counted, so the group spreads over tasks.
+   K-grams with more than ``BUCKET`` different contexts, for which such trees
+   get deep, go another exact way: the contexts' windows are hashed and counted,
+   by one task, and beyond ``LARGE`` contexts (a phrase that a large share of the
+   corpus uses in different surroundings) by all, so the group spreads.
 4. The spans go back to all occurrences, and each text is cut.
 
 Edge cases: null and empty texts, and texts under LENGTH bytes, keep all; a text
@@ -41,7 +42,8 @@ from pyspark.sql import functions as F
 from .common import saved, small_side
 
 LENGTH, K = 400, 64
-BUCKET = 64
+#: Most contexts of a K-gram for which the tree is scanned, and for which one task counts windows.
+BUCKET, LARGE = 64, 4096
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -125,6 +127,25 @@ def covered(contexts: list[tuple[bytes, bytes]], length: int = LENGTH) -> list[l
     return [joined(s) for s in out]
 
 
+def counted(contexts: list[tuple[int, bytes]]) -> list[list[tuple[int, int]]]:
+    """The same spans as of covered(), from hashes of all windows."""
+    hashes, sizes = [], []
+    for before, text in contexts:
+        one, two = (w.view(np.uint64) for w in window_hashes(text))
+        lead = np.uint64(before) - np.arange(len(one), dtype=np.uint64)
+        hashes.append(one * _C1 ^ two * _C2 ^ lead * np.uint64(0xFF51AFD7ED558CCD))
+        sizes.append(len(one))
+    _, which, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    again = count[which] > 1
+    out, ends = [], np.cumsum([0, *sizes])
+    for (before, _), i, j in zip(contexts, ends[:-1], ends[1:], strict=True):
+        at = np.flatnonzero(again[i:j])
+        breaks = np.flatnonzero(np.diff(at) > LENGTH)
+        firsts, lasts = at[np.concatenate([[0], breaks + 1])] if len(at) else at, at[np.concatenate([breaks, [-1]])] if len(at) else at
+        out.append([(int(x) - before, int(y) - before + LENGTH) for x, y in zip(firsts, lasts, strict=True)])
+    return out
+
+
 def joined(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -164,12 +185,15 @@ def _occurrences(base: DataFrame) -> DataFrame:
     return long.mapInArrow(run, "_row long, _crc long, gram long, context long, at long, before int, after int")
 
 
-def _tree_spans(pieces: DataFrame) -> DataFrame:
-    """gram, context, spans from pieces (gram, context, before, text), by K-gram."""
+def _task_spans(pieces: DataFrame, bucket: int) -> DataFrame:
+    """gram, context, spans from pieces (gram, context, before, piece), by K-gram."""
 
     def run(batches):
         def done(gram, members):
-            spans = covered([(t[:a], t[a:]) for _, a, t in members])
+            if len(members) <= bucket:
+                spans = covered([(t[:a], t[a:]) for _, a, t in members])
+            else:
+                spans = counted([(a, t) for _, a, t in members])
             return [(gram, c, [{"a": a, "b": b} for a, b in s]) for (c, _, _), s in zip(members, spans, strict=True) if s]
 
         gram, members = None, []
@@ -234,7 +258,7 @@ def window_hashes(text: bytes) -> list[np.ndarray]:
     return out
 
 
-def spans(base: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def spans(base: DataFrame, bucket: int = BUCKET, large: int = LARGE) -> DataFrame:
     """_row, _crc and the repeated spans, array<struct<a, b>> in bytes, of each
     different row that has any. base: see _row()."""
     found = saved(_occurrences(base), "anchors")
@@ -250,10 +274,10 @@ def spans(base: DataFrame, bucket: int = BUCKET) -> DataFrame:
     lists = wanted.groupBy("_row", "_crc").agg(F.collect_list(F.struct("gram", "context", "m", "at", "before", "after")).alias("list"))
     lists = small_side(saved(lists, "places"), 50_000).withColumnsRenamed({"_row": "_r", "_crc": "_c"})
     holders = base.join(lists, (base["_row"] == lists["_r"]) & (base["_crc"] == lists["_c"])).select("text", "list")
-    some = _tree_spans(_pieces(holders.withColumn("list", F.filter("list", lambda p: p["m"] <= bucket))))
-    if not sizes.filter(F.col("m") > bucket).isEmpty():
-        large = _pieces(holders.withColumn("list", F.filter("list", lambda p: p["m"] > bucket)))
-        some = some.unionByName(_window_spans(large.dropDuplicates(["gram", "context"])))
+    some = _task_spans(_pieces(holders.withColumn("list", F.filter("list", lambda p: p["m"] <= large))), bucket)
+    if not sizes.filter(F.col("m") > large).isEmpty():
+        most = _pieces(holders.withColumn("list", F.filter("list", lambda p: p["m"] > large)))
+        some = some.unionByName(_window_spans(most.dropDuplicates(["gram", "context"])))
     each = some.unionByName(whole).groupBy("gram", "context").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     each = small_side(saved(_merged(each, "gram long, context long"), "relative"))
     moved = F.transform("spans", lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"]).alias("b")))
