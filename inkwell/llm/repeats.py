@@ -43,7 +43,8 @@ from .common import saved, small_side
 
 LENGTH, K = 400, 64
 #: Most contexts of a K-gram for which the tree is scanned, and for which one task counts windows.
-BUCKET, LARGE = 64, 4096
+#: The second bounds memory: 2^15 contexts have 2^15 * 337 windows, 88 MB of hashes.
+BUCKET, LARGE = 64, 1 << 15
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
