@@ -11,8 +11,10 @@ from ..functions import text as tx
 
 def occurrences(df: DataFrame, key: str) -> DataFrame:
     """key, pos (from 1), raw and term of every token; terms under two letters are left out."""
-    each = df.select(key, F.posexplode(tx.tokens(F.col("text"))).alias("at", "raw"))
-    out = each.select(key, (F.col("at") + 1).alias("pos"), "raw", tx.term(F.lower("raw")).alias("term"))
+    # Within the array each term is worked out once; filters don't copy it below the explode.
+    both = F.transform(tx.tokens(F.col("text")), lambda t: F.struct(t.alias("raw"), tx.term(F.lower(t)).alias("term")))
+    each = df.select(key, F.posexplode(both).alias("at", "t"))
+    out = each.select(key, (F.col("at") + 1).alias("pos"), "t.raw", "t.term")
     return out.filter(F.length("term") > 1)
 
 
