@@ -100,8 +100,13 @@ def identify(
     base = docs.select("doc_id", "text", "lang")
     may = base.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     ids = may.select("doc_id", "lang", F.xxhash64("doc_id").alias("_o"))
+    wanted = max(per_language, sample // 4)
+    # A language may hold most rows: hashes are even, so its least ones are under a limit that follows from its
+    # count, and ranking sees about 4 times the rows wanted, whatever the size. Languages are few thousand at most.
+    limit = ids.groupBy("lang").agg((F.least(F.lit(1.0), 4.0 * wanted / F.count("*")) * 2.0**64 - 2.0**63).alias("_limit"))
+    ids = ids.join(limit, "lang").filter(F.col("_o") <= F.col("_limit")).drop("_limit")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_o", "doc_id"))
-    chosen = ids.withColumn("_n", nth).filter(F.col("_n") <= max(per_language, sample // 4)).orderBy("_n", "lang").limit(max(sample, per_language * languages)).collect()
+    chosen = ids.withColumn("_n", nth).filter(F.col("_n") <= wanted).orderBy("_n", "lang").limit(max(sample, per_language * languages)).collect()
     heads = {r.doc_id for r in chosen if r._n <= per_language}
     train = [(r.doc_id,) for r in chosen[:sample]]
     if not chosen:
