@@ -1 +1,4 @@
 """Composed plans and the registry of queries."""
+
+from . import registry  # noqa: F401, E402  (first: it holds the tables of queries)
+from . import passages  # noqa: F401, E402, I001

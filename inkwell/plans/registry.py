@@ -39,7 +39,6 @@ per_doc("tx02_tokens", lambda t: F.size(tx.tokens(F.lower(t))).cast("long"), "le
 per_doc("tx11_token_estimate", lambda t: F.greatest(F.lit(1), F.rint(F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) * 1.3)).cast("long"), r"CAST(greatest(1, round_even(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * 1.3, 0)) AS BIGINT)")
 per_doc("tx20_numeric_values", lambda t: F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"\$?[0-9][0-9,]*(?:\.[0-9]+)?%?"), F.lit(0)), lambda v: F.regexp_replace(v, "[$%,]", "")))), " "), r"coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\$?[0-9][0-9,]*(?:\.[0-9]+)?%?'), lambda v: regexp_replace(v, '[$%,]', '', 'g')))), ' '), '')")
 per_doc("flt08_page_number_lines", lambda t: F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x).rlike(r"(?i)^((page )?[0-9]+|[ivxlcdm]+)$"))).cast("long"), r"len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '(?i)^((page )?[0-9]+|[ivxlcdm]+)$')))")
-per_doc("gr01_paragraph_offsets", lambda t: F.array_join(F.transform(F.split(t, "\n"), lambda x, i: F.length(x).cast("string")), ","), "array_to_string(list_transform(string_split(text, chr(10)), lambda x: CAST(length(x) AS VARCHAR)), ',')")
 
 
 @query("tx03_normalize_term", f"SELECT DISTINCT token, {sql.term('token')} AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)", "documents")
