@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_side
+
 LETTER = re.compile(r"[^\W\d_]")
 WEIGHTS = (0.5, 1.0, 2.0)  # of n = 1, 2, 3
 RIDGE = 1e-2
@@ -104,7 +106,7 @@ def identify(
     # A language may hold most rows: hashes are even, so its least ones are under a limit that follows from its
     # count, and ranking sees about 4 times the rows wanted, whatever the size. Languages are few thousand at most.
     limit = ids.groupBy("lang").agg((F.least(F.lit(1.0), 4.0 * wanted / F.count("*")) * 2.0**64 - 2.0**63).alias("_limit"))
-    ids = ids.join(limit, "lang").filter(F.col("_o") <= F.col("_limit")).drop("_limit")
+    ids = ids.join(small_side(limit), "lang").filter(F.col("_o") <= F.col("_limit")).drop("_limit")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_o", "doc_id"))
     chosen = ids.withColumn("_n", nth).filter(F.col("_n") <= wanted).orderBy("_n", "lang").limit(max(sample, per_language * languages)).collect()
     heads = {r.doc_id for r in chosen if r._n <= per_language}
