@@ -20,8 +20,8 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]+"), F.lit(0))
 
 
-def term(token: Column) -> Column:
-    """The normal form of a lower-case token: the first suffix rule that fits, then a final e."""
+def stem(token: Column) -> Column:
+    """A lower-case token after the first suffix rule that fits."""
     n = F.length(token)
     cut = lambda k: F.substring(token, F.lit(1), n - k)
     ends = lambda s, over: (n > over) & token.endswith(s)
@@ -30,7 +30,7 @@ def term(token: Column) -> Column:
         twice = (F.length(t) >= 2) & (F.right(t, F.lit(1)) == F.substring(t, F.length(t) - 1, F.lit(1)))
         return F.when(twice, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
 
-    stem = (
+    return (
         F.when(ends("ies", 5), F.concat(cut(3), F.lit("y")))
         .when(ends("ing", 4), single(cut(3)))
         .when(ends("ed", 3), single(cut(2)))
@@ -39,4 +39,12 @@ def term(token: Column) -> Column:
         .when(ends("ion", 5), cut(3))
         .otherwise(token)
     )
+
+
+def without_e(stem: Column) -> Column:
     return F.when((F.length(stem) > 5) & stem.endswith("e"), F.substring(stem, F.lit(1), F.length(stem) - 1)).otherwise(stem)
+
+
+def term(token: Column) -> Column:
+    """The normal form of a lower-case token: the first suffix rule that fits, then a final e."""
+    return without_e(stem(token))

@@ -19,28 +19,40 @@ def overlaps(questions: DataFrame, passages: DataFrame, name: str) -> DataFrame:
     return questions.join(passages, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias(name))
 
 
+#: Rows of a side that may be broadcast; a larger side is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it was counted to have few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def lexical(questions: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
-    """The best k documents of each question by weighted term, anchor, constraint and pair overlap."""
-    q, d = tm.content(questions, "item_id"), tm.content(documents, "doc_id")
-    q_set, d_set = tm.term_sets(q, "item_id"), tm.term_sets(d, "doc_id")
-    q_anchor, q_limit = tm.anchors(q, "item_id"), tm.constraints(q, "item_id")
-    q_pair, d_pair = tm.bigrams(q, "item_id"), tm.bigrams(d, "doc_id")
-    count = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
-    # One pass over the matches: each question term knows whether it is an anchor or a constraint.
-    kinds = q_set.join(q_anchor.withColumn("a", F.lit(1)), ["item_id", "term"], "left").join(q_limit.withColumn("c", F.lit(1)), ["item_id", "term"], "left")
-    met = kinds.join(d_set, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.count("a").alias("na"), F.count("c").alias("nc"))
-    paired = q_pair.join(d_pair, ["term", "next"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("np"))
-    out = met.join(paired, ["item_id", "doc_id"], "left")
-    for df, name in ((q_set, "qn"), (q_anchor, "qa"), (q_limit, "qc"), (q_pair, "qp")):
-        out = out.join(count(df, "item_id", name), "item_id", "left")
-    out = out.join(count(d_set, "doc_id", "dn"), "doc_id")
+    """The best k documents of each question by weighted term, anchor, constraint and pair overlap.
+
+    Terms and pairs are features of one table, so documents are exchanged once,
+    by doc_id, and matched, counted and scored where they then are."""
+    q = tm.content(questions, "item_id")
+    mark = lambda df, name: df.select("item_id", "term", F.lit("").alias("next"), F.lit(1).alias(name))
+    key = ["item_id", "term", "next"]
+    wanted = tm.features(questions, "item_id").join(mark(tm.anchors(q, "item_id"), "a"), key, "left").join(mark(tm.constraints(q, "item_id"), "c"), key, "left")
+    alone = F.col("next") == ""
+    counts = (F.count_if(alone), F.count("a"), F.count("c"), F.count_if(~alone))
+    totals = wanted.groupBy("item_id").agg(*(c.alias(n) for c, n in zip(counts, ("qn", "qa", "qc", "qp"), strict=True)))
+    wanted = small_side(wanted)
+
+    size = F.count_if(alone).over(Window.partitionBy("doc_id")).alias("dn")
+    met = tm.features(documents, "doc_id").select("doc_id", "term", "next", size).join(wanted, ["term", "next"])
+    met = met.groupBy("doc_id", "item_id").agg(F.max("dn").alias("dn"), *(c.alias(n) for c, n in zip(counts, ("n", "na", "nc", "np"), strict=True)))
+    out = met.filter("n > 0").join(small_side(totals), "item_id")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     score = (
         share("n", "qn") * 0.32
         + share("n", "dn") * 0.08
         + share("na", "qa") * 0.35
         + share("na", "dn") * 0.1
-        + F.coalesce(share("np", "qp"), F.lit(0.0)) * 0.2
+        + share("np", "qp") * 0.2
         + share("nc", "qc") * 0.35
         + share("nc", "dn") * 0.08
     )
@@ -59,7 +71,7 @@ def dense(vectors: DataFrame, queries: int = 5, k: int = 5) -> DataFrame:
 
 def hashed_embedding(documents: DataFrame, dimensions: int = 128) -> DataFrame:
     """doc_id, dim and signed count of the hashing embedding, before it is normalised."""
-    each = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
+    each = tm.gathered(documents, "doc_id").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
     counted = each.groupBy("doc_id", "t").count()
     h = F.sha2("t", 256)
     number = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")

@@ -9,13 +9,19 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """key and text, exchanged by key: texts are smaller than their tokens, and
+    what groups tokens by key afterwards needs no exchange of its own."""
+    return df.select(key, "text").repartition(key)
+
+
 def occurrences(df: DataFrame, key: str) -> DataFrame:
     """key, pos (from 1), raw and term of every token; terms under two letters are left out."""
-    # Within the array each term is worked out once; filters don't copy it below the explode.
-    both = F.transform(tx.tokens(F.col("text")), lambda t: F.struct(t.alias("raw"), tx.term(F.lower(t)).alias("term")))
-    each = df.select(key, F.posexplode(both).alias("at", "t"))
-    out = each.select(key, (F.col("at") + 1).alias("pos"), "t.raw", "t.term")
-    return out.filter(F.length("term") > 1)
+    each = df.select(key, F.posexplode(tx.tokens(F.col("text"))).alias("at", "raw"))
+    stems = each.select(key, (F.col("at") + 1).alias("pos"), "raw", tx.stem(F.lower("raw")).alias("stem"), F.monotonically_increasing_id().alias("_no"))
+    # Filters stay above a projection that numbers rows, so none of them works the term out again.
+    out = stems.withColumn("term", tx.without_e(F.col("stem"))).filter((F.length("term") > 1) & (F.col("_no") >= 0))
+    return out.select(key, "pos", "raw", "term")
 
 
 def content(df: DataFrame, key: str) -> DataFrame:
@@ -45,5 +51,16 @@ def bigrams(terms: DataFrame, key: str) -> DataFrame:
     return pairs.select(key, "term", "next").distinct()
 
 
+def features(df: DataFrame, key: str) -> DataFrame:
+    """key, term, next: the different content terms (next is empty) and neighbouring pairs.
+
+    One exchange, of the texts by key; what groups by key after it needs no other."""
+    after = F.lead("term").over(Window.partitionBy(key).orderBy("pos"))
+    pairs = content(gathered(df, key), key).select(key, "pos", "term", after.alias("after"))
+    alone, pair = F.struct("term", F.lit("").alias("next")), F.struct("term", F.col("after").alias("next"))
+    both = F.when(F.col("after") != F.col("term"), F.array(alone, pair)).otherwise(F.array(alone))
+    return pairs.select(key, F.inline(both)).distinct()
+
+
 def term_sets(terms: DataFrame, key: str) -> DataFrame:
     return terms.select(key, "term").distinct()

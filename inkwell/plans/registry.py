@@ -48,7 +48,7 @@ def _(d):
 
 @query("tx04_term_sets", f"SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS sequence FROM ({sql.content('documents', 'doc_id')}) GROUP BY 1", "documents")
 def _(d):
-    return tm.content(d, "doc_id").groupBy("doc_id").agg(F.countDistinct("term").alias("terms"), F.count("*").alias("sequence"))
+    return tm.content(tm.gathered(d, "doc_id"), "doc_id").groupBy("doc_id").agg(F.countDistinct("term").alias("terms"), F.count("*").alias("sequence"))
 
 
 @query("tx06_anchor_terms", sql.anchors(sql.content("benchmark", "item_id"), "item_id"), "benchmark")
