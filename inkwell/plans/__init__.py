@@ -2,3 +2,4 @@
 
 from . import registry  # noqa: F401, E402  (first: it holds the tables of queries)
 from . import passages  # noqa: F401, E402, I001
+from . import answers  # noqa: F401, E402, I001
