@@ -114,9 +114,9 @@ def disclosures(docs: DataFrame, seen: DataFrame, support: int) -> DataFrame:
     pairs = saved(pairs.filter(F.col("contexts") >= support).drop("contexts"), "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    terms = small_side(saved(pairs.select("term").distinct(), "terms"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
-    n_t = docs.select(F.explode(words).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted in each task before any join, so that a task sends a row for each different word.
+    n_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n = float(docs.count())
     pmi = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
     info = F.log2(F.lit(n) / F.col("n_e"))
