@@ -9,10 +9,9 @@ each, a value of the item must stand for one value of the document wherever it
 recurs (slot consistency). A document is contaminated by an item if consistent
 alignments cover ``coverage`` of the item's windows.
 
-Two passes: the first looks up every ``STRIDE``-th window of every document, so
-that a shared run of WINDOW + STRIDE - 1 = 11 tokens is always met; the second
-takes all windows of the documents found. Items under 11 tokens are looked up
-whole, at every position.
+Two passes: the first looks up every window of every document, so that what is
+met doesn't depend on where it stands; the second aligns the windows of the
+documents found. Items under ``WHOLE`` = 11 tokens are looked up whole.
 
 Edge cases: null and empty texts match nothing; items under ``LEAST`` tokens, or
 windows with fewer literal tokens than that, say too little and match nothing;
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed, let, saved, small_side
 
-WINDOW, STRIDE, LEAST = 8, 4, 4
+WINDOW, WHOLE, LEAST = 8, 11, 4
 COVERAGE, CONSISTENCY = 0.5, 0.8
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 MARKS = f"{NUMBER}-{UNIT}"
@@ -53,35 +52,34 @@ def templates(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.when(t.rlike(f"^[{MARKS}]"), F.substring(t, 1, 1)).otherwise(t))
 
 
-def _hash(temps: Column, start: Column, size: int) -> Column:
-    return F.xxhash64(F.slice(temps, start + 1, size))
+def hashed(temps: Column) -> Column:
+    """The hash of each token; a window's hash is that of these numbers."""
+    return F.transform(temps, lambda t: F.xxhash64(t))
 
 
-def _starts(n: Column, size: int, stride: int = 1) -> Column:
-    return F.when(n >= size, F.sequence(F.lit(0), n - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def _starts(n: Column, size: int) -> Column:
+    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
 
 def index(benchmark: DataFrame) -> DataFrame:
     """item_id, pos, size, hash and tokens of each window of the benchmark."""
-    whole = WINDOW + STRIDE - 1
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST)
     items = items.withColumn("u", templates(F.col("t"))).withColumn("n", F.size("t"))
-    long = items.filter(F.col("n") >= whole).withColumn("pos", F.explode(_starts(F.col("n"), WINDOW))).withColumn("size", F.lit(WINDOW))
-    short = items.filter(F.col("n") < whole).withColumn("pos", F.lit(0)).withColumn("size", F.col("n"))
+    long = items.filter(F.col("n") >= WHOLE).withColumn("pos", F.explode(_starts(F.col("n"), WINDOW))).withColumn("size", F.lit(WINDOW))
+    short = items.filter(F.col("n") < WHOLE).withColumn("pos", F.lit(0)).withColumn("size", F.col("n"))
     cut = long.unionByName(short).withColumn("win", F.slice("u", F.col("pos") + 1, F.col("size")))
     literal = F.size(F.filter("win", lambda t: ~t.rlike(f"^[{MARKS}]$")))
     cut = cut.filter(literal >= LEAST)
-    return cut.select("item_id", "pos", "size", F.xxhash64("win").alias("hash"), F.slice("t", F.col("pos") + 1, F.col("size")).alias("own"))
+    return cut.select("item_id", "pos", "size", F.xxhash64(hashed(F.col("win"))).alias("hash"), F.slice("t", F.col("pos") + 1, F.col("size")).alias("own"))
 
 
-def _windows(temps: Column, sizes: list[int], stride: int) -> Column:
+def _windows(temps: Column, sizes: list[int]) -> Column:
     """start, size and hash of the windows of a document."""
+    return let(hashed(temps), lambda h: F.concat(*(_cut(h, s) for s in sizes)))
 
-    return let(temps, lambda u: F.concat(*(_cut(u, s, stride if s == WINDOW else 1) for s in sizes)))
 
-
-def _cut(u: Column, size: int, stride: int) -> Column:
-    return F.transform(_starts(F.size(u), size, stride), lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), _hash(u, i, size).alias("hash")))
+def _cut(h: Column, size: int) -> Column:
+    return F.transform(_starts(F.size(h), size), lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), F.xxhash64(F.slice(h, i + 1, size)).alias("hash")))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
@@ -91,12 +89,12 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, cons
     # At most the lengths 4 to 11: whole short items, and WINDOW for the others.
     sizes = sorted({WINDOW, *(r.size for r in known.select("size").distinct().collect())})
     hashes = small_side(saved(known.select("hash").distinct(), "hashes"))
-    first = base.select("_id", "_h", F.explode(_windows(templates(tokens(F.col("_text"))), sizes, STRIDE)["hash"]).alias("hash"))
+    first = base.select("_id", "_h", F.explode(_windows(templates(tokens(F.col("_text"))), sizes)["hash"]).alias("hash"))
     met = saved(first.join(hashes, "hash", "left_semi").select("_id", "_h").distinct(), "met").withColumnsRenamed({"_id": "_i", "_h": "_k"})
     some = base.join(small_side(met), (base["_h"] == met["_k"]) & base["_id"].eqNullSafe(met["_i"]), "left_semi")
 
     some = some.select("_id", "_h", tokens(F.col("_text")).alias("t")).withColumn("u", templates(F.col("t")))
-    every = some.withColumn("w", F.explode(_windows(F.col("u"), sizes, 1))).select("_id", "_h", "w.*", F.slice("t", F.col("w.i") + 1, F.col("w.size")).alias("there"))
+    every = some.withColumn("w", F.explode(_windows(F.col("u"), sizes))).select("_id", "_h", "w.*", F.slice("t", F.col("w.i") + 1, F.col("w.size")).alias("there"))
     hits = every.join(small_side(known), ["hash", "size"])
     pairs = F.filter(F.arrays_zip("own", "there"), lambda p: p["own"].rlike(f"^[{MARKS}]"))
     aligned = hits.groupBy("_id", "_h", "item_id", (F.col("i") - F.col("pos")).alias("offset")).agg(

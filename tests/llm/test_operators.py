@@ -162,6 +162,14 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.filter("false")).count() == 0
 
 
+def test_decontamination_at_any_place(spark):
+    items = {1: "compute the square root of some large even", 2: "Is 3 4 5 6 8 or 9 when x is 2", 3: "one two three four five six seven eight nine ten eleven twelve thirteen"}
+    copies = {**items, 3: " ".join(items[3].split()[:10])}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame([(10 * k + i, "filler " * k + ". " + t + " . more words here") for k in range(8) for i, t in copies.items()], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(10 * k + i, i) for k in range(8) for i in items}
+
+
 @pytest.mark.parametrize("bucket, large", [(64, 4096), (3, 4096), (3, 5)])
 def test_repeats(spark, bucket, large):
     rnd = random.Random(3)
