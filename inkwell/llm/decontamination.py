@@ -1,7 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a sequence of lower-cased tokens in which numbers, names
-(capitalised inside a sentence) and units after numbers are typed placeholders.
+A text becomes a sequence of lower-cased tokens in which numbers, names and units
+after numbers are typed placeholders. Whether a capital makes a name depends on
+what stands before it and on how the text was set, so each window has three
+templates, and two windows meet if any of theirs are equal: capitalised words
+are names inside a sentence only, are names everywhere (but for PLAIN words), or
+are words like any other, which meets texts in capitals or without them.
 Windows of ``WINDOW`` template tokens are hash-joined with those of the
 benchmark, so a question with other numbers and names still meets its source.
 Matches are put together by alignment (offset between document and item); in
@@ -28,28 +32,49 @@ from .common import keyed, let, saved, small_side
 
 WINDOW, WHOLE, LEAST = 8, 11, 4
 COVERAGE, CONSISTENCY = 0.5, 0.8
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
-MARKS = f"{NUMBER}-{UNIT}"
+#: HEAD marks a capital that may only be due to the start of a sentence.
+NUMBER, UNIT, NAME, HEAD, END = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+MARKS = f"{NUMBER}-{HEAD}"
 UNITS = "mm cm m km in inch inches ft feet mile miles mg g kg lb lbs oz ml l litre litres liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent degrees dollars euros usd eur kb mb gb tb hz khz mhz ghz w kw mw v kv kwh mph kmh"
 
+#: Words that are no names, whatever their first letter.
+PLAIN = "a an the this that these those what which who whom whose when where why how is are was were am be been do does did has have had can could will would shall should may might must if then so and or but nor not no yes of in on at to by for from with as than there here it its he she they we you i his her their our your my me him them us each every all some any many much more most one two"
+
 
 def tokens(text: Column) -> Column:
     """Tokens of a text; those that stand for a slot begin with its mark."""
     text = F.coalesce(text, F.lit(""))
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu})", NAME)
-    units = UNITS.replace(" ", "|")
+    units, plain = UNITS.replace(" ", "|"), PLAIN.replace(" ", "|")
 
     def numbers(t: Column) -> Column:
         t = F.regexp_replace(t, r"(?<=\p{N})[.,:/-](?=\p{N})", "")
         t = F.regexp_replace(t, r"(?<![\p{L}\p{N}" + MARKS + r"])(?=\p{N})", NUMBER)
         return F.regexp_replace(t, rf"(?i)(?<=\p{{N}} )(?=(?:{units})(?![\p{{L}}\p{{N}}]))", UNIT)
 
-    marked = F.when(text.rlike(r"\p{N}"), numbers(named)).otherwise(named)
+    counted = F.when(text.rlike(r"\p{N}"), numbers(text)).otherwise(text)
+    capital = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{MARKS}])(?!(?i:{plain})(?![\p{{L}}\p{{N}}]))"
+    marked = F.regexp_replace(F.regexp_replace(counted, capital, HEAD), rf"{HEAD}(?<=[\p{{L}}\p{{N}},;:] {HEAD})", NAME)
     return F.filter(F.split(F.lower(marked), rf"[^\p{{L}}\p{{N}}{MARKS}]+"), lambda t: t != "")
 
 
-def templates(toks: Column) -> Column:
-    return F.transform(toks, lambda t: F.when(t.rlike(f"^[{MARKS}]"), F.substring(t, 1, 1)).otherwise(t))
+def _mark(t: Column) -> Column:
+    return F.substring(t, 1, 1)
+
+
+def _word(t: Column) -> Column:
+    return F.substring(t, 2, 1 << 30)
+
+
+#: What a marked token becomes in each template.
+FORMS = (
+    lambda t: F.when(t < HEAD, _mark(t)).otherwise(_word(t)),
+    lambda t: F.when(t < HEAD, _mark(t)).otherwise(F.lit(NAME)),
+    lambda t: F.when(t < NAME, _mark(t)).otherwise(_word(t)),
+)
+
+
+def template(toks: Column, form) -> Column:
+    return F.transform(toks, lambda t: F.when((t < NUMBER) | (t >= END), t).otherwise(form(t)))
 
 
 def hashed(temps: Column) -> Column:
@@ -64,18 +89,18 @@ def _starts(n: Column, size: int) -> Column:
 def index(benchmark: DataFrame) -> DataFrame:
     """item_id, pos, size, hash and tokens of each window of the benchmark."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST)
-    items = items.withColumn("u", templates(F.col("t"))).withColumn("n", F.size("t"))
+    items = items.withColumn("n", F.size("t"))
     long = items.filter(F.col("n") >= WHOLE).withColumn("pos", F.explode(_starts(F.col("n"), WINDOW))).withColumn("size", F.lit(WINDOW))
     short = items.filter(F.col("n") < WHOLE).withColumn("pos", F.lit(0)).withColumn("size", F.col("n"))
-    cut = long.unionByName(short).withColumn("win", F.slice("u", F.col("pos") + 1, F.col("size")))
-    literal = F.size(F.filter("win", lambda t: ~t.rlike(f"^[{MARKS}]$")))
-    cut = cut.filter(literal >= LEAST)
-    return cut.select("item_id", "pos", "size", F.xxhash64(hashed(F.col("win"))).alias("hash"), F.slice("t", F.col("pos") + 1, F.col("size")).alias("own"))
+    cut = long.unionByName(short).select("item_id", "pos", "size", F.slice("t", F.col("pos") + 1, F.col("size")).alias("own"))
+    literals = lambda w: F.size(F.filter(w, lambda t: (t < NUMBER) | (t >= END)))
+    said = F.filter(F.array(*(template(F.col("own"), f) for f in FORMS)), lambda w: literals(w) >= LEAST)
+    return cut.withColumn("hash", F.explode(F.array_distinct(F.transform(said, lambda w: F.xxhash64(hashed(w)))))).select("item_id", "pos", "size", "hash", "own")
 
 
-def _windows(temps: Column, sizes: list[int]) -> Column:
-    """start, size and hash of the windows of a document."""
-    return let(hashed(temps), lambda h: F.concat(*(_cut(h, s) for s in sizes)))
+def _windows(toks: Column, sizes: list[int]) -> list[Column]:
+    """start, size and hash of the windows of a document, by template."""
+    return [let(hashed(template(toks, f)), lambda h: F.concat(*(_cut(h, s) for s in sizes))) for f in FORMS]
 
 
 def _cut(h: Column, size: int) -> Column:
@@ -89,14 +114,18 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, cons
     # At most the lengths 4 to 11: whole short items, and WINDOW for the others.
     sizes = sorted({WINDOW, *(r.size for r in known.select("size").distinct().collect())})
     hashes = small_side(saved(known.select("hash").distinct(), "hashes"))
-    first = base.select("_id", "_h", F.explode(_windows(templates(tokens(F.col("_text"))), sizes)["hash"]).alias("hash"))
+    each = let(tokens(F.col("_text")), lambda t: F.array_distinct(F.concat(*(w["hash"] for w in _windows(t, sizes)))))
+    first = base.select("_id", "_h", F.explode(each).alias("hash"))
     met = saved(first.join(hashes, "hash", "left_semi").select("_id", "_h").distinct(), "met").withColumnsRenamed({"_id": "_i", "_h": "_k"})
     some = base.join(small_side(met), (base["_h"] == met["_k"]) & base["_id"].eqNullSafe(met["_i"]), "left_semi")
 
-    some = some.select("_id", "_h", tokens(F.col("_text")).alias("t")).withColumn("u", templates(F.col("t")))
-    every = some.withColumn("w", F.explode(_windows(F.col("u"), sizes))).select("_id", "_h", "w.*", F.slice("t", F.col("w.i") + 1, F.col("w.size")).alias("there"))
+    some = some.select("_id", "_h", tokens(F.col("_text")).alias("t"))
+    every = some.withColumn("w", F.explode(F.concat(*_windows(F.col("t"), sizes)))).select("_id", "_h", "w.*", F.slice("t", F.col("w.i") + 1, F.col("w.size")).alias("there"))
     hits = every.join(small_side(known), ["hash", "size"])
-    pairs = F.filter(F.arrays_zip("own", "there"), lambda p: p["own"].rlike(f"^[{MARKS}]"))
+    bare = lambda t: F.translate(t, NUMBER + UNIT + NAME + HEAD, "")
+    slot = lambda p: (p["own"] >= NUMBER) & (p["own"] < END) & ((p["own"] < HEAD) | (bare(p["own"]) != bare(p["there"])))
+    zipped = F.filter(F.arrays_zip("own", "there"), slot)
+    pairs = F.transform(zipped, lambda p: F.struct(bare(p["own"]).alias("own"), bare(p["there"]).alias("there")))
     aligned = hits.groupBy("_id", "_h", "item_id", (F.col("i") - F.col("pos")).alias("offset")).agg(
         F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
     )

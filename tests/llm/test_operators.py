@@ -170,6 +170,15 @@ def test_decontamination_at_any_place(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(10 * k + i, i) for k in range(8) for i in items}
 
 
+def test_decontamination_names(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Alice bought nine red apples at the market")], "item_id long, text string")
+    rows = [(1, "Question: What is the capital of France?"), (1, "so What is the capital of Spain"), (1, "WHAT IS THE CAPITAL OF FRANCE"), (1, "tell me what is the capital of france now")]
+    rows += [(2, "Some text. Bob bought nine red apples at the market."), (2, "then Bob bought nine red apples at the market"), (2, "alice bought nine red apples at the market"), (2, "ALICE BOUGHT NINE RED APPLES AT THE MARKET")]
+    rows += [(0, "Clearly Berlin is the capital of Germany"), (0, "what is the capital of trade")]
+    docs = spark.createDataFrame([(10 * k + i, t) for k, (i, t) in enumerate(rows)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(10 * k + i, i) for k, (i, _) in enumerate(rows) if i}
+
+
 @pytest.mark.parametrize("bucket, large", [(64, 4096), (3, 4096), (3, 5)])
 def test_repeats(spark, bucket, large):
     rnd = random.Random(3)
