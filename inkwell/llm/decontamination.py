@@ -10,16 +10,18 @@ Windows of ``WINDOW`` template tokens are hash-joined with those of the
 benchmark, so a question with other numbers and names still meets its source.
 Matches are put together by alignment (offset between document and item); in
 each, a value of the item must stand for one value of the document wherever it
-recurs (slot consistency). A document is contaminated by an item if consistent
-alignments cover ``coverage`` of the item's windows.
+recurs (slot consistency). A template with fewer than ``LEAST`` literal tokens says
+too little; windows that have no other are met by the same tokens only, numbers
+included. A document is contaminated by an item if consistent alignments cover
+``coverage`` of the item's windows, or of those that have a template (what
+differs only in its numbers can't meet the others).
 
 Two passes: the first looks up every window of every document, so that what is
 met doesn't depend on where it stands; the second aligns the windows of the
 documents found. Items under ``WHOLE`` = 11 tokens are looked up whole.
 
-Edge cases: null and empty texts match nothing; items under ``LEAST`` tokens, or
-windows with fewer literal tokens than that, say too little and match nothing;
-repeated items are reported each; rows that repeat an id are told apart by their
+Edge cases: null and empty texts match nothing; an item of one token is met only
+by a document that is no more than that; repeated items are reported each; rows that repeat an id are told apart by their
 texts; an empty table on either side gives an empty result.
 """
 
@@ -77,6 +79,15 @@ def template(toks: Column, form) -> Column:
     return F.transform(toks, lambda t: F.when((t < NUMBER) | (t >= END), t).otherwise(form(t)))
 
 
+def bare(tok: Column) -> Column:
+    """The token without its mark."""
+    return F.translate(tok, NUMBER + UNIT + NAME + HEAD, "")
+
+
+def exact(toks: Column) -> Column:
+    return F.transform(toks, bare)
+
+
 def hashed(temps: Column) -> Column:
     """The hash of each token; a window's hash is that of these numbers."""
     return F.transform(temps, lambda t: F.xxhash64(t))
@@ -87,31 +98,42 @@ def _starts(n: Column, size: int) -> Column:
 
 
 def index(benchmark: DataFrame) -> DataFrame:
-    """item_id, pos, size, hash and tokens of each window of the benchmark."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST)
+    """item_id, pos, size, whether it has a template (rich), hash and tokens of
+    each window of the benchmark, with a row for each different hash."""
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
     items = items.withColumn("n", F.size("t"))
     long = items.filter(F.col("n") >= WHOLE).withColumn("pos", F.explode(_starts(F.col("n"), WINDOW))).withColumn("size", F.lit(WINDOW))
     short = items.filter(F.col("n") < WHOLE).withColumn("pos", F.lit(0)).withColumn("size", F.col("n"))
     cut = long.unionByName(short).select("item_id", "pos", "size", F.slice("t", F.col("pos") + 1, F.col("size")).alias("own"))
     literals = lambda w: F.size(F.filter(w, lambda t: (t < NUMBER) | (t >= END)))
     said = F.filter(F.array(*(template(F.col("own"), f) for f in FORMS)), lambda w: literals(w) >= LEAST)
-    return cut.withColumn("hash", F.explode(F.array_distinct(F.transform(said, lambda w: F.xxhash64(hashed(w)))))).select("item_id", "pos", "size", "hash", "own")
+    cut = cut.withColumn("said", said).withColumn("rich", F.size("said") > 0)
+    said = F.when(F.col("rich"), F.col("said")).otherwise(F.array(exact(F.col("own"))))
+    return cut.withColumn("hash", F.explode(F.array_distinct(F.transform(said, lambda w: F.xxhash64(hashed(w)))))).select("item_id", "pos", "size", "rich", "hash", "own")
 
 
 def _windows(toks: Column, sizes: list[int]) -> list[Column]:
-    """start, size and hash of the windows of a document, by template."""
-    return [let(hashed(template(toks, f)), lambda h: F.concat(*(_cut(h, s) for s in sizes))) for f in FORMS]
+    """start, size and hash of the windows of a document, by template, then of the same tokens."""
+    told, short = [s for s in sizes if s >= LEAST], [s for s in sizes if s < LEAST]
+    cut = lambda temps, some: let(hashed(temps), lambda h: F.concat(*(_cut(h, s) for s in some)))
+    # Windows of LEAST tokens and more have too few literals only where there are numbers.
+    numbers = F.when(F.exists(toks, lambda t: t.startswith(NUMBER)), toks).otherwise(F.array().cast("array<string>"))
+    same = [cut(exact(numbers), told)] + ([cut(exact(toks), short)] if short else [])
+    return [*(cut(template(toks, f), told) for f in FORMS), *same]
 
 
 def _cut(h: Column, size: int) -> Column:
-    return F.transform(_starts(F.size(h), size), lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), F.xxhash64(F.slice(h, i + 1, size)).alias("hash")))
+    starts = _starts(F.size(h), size)
+    if size == 1:
+        starts = F.when(F.size(h) == 1, starts).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), F.xxhash64(F.slice(h, i + 1, size)).alias("hash")))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """_id, _h, item_id, n_windows, n_matched, coverage and consistency of each contaminated document and item."""
     base = keyed(docs)
     known = saved(index(benchmark), "index")
-    # At most the lengths 4 to 11: whole short items, and WINDOW for the others.
+    # At most the lengths 1 to 10: whole short items, and WINDOW for the others.
     sizes = sorted({WINDOW, *(r.size for r in known.select("size").distinct().collect())})
     hashes = small_side(saved(known.select("hash").distinct(), "hashes"))
     each = let(tokens(F.col("_text")), lambda t: F.array_distinct(F.concat(*(w["hash"] for w in _windows(t, sizes)))))
@@ -122,23 +144,24 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, cons
     some = some.select("_id", "_h", tokens(F.col("_text")).alias("t"))
     every = some.withColumn("w", F.explode(F.concat(*_windows(F.col("t"), sizes)))).select("_id", "_h", "w.*", F.slice("t", F.col("w.i") + 1, F.col("w.size")).alias("there"))
     hits = every.join(small_side(known), ["hash", "size"])
-    bare = lambda t: F.translate(t, NUMBER + UNIT + NAME + HEAD, "")
     slot = lambda p: (p["own"] >= NUMBER) & (p["own"] < END) & ((p["own"] < HEAD) | (bare(p["own"]) != bare(p["there"])))
     zipped = F.filter(F.arrays_zip("own", "there"), slot)
     pairs = F.transform(zipped, lambda p: F.struct(bare(p["own"]).alias("own"), bare(p["there"]).alias("there")))
     aligned = hits.groupBy("_id", "_h", "item_id", (F.col("i") - F.col("pos")).alias("offset")).agg(
-        F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
+        F.collect_set("pos").alias("places"), F.collect_set(F.when(F.col("rich"), F.col("pos"))).alias("told"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
     )
     values = F.size(F.array_distinct(F.transform("slots", lambda p: p["own"])))
     held = F.when(F.size("slots") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 2 - F.size("slots") / values))
+    different = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
     matched = (
         aligned.withColumn("held", held)
         .filter(F.col("held") >= consistency)
         .groupBy("_id", "_h", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.min("held").alias("consistency"))
+        .agg(different("places").alias("n_matched"), different("told").alias("n_told"), F.min("held").alias("consistency"))
     )
-    counts = known.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
-    share = (F.col("n_matched") / F.col("n_windows")).alias("coverage")
+    counts = known.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"), F.countDistinct(F.when(F.col("rich"), F.col("pos"))).alias("n_rich"))
+    share = F.col("n_matched") / F.col("n_windows")
+    share = F.when(F.col("n_rich") > 0, F.greatest(share, F.col("n_told") / F.col("n_rich"))).otherwise(share).alias("coverage")
     out = matched.join(counts, matched["item_id"].eqNullSafe(counts["item_id"])).drop(counts["item_id"])
     return out.select("_id", "_h", "item_id", "n_windows", "n_matched", share, "consistency").filter(F.col("coverage") >= coverage)
 

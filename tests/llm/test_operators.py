@@ -179,6 +179,17 @@ def test_decontamination_names(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(10 * k + i, i) for k, (i, _) in enumerate(rows) if i}
 
 
+def test_decontamination_few_literals(spark):
+    items = {1: "What is 12 + 7 + 5?", 2: "What is DNA?", 3: "12 7 5 19 23 44 8 61 70 81 92 13 34 55", 4: "Seven", 5: "Define entropy", 6: "3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 find the next number in this row now"}
+    copies = {**items, 6: items[6].replace("15 16 17 18", "19 16 12 18")}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(10 * k + i, "filler " * k + "\n" + t + ("\nmore words" if k else "")) for k in range(3) for i, t in copies.items() if i != 4 or not k]
+    rows += [(100, "What is 12 + 7 + 6?"), (101, "what is rna"), (102, "12 7 5 19 23 45 8 61 70 81 92 13 34 55"), (103, "seven more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(i, i % 10) for i, _ in rows if i < 100}
+
+
 @pytest.mark.parametrize("bucket, large", [(64, 4096), (3, 4096), (3, 5)])
 def test_repeats(spark, bucket, large):
     rnd = random.Random(3)
