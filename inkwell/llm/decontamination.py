@@ -89,7 +89,7 @@ def exact(toks: Column) -> Column:
 
 
 def hashed(temps: Column) -> Column:
-    """The hash of each token; a window's hash is that of these numbers."""
+    """The hash of each token; a window's hash is that of these numbers, alike for an array and for its members."""
     return F.transform(temps, lambda t: F.xxhash64(t))
 
 
@@ -113,20 +113,32 @@ def index(benchmark: DataFrame) -> DataFrame:
 
 
 def _windows(toks: Column, sizes: list[int]) -> list[Column]:
-    """start, size and hash of the windows of a document, by template, then of the same tokens."""
+    """start, size and hash of the windows of a document, by template, then of the same tokens.
+
+    The last template is taken of each window, the others and the tokens where they differ from it."""
     told, short = [s for s in sizes if s >= LEAST], [s for s in sizes if s < LEAST]
-    cut = lambda temps, some: let(hashed(temps), lambda h: F.concat(*(_cut(h, s) for s in some)))
-    # Windows of LEAST tokens and more have too few literals only where there are numbers.
-    numbers = F.when(F.exists(toks, lambda t: t.startswith(NUMBER)), toks).otherwise(F.array().cast("array<string>"))
-    same = [cut(exact(numbers), told)] + ([cut(exact(toks), short)] if short else [])
-    return [*(cut(template(toks, f), told) for f in FORMS), *same]
+    cut = lambda temps, some, at=None: let(hashed(temps), lambda h: F.concat(*(_cut(h, s, at) for s in some)))
+    inner, capital, number = (lambda t: t.startswith(NAME)), (lambda t: (t >= NAME) & (t < END)), (lambda t: t.startswith(NUMBER))
+    none = F.array().cast("array<struct<i:int,size:int,hash:bigint>>")
+    some = lambda temps, kind: F.when(F.exists(toks, kind), cut(temps, told, _places(toks, kind))).otherwise(none)
+    same = [some(exact(toks), number)] + ([cut(exact(toks), short)] if short else [])
+    return [some(template(toks, FORMS[0]), inner), some(template(toks, FORMS[1]), capital), cut(template(toks, FORMS[2]), told), *same]
+
+
+def _places(toks: Column, kind) -> Column:
+    at = F.transform(toks, lambda t, i: F.when(kind(t), i))
+    return F.filter(at, lambda i: i.isNotNull())
 
 
-def _cut(h: Column, size: int) -> Column:
+def _cut(h: Column, size: int, at: Column | None = None) -> Column:
+    """Windows of a size: all, or those that hold a place of at."""
     starts = _starts(F.size(h), size)
     if size == 1:
         starts = F.when(F.size(h) == 1, starts).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), F.xxhash64(F.slice(h, i + 1, size)).alias("hash")))
+    if at is not None:
+        around = lambda c: F.sequence(F.greatest(F.lit(0), c - (size - 1)), F.least(c, F.size(h) - size))
+        starts = F.when(F.size(h) >= size, F.array_distinct(F.flatten(F.transform(at, around)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(size).alias("size"), F.xxhash64(*(F.get(h, i + k) for k in range(size))).alias("hash")))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
