@@ -2,55 +2,98 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a side that may be broadcast; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a side that may be broadcast; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+#: Folders of the scratch() blocks that are open, the innermost last.
+_scratch: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Of doc_id and text: rows that repeat an id stay apart unless their texts are equal."""
+    return F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text under names that clash with nothing, with a hash of the
-    row: rows that repeat an id stay apart unless their texts are equal."""
-    return docs.select(
-        F.col("doc_id").alias("_id"),
-        F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_h"),
-        F.col("text").alias("_text"),
-    )
+    """doc_id and text under names that clash with nothing, with the hash of the row."""
+    return docs.select(docs["doc_id"].alias("_id"), row_hash(docs).alias("_h"), docs["text"].alias("_text"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The whole rows as one column _row beside those of keyed(): what an operator
+    adds can't clash with the caller's columns, which come back as _row.*."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_id"), row_hash(docs).alias("_h"), docs["text"].alias("_text"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Where the session names none (tests, a
-    single machine), a temporary one is set for the session."""
+    """The folder all executors share. On a single machine where the session
+    names none (tests), a temporary one is set for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="inkwell-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is saved() within goes when the block ends. A DataFrame made within must be written there."""
+    _scratch.append(f"{shared_dir(spark)}/inkwell/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove(spark, _scratch.pop())
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage
     ends there, and a lost executor takes nothing with it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
+    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/inkwell"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it was counted to have few rows; beyond that
-    it is left for a shuffled join. Use it on saved tables, whose count is
-    a matter of footers."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.MapType):
+            return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda n, x: n + _width(x, kind.elementType)), F.lit(8))
+        each = len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1
+        return F.greatest(F.size(c), F.lit(0)) * (8 * each + 16) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows were measured to have few bytes; beyond that
+    it is left for a shuffled join. Use it on saved tables, which are read for it."""
+    each = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= limit else df
 
 
 def let(value: Column, body) -> Column:
@@ -59,6 +102,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, columns: dict[str, Column], *keep: str) -> DataFrame:
+    """keep and the columns, worked out once for each row whatever is filtered or
+    selected after: what a generator gives isn't inlined again by the optimizer."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def words_of(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, none of null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -5,30 +5,34 @@ else in the corpus. All texts can't stand in one suffix array, so suffixes are
 first dealt out by content. Of every window of LENGTH bytes the least hashed
 K-gram (leftmost of equals) is its anchor; equal windows have equal anchors at
 the same place, so a repeat of LENGTH bytes or more shows as two anchors of
-equal K-grams. An anchor's context is the text that any window of it can reach:
-LENGTH - K bytes before, LENGTH from its start.
-
-1. Each text gives the (K-gram hash, context hash) of its anchors, about 2 in
-   LENGTH - K bytes. Anchors whose K-gram occurs once are dropped.
-2. Equal contexts are one from here on: an exact copy, or the inside of a
-   shared passage, costs no more than a count. What such a context holds is
-   repeated as a whole.
-3. The different contexts of one K-gram go to one task, which sorts their
+equal K-grams. An anchor owns the windows that it is the anchor of, one run of
+starts; its context is the text that these cover. Each window is owned once.
+
+1. Each text gives the K-gram hash and the context (a hash of 128 bits) of its
+   anchors, about 2 in LENGTH - K bytes. Equal contexts are equal suffixes, so
+   they are one leaf with a count from here on: a leaf of two places or more is
+   a repeat as a whole, and an exact copy costs no more than a count.
+2. The different contexts of one K-gram go to one task, which sorts their
    suffixes from the anchor (an enhanced suffix array: order and lengths of
-   common prefixes), finds the tree of common-prefix intervals with a stack
-   scan, and in each interval tests the left extensions for diversity: contexts
-   in an interval of prefix length r whose texts before the anchor agree in l
-   bytes and then differ are a maximal repeat of l + r bytes, with all its
-   occurrences. Those of LENGTH bytes or more are the result.
-   K-grams with more than ``BUCKET`` different contexts, for which such trees
-   get deep, go another exact way: the contexts' windows are hashed and counted,
-   by one task, and beyond ``LARGE`` contexts (a phrase that a large share of the
-   corpus uses in different surroundings) by all, so the group spreads.
+   common prefixes) and finds the tree of common-prefix intervals with a stack
+   scan. In an interval of prefix length r, contexts whose texts before the
+   anchor agree in l bytes, l + r >= LENGTH, and don't all come from one child
+   of the interval are a maximal repeat; where they stop to agree (the left
+   extensions differ), the group ends. All members of all such groups count.
+3. A K-gram with more than ``BUCKET`` different contexts (a phrase that a large
+   share of the corpus uses in different surroundings) is split before: the
+   places where windows may start, relative to the anchor, are cut into cells,
+   and each context goes, cut to the cell, with those that agree in all bytes
+   that the cell's windows share: a longer key, so fewer members, and contexts
+   that only differ elsewhere become one leaf. Cells shrink to one window, whose
+   contexts are all alike; so no group of over BUCKET contexts is ever built.
 4. The spans go back to all occurrences, and each text is cut.
 
 Edge cases: null and empty texts, and texts under LENGTH bytes, keep all; a text
 can repeat within itself, overlapping too; rows that repeat an id and text are
-copies of each other; an empty table gives an empty result.
+copies of each other; very long texts are read in blocks; columns besides
+doc_id and text are not looked at, so their names can't clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,40 +45,51 @@ from pyspark.sql import functions as F
 
 from .common import saved, small_side
 
-LENGTH, K = 400, 64
-#: Most contexts of a K-gram for which the tree is scanned, and for which one task counts windows.
-#: The second bounds memory: 2^15 contexts have 2^15 * 337 windows, 88 MB of hashes.
-BUCKET, LARGE = 64, 1 << 15
-_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """A hash of each K-gram (K = 64), by doubling."""
-    h = b.astype(np.uint64) + np.uint64(1)
-    for step in (1, 2, 4, 8, 16, 32):
-        h = h[:-step] * _C1 + (h[step:] ^ (h[step:] >> np.uint64(29)))
-        h *= _C2
-    return h ^ (h >> np.uint64(32))
-
-
-def anchors(b: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows of a text."""
-    n = len(b)
-    if n < length:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    h = gram_hashes(b)
-    width = length - K + 1
-    bits = np.uint64(max(1, len(h).bit_length()))
-    ranked = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    # Least of each run of `width`: running minima within blocks, from both ends.
-    pad = -len(ranked) % width
-    blocks = np.concatenate([ranked, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    behind = np.minimum.accumulate(blocks, axis=1).ravel()
-    count = len(ranked) - width + 1
-    least = np.minimum(ahead[:count], behind[width - 1 : width - 1 + count])
-    places = np.unique(least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    return places, h[places]
+LENGTH, K = 400, 192
+#: Most different contexts that one task puts into a tree: 4096 have 2.5 MB at most.
+BUCKET = 4096
+#: Cells are this many times smaller with each split.
+SPLIT = 4
+#: Window starts that are looked at together, which bounds the memory for a long text.
+BLOCK = 1 << 19
+_BASE = 0x9E3779B97F4A7C15
+CONTEXT = ["gram", "c1", "c2"]
+ROW = ["_row", "_crc"]
+SPANS = "array<struct<a:bigint,b:bigint>>"
+
+
+def gram_hashes(b: np.ndarray, size: int = K) -> np.ndarray:
+    """A polynomial hash of each gram of so many bytes. Its high bits are the good ones."""
+    n = len(b) - size + 1
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(b), _BASE, dtype=np.uint64))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power)])
+        return (total[size:] - total[:n]) * np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
+
+
+def anchors(b: np.ndarray, length: int = LENGTH, size: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place and hash of each anchor of a text, and the first and last start of the windows it owns."""
+    if len(b) < length:
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.int64),) * 2
+    parts = []
+    for at in range(0, len(b) - length + 1, BLOCK):
+        piece = b[at : at + BLOCK + length - 1]
+        h = gram_hashes(piece, size)
+        width = length - size + 1
+        # Of equal high halves the leftmost, in any text alike.
+        ranked = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+        # Least of each run of `width`: running minima within groups of so many, from both ends.
+        pad = -len(ranked) % width
+        groups = np.concatenate([ranked, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, width)
+        ahead = np.minimum.accumulate(groups[:, ::-1], axis=1)[:, ::-1].ravel()
+        behind = np.minimum.accumulate(groups, axis=1).ravel()
+        count = len(ranked) - width + 1
+        least = np.minimum(ahead[:count], behind[width - 1 : width - 1 + count]) & np.uint64(0xFFFFFFFF)
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        places = least[first].astype(np.int64)
+        last = np.concatenate([first[1:], [count]]) - 1
+        parts.append((places + at, h[places].view(np.int64), first + at, last + at))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -85,6 +100,12 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
+def ordered(texts: list[bytes]) -> tuple[list[int], list[int]]:
+    """The order of the texts, and what each shares with the one before it there."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    return order, [0, *(common_prefix(texts[i], texts[j]) for i, j in zip(order, order[1:], strict=False))]
+
+
 def intervals(lcp: list[int], n: int):
     """(prefix length, first, last) of each node of the tree over n sorted
     suffixes, lcp[i] being what suffixes i - 1 and i share. Children come first."""
@@ -98,55 +119,39 @@ def intervals(lcp: list[int], n: int):
             stack.append((now, first))
 
 
-def maximal_repeats(contexts: list[tuple[bytes, bytes]], length: int = LENGTH):
-    """(bytes before, bytes from the anchor, members) of each maximal repeat of
-    length bytes or more among different (before, from) contexts."""
-    order = sorted(range(len(contexts)), key=lambda k: contexts[k][1])
-    suffix = [contexts[k][1] for k in order]
-    lcp = [0] + [common_prefix(a, b) for a, b in zip(suffix, suffix[1:], strict=False)]
-    before = [contexts[k][0][::-1] for k in order]
+def maximal_repeats(contexts: list[tuple[int, bytes]], length: int = LENGTH):
+    """(bytes from the anchor, members, what each member shares before the anchor with the one before it in the list)
+    of each group of different contexts (bytes before the anchor, text) that share length bytes or more."""
+    order, lcp = ordered([t[a:] for a, t in contexts])
+    left, between = ordered([t[:a][::-1] for a, t in contexts])
+    place, rank = {k: i for i, k in enumerate(order)}, [0] * len(order)
+    for r, k in enumerate(left):
+        rank[place[k]] = r
     for right, first, last in intervals(lcp, len(order)):
-        # Sorted by what stands before the anchor, read backwards: the same kind of tree.
-        inner = sorted(range(first, last + 1), key=before.__getitem__)
-        left = [0] + [common_prefix(before[a], before[b]) for a, b in zip(inner, inner[1:], strict=False)]
-        for more, i, j in intervals(left, len(inner)):
-            if more + right < length:
+        inner = sorted(rank[first : last + 1])
+        shared = [0, *(min(between[a + 1 : b + 1]) for a, b in zip(inner, inner[1:], strict=False))]
+        start = 0
+        for i in range(1, len(inner) + 1):
+            if i < len(inner) and shared[i] + right >= length:
                 continue
-            group = inner[i : j + 1]
-            # Right-maximal only if the group isn't all within one child of the interval.
-            low, high = min(group), max(group)
-            if min(lcp[low + 1 : high + 1]) == right:
-                yield more, right, [order[k] for k in group]
+            if i - start > 1:
+                group = [left[r] for r in inner[start:i]]
+                at = [place[k] for k in group]
+                # Right-maximal only if the group isn't all within one child of the interval.
+                if min(lcp[min(at) + 1 : max(at) + 1]) == right:
+                    yield right, group, [0, *shared[start + 1 : i]]
+            start = i
 
 
-def covered(contexts: list[tuple[bytes, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+def covered(contexts: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Spans (start, end), relative to the anchor, of each context."""
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    for more, right, group in maximal_repeats(contexts, length):
-        for k in group:
-            out[k].append((-more, right))
+    for right, group, shared in maximal_repeats(contexts, length):
+        for k, here, after in zip(group, shared, [*shared[1:], 0], strict=True):
+            out[k].append((-max(here, after), right))
     return [joined(s) for s in out]
 
 
-def counted(contexts: list[tuple[int, bytes]]) -> list[list[tuple[int, int]]]:
-    """The same spans as of covered(), from hashes of all windows."""
-    hashes, sizes = [], []
-    for before, text in contexts:
-        one, two = (w.view(np.uint64) for w in window_hashes(text))
-        lead = np.uint64(before) - np.arange(len(one), dtype=np.uint64)
-        hashes.append(one * _C1 ^ two * _C2 ^ lead * np.uint64(0xFF51AFD7ED558CCD))
-        sizes.append(len(one))
-    _, which, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    again = count[which] > 1
-    out, ends = [], np.cumsum([0, *sizes])
-    for (before, _), i, j in zip(contexts, ends[:-1], ends[1:], strict=True):
-        at = np.flatnonzero(again[i:j])
-        breaks = np.flatnonzero(np.diff(at) > LENGTH)
-        firsts, lasts = at[np.concatenate([[0], breaks + 1])] if len(at) else at, at[np.concatenate([breaks, [-1]])] if len(at) else at
-        out.append([(int(x) - before, int(y) - before + LENGTH) for x, y in zip(firsts, lasts, strict=True)])
-    return out
-
-
 def joined(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -158,163 +163,168 @@ def joined(spans) -> list[tuple[int, int]]:
 
 
 def _row(df: DataFrame) -> DataFrame:
-    """_row: a hash of id and text that tells rows apart; equal rows share it."""
+    """_row, _crc: hashes of id and text that tell rows apart; equal rows share them."""
     text = F.coalesce("text", F.lit(""))
     return df.select("doc_id", "text", F.xxhash64("doc_id", text).alias("_row"), F.crc32(F.encode(text, "UTF-8")).alias("_crc"))
 
 
+def _halves(digests: list[bytes]) -> list[np.ndarray]:
+    return list(np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2).T)
+
+
+def _spans_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    flat = np.array([x for s in spans for x in s], dtype=np.int64).reshape(-1, 2)
+    each = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)]), pa.int32()), each)
+
+
 def _occurrences(base: DataFrame) -> DataFrame:
-    """_row, _crc, gram, context, at, before, after of each anchor of each different row."""
+    """_row, _crc, gram, c1, c2, at, before, after of each anchor of each row."""
+    names = [*ROW, *CONTEXT, "at", "before", "after"]
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            rows, places, contexts = [], [], []
             for row, crc, text in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()))), strict=True):
-                places, hashes = anchors(np.frombuffer(text, dtype=np.uint8))
-                n = len(text)
-                for p, h in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                    a, b = min(p, LENGTH - K), min(n - p, LENGTH)
-                    context = xxhash.xxh3_64_intdigest(text[p - a : p + b], seed=a)
-                    for c, v in zip(cols, (row, crc, h, context - (1 << 63), p, a, b), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                names=["_row", "_crc", "gram", "context", "at", "before", "after"],
-            )
+                at, gram, first, last = anchors(np.frombuffer(text, dtype=np.uint8))
+                contexts += [xxhash.xxh3_128_digest(text[i : j + LENGTH], seed=p - i) for p, i, j in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]
+                places.append(np.stack([gram, at, at - first, last + LENGTH - at]))
+                rows.append(np.repeat(np.array([[row], [crc]]), len(at), axis=1))
+            r, p = np.concatenate(rows, axis=1), np.concatenate(places, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*r, p[0], *_halves(contexts), *p[1:])], names=names)
 
-    long = base.filter(F.octet_length("text") >= LENGTH).select("_row", "_crc", "text")
-    return long.mapInArrow(run, "_row long, _crc long, gram long, context long, at long, before int, after int")
+    long = base.filter(F.octet_length("text") >= LENGTH).select(*ROW, "text")
+    return long.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _task_spans(pieces: DataFrame, bucket: int) -> DataFrame:
-    """gram, context, spans from pieces (gram, context, before, piece), by K-gram."""
+def _pieces(holders: DataFrame) -> DataFrame:
+    """gram, c1, c2, before, piece of each listed place of a text."""
+    kinds = (pa.int64(),) * 4 + (pa.binary(),)
 
-    def run(batches):
-        def done(gram, members):
-            if len(members) <= bucket:
-                spans = covered([(t[:a], t[a:]) for _, a, t in members])
-            else:
-                spans = counted([(a, t) for _, a, t in members])
-            return [(gram, c, [{"a": a, "b": b} for a, b in s]) for (c, _, _), s in zip(members, spans, strict=True) if s]
-
-        gram, members = None, []
+    def cut(batches):
         for batch in batches:
-            out = []
-            for g, c, a, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if g != gram:
-                    if len(members) > 1:
-                        out += done(gram, members)
-                    gram, members = g, []
-                members.append((c, a, t))
-            if out:
-                yield _span_rows(out)
-        if len(members) > 1 and (out := done(gram, members)):
-            yield _span_rows(out)
+            for text, places in zip(batch.column(0).cast(pa.binary()), batch.column(1), strict=True):
+                text, places = text.as_py(), places.as_py()
+                out = [(p["gram"], p["c1"], p["c2"], p["before"], text[p["at"] - p["before"] : p["at"] + p["after"]]) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*CONTEXT, "before", "piece"])
 
-    return pieces.repartition("gram").sortWithinPartitions("gram").select("gram", "context", "before", "piece").mapInArrow(run, SPANS)
+    return holders.mapInArrow(cut, "gram long, c1 long, c2 long, before long, piece binary")
 
 
-SPANS = "gram long, context long, spans array<struct<a:int,b:int>>"
+def _trees(pieces: DataFrame) -> DataFrame:
+    """gram, c1, c2, spans of pieces, by K-gram; a K-gram has few enough of them for one task."""
 
+    def run(batches):
+        def done(members):
+            spans = covered([(a, t) for _, _, _, a, t in members])
+            return [(g, c, d, s) for (g, c, d, _, _), s in zip(members, spans, strict=True) if s]
 
-def _span_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), kind), strict=True)], names=["gram", "context", "spans"])
+        def told(rows):
+            *keys, spans = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), _spans_array(spans)], names=[*CONTEXT, "spans"])
 
+        members: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if members and row[0] != members[0][0]:
+                    out += done(members)
+                    members = []
+                if not members or row[:3] != members[-1][:3]:
+                    members.append(row)
+            if out:
+                yield told(out)
+        if members and (out := done(members)):
+            yield told(out)
 
-def _window_spans(pieces: DataFrame) -> DataFrame:
-    """The same by counting windows, for K-grams of very many contexts."""
-    kinds, names = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), ["gram", "context", "lead", "w1", "w2"]
+    dealt = pieces.select(*CONTEXT, "before", "piece").repartition("gram").sortWithinPartitions(*CONTEXT)
+    return dealt.mapInArrow(run, f"gram long, c1 long, c2 long, spans {SPANS}")
 
-    def windows(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                rows = zip(*(x.to_pylist() for x in batch.slice(k, 500).columns), strict=True)
-                cols = list(zip(*((g, c, a, *window_hashes(t)) for g, c, a, t in rows), strict=True))
-                sizes = [len(w) for w in cols[3]]
-                lead = np.concatenate([a - np.arange(n) for a, n in zip(cols[2], sizes, strict=True)])
-                flat = [np.repeat(cols[0], sizes), np.repeat(cols[1], sizes), lead, np.concatenate(cols[3]), np.concatenate(cols[4])]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(flat, kinds, strict=True)], names=names)
-
-    each = pieces.select("gram", "context", "before", "piece").mapInArrow(windows, "gram long, context long, lead int, w1 long, w2 long")
-    # A window holds other anchors too; with its own and the place there, it counts once.
-    own = ["gram", "lead", "w1", "w2"]
-    twice = each.groupBy(own).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    span = F.struct((-F.col("lead")).cast("int").alias("a"), (LENGTH - F.col("lead")).cast("int").alias("b"))
-    return each.join(twice, own, "left_semi").groupBy("gram", "context").agg(F.collect_list(span).alias("spans"))
-
-
-def window_hashes(text: bytes) -> list[np.ndarray]:
-    """Two 64-bit polynomial hashes of each window of LENGTH bytes that starts where an anchor's context may."""
-    b = np.frombuffer(text, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-    out = []
-    with np.errstate(over="ignore"):
-        for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-            power = np.cumprod(np.full(len(b), base, dtype=np.uint64))
-            back = np.cumprod(np.full(len(b), pow(base, -1, 1 << 64), dtype=np.uint64))
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(b * power)])
-            n = len(b) - LENGTH + 1
-            h = (total[LENGTH:] - total[:n]) * back[:n]
-            out.append((h ^ (h >> np.uint64(31))).view(np.int64))
-    return out
 
+def _cells(pieces: DataFrame, cell: int) -> DataFrame:
+    """gram, c1, c2 of each piece and, for each cell of window starts that it reaches, the key of
+    the cell (k0), the context cut to it (k1, k2), before and piece."""
+    names = [*CONTEXT, "k0", "k1", "k2", "before"]
 
-def spans(base: DataFrame, bucket: int = BUCKET, large: int = LARGE) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rows, keys, cuts, texts = [], [], [], []
+            for *who, before, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                least = before - (len(text) - LENGTH)
+                for c in range(least // cell, before // cell + 1):
+                    low, high = max(least, c * cell), min(before, c * cell + cell - 1)
+                    # What all windows of the cell share, whether the piece has them or not.
+                    key = text[before - c * cell : before - c * cell - cell + 1 + LENGTH]
+                    rows.append((*who, xxhash.xxh3_64_intdigest(key, seed=c * cell) - (1 << 63), high))
+                    texts.append(text[before - high : before - low + LENGTH])
+                    cuts.append(xxhash.xxh3_128_digest(texts[-1], seed=high))
+            who = np.array(rows, dtype=np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*who[:4], *_halves(cuts), who[4])] + [pa.array(texts, pa.binary())], names=[*names, "piece"])
+
+    return pieces.select(*CONTEXT, "before", "piece").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", piece binary")
+
+
+def _whole(contexts: DataFrame, before, after) -> DataFrame:
+    """The span of each context that is found twice or more."""
+    return contexts.filter("n > 1").select(*CONTEXT, F.array(F.struct((-before).alias("a"), after.alias("b"))).alias("spans"))
+
+
+def _repeats(pieces: DataFrame, cell: int, bucket: int) -> DataFrame:
+    """gram, c1, c2, spans of pieces (saved, no context twice) of K-grams of more than one context. cell: window starts that their K-grams stand for."""
+    many = saved(pieces.groupBy("gram").count().filter(F.col("count") > bucket).select("gram"), "many")
+    if many.isEmpty():
+        return _trees(pieces)
+    many, cell = small_side(many), -(-cell // SPLIT)
+    cut = saved(_cells(pieces.join(many, "gram", "left_semi"), cell), "cells")
+    keys = {"k0": "gram", "k1": "c1", "k2": "c2"}
+    # The pieces of one context are equal, as are what stands before.
+    unique = cut.groupBy(*keys).agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("piece").alias("piece"))
+    unique = saved(unique.withColumnsRenamed(keys), "split")
+    inner = _repeats(saved(_shared(unique).select(*CONTEXT, "before", "piece"), "pieces"), cell, bucket)
+    inner = inner.unionByName(_whole(unique, F.col("before"), F.octet_length("piece") - F.col("before")))
+    found = cut.select(*CONTEXT, *keys).join(inner.withColumnsRenamed({v: k for k, v in keys.items()}), list(keys)).select(*CONTEXT, "spans")
+    return _trees(pieces.join(many, "gram", "left_anti")).unionByName(found)
+
+
+def _shared(contexts: DataFrame) -> DataFrame:
+    """The contexts whose K-gram has others."""
+    several = saved(contexts.groupBy("gram").count().filter("count > 1").select("gram"), "several")
+    return contexts.join(small_side(several), "gram", "left_semi")
+
+
+def spans(base: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """_row, _crc and the repeated spans, array<struct<a, b>> in bytes, of each
     different row that has any. base: see _row()."""
     found = saved(_occurrences(base), "anchors")
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    one = F.min(F.struct("_row", "_crc", "at", "before", "after")).alias("o")
-    unique = found.join(often, "gram", "left_semi").groupBy("gram", "context").agg(F.count("*").alias("n"), one)
-    unique = saved(unique, "contexts")
-    whole = unique.filter("n > 1").select("gram", "context", F.array(F.struct((-F.col("o.before")).alias("a"), F.col("o.after").alias("b"))).alias("spans"))
-    sizes = unique.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
-    wanted = unique.join(sizes, "gram").select("gram", "context", "m", "o.*")
+    # Equal contexts have equal lengths before and after; any place of theirs stands for all.
+    one = [F.first(c).alias(c) for c in (*ROW, "at", "before", "after")]
+    unique = saved(found.groupBy(*CONTEXT).agg(F.count("*").alias("n"), *one), "contexts")
 
     # Each row that stands for a context is read once, with the list of its places.
-    lists = wanted.groupBy("_row", "_crc").agg(F.collect_list(F.struct("gram", "context", "m", "at", "before", "after")).alias("list"))
-    lists = small_side(saved(lists, "places"), 50_000).withColumnsRenamed({"_row": "_r", "_crc": "_c"})
+    lists = _shared(unique).groupBy(*ROW).agg(F.collect_list(F.struct(*CONTEXT, "at", "before", "after")).alias("list"))
+    lists = small_side(saved(lists, "places")).withColumnsRenamed({"_row": "_r", "_crc": "_c"})
     holders = base.join(lists, (base["_row"] == lists["_r"]) & (base["_crc"] == lists["_c"])).select("text", "list")
-    some = _task_spans(_pieces(holders.withColumn("list", F.filter("list", lambda p: p["m"] <= large))), bucket)
-    if not sizes.filter(F.col("m") > large).isEmpty():
-        most = _pieces(holders.withColumn("list", F.filter("list", lambda p: p["m"] > large)))
-        some = some.unionByName(_window_spans(most.dropDuplicates(["gram", "context"])))
-    each = some.unionByName(whole).groupBy("gram", "context").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    each = small_side(saved(_merged(each, "gram long, context long"), "relative"))
+    pieces = saved(_pieces(holders), "pieces")
+
+    each = _repeats(pieces, LENGTH - K + 1, bucket).unionByName(_whole(unique, F.col("before"), F.col("after")))
+    each = small_side(saved(_merged(each.groupBy(*CONTEXT).agg(F.flatten(F.collect_list("spans")).alias("spans")), CONTEXT), "relative"))
     moved = F.transform("spans", lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"]).alias("b")))
-    placed = found.join(each, ["gram", "context"]).select("_row", "_crc", moved.alias("spans"))
-    return _merged(placed.groupBy("_row", "_crc").agg(F.flatten(F.collect_list("spans")).alias("spans")), "_row long, _crc long")
+    placed = found.join(each, CONTEXT).select(*ROW, moved.alias("spans"))
+    return _merged(placed.groupBy(*ROW).agg(F.flatten(F.collect_set("spans")).alias("spans")), ROW)
 
 
-def _merged(df: DataFrame, keys: str) -> DataFrame:
-    """df (two keys and spans) with the spans that meet as one."""
-    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+def _merged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df (keys of long, and spans) with the spans that meet as one."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(len(keys))
             flat, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
             a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            each = [joined(set(zip(a[i:j].tolist(), b[i:j].tolist(), strict=True))) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            rows = pa.array([[{"a": x, "b": y} for x, y in spans] for spans in each], span)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=batch.schema.names)
-
-    return df.mapInArrow(run, f"{keys}, spans array<struct<a:bigint,b:bigint>>")
-
-
-def _pieces(holders: DataFrame) -> DataFrame:
-    """gram, context, before, piece of each listed place."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for text, places in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(p["gram"], p["context"], p["before"], text[p["at"] - p["before"] : p["at"] + p["after"]]) for p in places]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["gram", "context", "before", "piece"])
+            each = [joined(zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], _spans_array(each)], names=batch.schema.names)
 
-    return holders.filter(F.size("list") > 0).mapInArrow(cut, "gram long, context long, before int, piece binary")
+    return df.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + f", spans {SPANS}")
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -322,7 +332,6 @@ def cut(docs: DataFrame) -> DataFrame:
     base = _row(docs)
     removed = small_side(saved(spans(base), "removed")).withColumnsRenamed({"_row": "_r", "_crc": "_c"})
     both = base.join(removed, (base["_row"] == removed["_r"]) & (base["_crc"] == removed["_c"]), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
-    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches):
         for batch in batches:
@@ -331,9 +340,9 @@ def cut(docs: DataFrame) -> DataFrame:
                 ends = [0, *(x for s in gone or () for x in (s["a"], s["b"])), len(text)]
                 kept.append(b"".join(text[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True)))
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), batch.column(2).cast(span), pa.array(sizes, pa.int64())], names=["doc_id", "kept", "removed", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), batch.column(2), pa.array(sizes, pa.int64())], names=["doc_id", "kept", "removed", "n_bytes"])
 
-    return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kept binary, removed array<struct<a:bigint,b:bigint>>, n_bytes long")
+    return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, kept binary, removed {SPANS}, n_bytes long")
 
 
 def digests(docs: DataFrame) -> DataFrame:

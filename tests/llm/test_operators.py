@@ -190,8 +190,8 @@ def test_decontamination_few_literals(spark):
     assert got == {(i, i % 10) for i, _ in rows if i < 100}
 
 
-@pytest.mark.parametrize("bucket, large", [(64, 4096), (3, 4096), (3, 5)])
-def test_repeats(spark, bucket, large):
+@pytest.mark.parametrize("bucket", [repeats.BUCKET, 3])
+def test_repeats(spark, bucket):
     rnd = random.Random(3)
     w = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
     p, q = w(500), w(900)
@@ -211,7 +211,7 @@ def test_repeats(spark, bucket, large):
         runs = int((np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1).sum())
         want[(i, len(t), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())] += 1
     before = repeats.spans.__defaults__
-    repeats.spans.__defaults__ = (bucket, large)
+    repeats.spans.__defaults__ = (bucket,)
     try:
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         assert Counter(tuple(r) for r in repeats.digests(docs).collect()) == want
