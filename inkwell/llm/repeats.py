@@ -45,14 +45,15 @@ from pyspark.sql import functions as F
 
 from .common import saved, small_side
 
-LENGTH, K = 400, 192
-#: Most different contexts that one task puts into a tree: 4096 have 2.5 MB at most.
-BUCKET = 4096
+LENGTH, K = 400, 128
+#: Most different contexts that are put into one tree: 512 have 0.3 MB at most.
+BUCKET = 512
 #: Cells are this many times smaller with each split.
 SPLIT = 4
 #: Window starts that are looked at together, which bounds the memory for a long text.
 BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
+#: Of the K-gram, and of the context, which has the K-gram in it.
 CONTEXT = ["gram", "c1", "c2"]
 ROW = ["_row", "_crc"]
 SPANS = "array<struct<a:bigint,b:bigint>>"
@@ -180,7 +181,7 @@ def _spans_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
 
 def _occurrences(base: DataFrame) -> DataFrame:
     """_row, _crc, gram, c1, c2, at, before, after of each anchor of each row."""
-    names = [*ROW, *CONTEXT, "at", "before", "after"]
+    names, small = [*ROW, *CONTEXT, "at", "before", "after"], {"at", "before", "after"}
 
     def run(batches):
         for batch in batches:
@@ -191,10 +192,10 @@ def _occurrences(base: DataFrame) -> DataFrame:
                 places.append(np.stack([gram, at, at - first, last + LENGTH - at]))
                 rows.append(np.repeat(np.array([[row], [crc]]), len(at), axis=1))
             r, p = np.concatenate(rows, axis=1), np.concatenate(places, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*r, p[0], *_halves(contexts), *p[1:])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n in small else pa.int64()) for n, x in zip(names, (*r, p[0], *_halves(contexts), *p[1:]), strict=True)], names=names)
 
     long = base.filter(F.octet_length("text") >= LENGTH).select(*ROW, "text")
-    return long.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return long.mapInArrow(run, ", ".join(f"{n} {'int' if n in small else 'long'}" for n in names))
 
 
 def _pieces(holders: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def _cells(pieces: DataFrame, cell: int) -> DataFrame:
 
 def _whole(contexts: DataFrame, before, after) -> DataFrame:
     """The span of each context that is found twice or more."""
-    return contexts.filter("n > 1").select(*CONTEXT, F.array(F.struct((-before).alias("a"), after.alias("b"))).alias("spans"))
+    return contexts.filter("n > 1").select(*CONTEXT, F.array(F.struct((-before).cast("long").alias("a"), after.cast("long").alias("b"))).alias("spans"))
 
 
 def _repeats(pieces: DataFrame, cell: int, bucket: int) -> DataFrame:
@@ -294,22 +295,24 @@ def _shared(contexts: DataFrame) -> DataFrame:
 
 def spans(base: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """_row, _crc and the repeated spans, array<struct<a, b>> in bytes, of each
-    different row that has any. base: see _row()."""
+    different row that has any. base: see _row().
+
+    What grows with the corpus is joined by a shuffle at any size, so a plan that works on little works on much."""
     found = saved(_occurrences(base), "anchors")
     # Equal contexts have equal lengths before and after; any place of theirs stands for all.
-    one = [F.first(c).alias(c) for c in (*ROW, "at", "before", "after")]
-    unique = saved(found.groupBy(*CONTEXT).agg(F.count("*").alias("n"), *one), "contexts")
+    one = [F.first(c).alias(c) for c in ("gram", *ROW, "at", "before", "after")]
+    unique = saved(found.groupBy("c1", "c2").agg(F.count("*").alias("n"), *one), "contexts")
 
     # Each row that stands for a context is read once, with the list of its places.
     lists = _shared(unique).groupBy(*ROW).agg(F.collect_list(F.struct(*CONTEXT, "at", "before", "after")).alias("list"))
-    lists = small_side(saved(lists, "places")).withColumnsRenamed({"_row": "_r", "_crc": "_c"})
-    holders = base.join(lists, (base["_row"] == lists["_r"]) & (base["_crc"] == lists["_c"])).select("text", "list")
+    lists = saved(lists, "places").withColumnsRenamed({"_row": "_r", "_crc": "_c"})
+    holders = base.select(*ROW, "text").join(lists, (base["_row"] == lists["_r"]) & (base["_crc"] == lists["_c"])).select("text", "list")
     pieces = saved(_pieces(holders), "pieces")
 
     each = _repeats(pieces, LENGTH - K + 1, bucket).unionByName(_whole(unique, F.col("before"), F.col("after")))
-    each = small_side(saved(_merged(each.groupBy(*CONTEXT).agg(F.flatten(F.collect_list("spans")).alias("spans")), CONTEXT), "relative"))
+    each = _merged(each.groupBy("c1", "c2").agg(F.flatten(F.collect_list("spans")).alias("spans")), ["c1", "c2"])
     moved = F.transform("spans", lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"]).alias("b")))
-    placed = found.join(each, CONTEXT).select(*ROW, moved.alias("spans"))
+    placed = found.select(*ROW, "c1", "c2", "at").join(saved(each, "relative"), ["c1", "c2"]).select(*ROW, moved.alias("spans"))
     return _merged(placed.groupBy(*ROW).agg(F.flatten(F.collect_set("spans")).alias("spans")), ROW)
 
 
@@ -330,7 +333,7 @@ def _merged(df: DataFrame, keys: list[str]) -> DataFrame:
 def cut(docs: DataFrame) -> DataFrame:
     """doc_id, the bytes kept, the spans removed and n_bytes of each document."""
     base = _row(docs)
-    removed = small_side(saved(spans(base), "removed")).withColumnsRenamed({"_row": "_r", "_crc": "_c"})
+    removed = saved(spans(base), "removed").withColumnsRenamed({"_row": "_r", "_crc": "_c"})
     both = base.join(removed, (base["_row"] == removed["_r"]) & (base["_crc"] == removed["_c"]), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
 
     def run(batches):
@@ -352,4 +355,5 @@ def digests(docs: DataFrame) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.col("removed").isNotNull().alias("repeated"),
     )

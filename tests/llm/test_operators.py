@@ -214,7 +214,7 @@ def test_repeats(spark, bucket):
     repeats.spans.__defaults__ = (bucket,)
     try:
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        assert Counter(tuple(r) for r in repeats.digests(docs).collect()) == want
+        assert Counter(tuple(r)[:5] for r in repeats.digests(docs).collect()) == want
     finally:
         repeats.spans.__defaults__ = before
 
