@@ -1,34 +1,40 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each
-different one is a protected entity e. How strongly a term t reveals it is
-estimated from the corpus: with n documents, pointwise mutual information
+stands for protected entities e: the value itself, and what it shares with
+others, so that the corpus can say something of values that occur once: the
+owner (the words of an e-mail's local part), its domain, an IP's block of 256,
+the first six digits of a card or phone number. How strongly a term t reveals e
+is estimated from the corpus: with n documents, pointwise mutual information
 PMI(e; t) = log2(n * n(e, t) / (n(e) * n(t))) against the information of the
 entity IC(e) = log2(n / n(e)), where n(e, t) counts documents that have t within
-``window`` words of e. disclosure = PMI / IC is 1 if t is always near e. In the
-documents that hold e, terms at ``remove`` or more become [TERM]; those at
-``generalise`` or more become their kind ([NAME] if capitalised, else [WORD]).
-To keep chance out, a term must stand near e in ``support`` different
-contexts, so copies of one text count once, and an entity in fewer contexts
-reveals nothing.
+``window`` words of e. PMI / IC is 1 if t is always near e and nowhere else.
+Small counts say little, so it is discounted by c / (c + 1) * m / (m + 1), c
+being the different contexts in which both stand (copies of a text count once)
+and m the smaller of n(e) and n(t). In the documents that hold e, terms of a
+disclosure of ``remove`` or more become [TERM]; those of ``generalise`` or more
+become their kind ([NAME] if capitalised, else [WORD]).
 
 Offsets are code points, ends exclusive.
 
 Edge cases: null and empty texts have no spans; overlapping spans of different
 kinds are all reported and masked as one; rows that repeat an id share the
-terms found for that id; an empty table gives an empty result.
+terms found for that id and text; of a term's two levels the stronger counts;
+very long texts are read whole, a window at a time; columns of any name and
+value come back as they were; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, saved, small_side
+from .common import keyed, packed, saved, small_side
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -38,7 +44,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = regex.compile(r"\p{L}{3,}")  # as terms_of() has it
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -76,51 +82,86 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def entity(kind: str, value: str) -> str:
-    return f"{kind}:{value.lower() if kind in ('email', 'ip') else DIGITS.sub('', value)}"
+def entities(kind: str, value: str) -> list[str]:
+    """What a value stands for: itself, and the owner and the class it shares with others."""
+    digits = DIGITS.sub("", value)
+    if kind == "email":
+        local, _, domain = value.lower().rpartition("@")
+        owner = " ".join(sorted(TERM.findall(local)))
+        return [f"email:{local}@{domain}", f"domain:{domain}"] + ([f"owner:{owner}"] if owner else [])
+    if kind == "ip":
+        return [f"ip:{value}", f"block:{value.rpartition('.')[0]}"]
+    return [f"{kind}:{digits}", f"{kind} prefix:{digits[:6]}"]
+
+
+def words_before(text: str, end: int, window: int) -> str:
+    """The last words of text[:end], looked for further back until there are enough."""
+    reach = window * 16
+    while True:
+        start = max(0, end - reach)
+        words = text[start:end].split()
+        if start == 0 or len(words) > window + 1:
+            return " ".join(words[-window:])
+        reach *= 4
+
+
+def words_after(text: str, start: int, window: int) -> str:
+    reach = window * 16
+    while True:
+        words = text[start : start + reach].split()
+        if start + reach >= len(text) or len(words) > window + 1:
+            return " ".join(words[:window])
+        reach *= 4
 
 
 def contexts(text: str, window: int):
-    """Of each base span: entity, hash of what stands around it, and the terms there."""
-    reach = window * 24
+    """Of each base span: its entities, a hash of what stands around it, and that text."""
     for kind, a, b in base_spans(text):
-        left = re.split(r"\s+", text[max(0, a - reach) : a])[-window - 1 :]
-        right = re.split(r"\s+", text[b : b + reach])[: window + 1]
-        near = " ".join(left), " ".join(right)
-        terms = {t.lower() for side in near for t in TERM.findall(side)}
-        yield entity(kind, text[a:b]), hashlib.blake2b("\0".join(near).encode("utf-8", "replace"), digest_size=8).hexdigest(), sorted(terms)
+        near = words_before(text, a, window) + "\n" + words_after(text, b, window)
+        yield entities(kind, text[a:b]), xxhash.xxh3_64_intdigest(near.encode("utf-8", "replace")) - (1 << 63), near
 
 
 def mentions(docs: DataFrame, window: int) -> DataFrame:
-    """_id, _h, entity, context and terms of each base span. docs: see keyed()."""
+    """_id, _h, entities, context and the text near it of each base span. docs: see keyed()."""
 
     def run(batches):
         for batch in batches:
             rows = [(i, h, *c) for i, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for c in contexts(t, window)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["_id", "_h", "entity", "context", "terms"])
+            types = [batch.schema.field(0).type, pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["_id", "_h", "entities", "context", "near"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.filter(F.col("_text").rlike("[0-9@]")).mapInArrow(run, f"_id {kind}, _h long, entity string, context string, terms array<string>")
+    return docs.filter(F.col("_text").rlike("[0-9@]")).mapInArrow(run, f"_id {kind}, _h long, entities array<string>, context long, near string")
+
+
+def terms_of(text) -> Column:
+    """The different terms of a text: letters, three or more, without case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
 def disclosures(docs: DataFrame, seen: DataFrame, support: int) -> DataFrame:
-    """entity, term, disclosure of the terms with enough support. docs and seen: as above."""
-    n_e = seen.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_h").alias("n_e"))
-    often = n_e.filter(F.col("contexts") >= support)
-    near = seen.join(often, "entity").select("entity", "n_e", "context", "_h", F.explode("terms").alias("term"))
-    pairs = near.groupBy("entity", "n_e", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_h").alias("n_et"))
-    pairs = saved(pairs.filter(F.col("contexts") >= support).drop("contexts"), "pairs")
+    """entity, term, disclosure of the terms that stand near an entity in ``support`` contexts or more. docs and seen: as above."""
+    each = seen.select("_h", "context", "near", F.explode("entities").alias("entity"))
+    n_e = each.groupBy("entity").agg(F.countDistinct("_h").alias("n_e"))
+    near = each.select("_h", "context", "entity", F.explode(terms_of(F.col("near"))).alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_h").alias("n_et"))
+    pairs = saved(pairs.filter(F.col("contexts") >= support), "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))
     # Counted in each task before any join, so that a task sends a row for each different word.
-    n_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = docs.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n = float(docs.count())
-    pmi = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    counted = pairs.join(n_e, "entity").join(n_t, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0)), "n_et"))
+    pmi = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     info = F.log2(F.lit(n) / F.col("n_e"))
-    return pairs.join(n_t, "term").select("entity", "term", F.when(info > 0, pmi / info).otherwise(0.0).alias("disclosure"))
+    return counted.select("entity", "term", F.when(info > 0, pmi / info * trust()).otherwise(0.0).alias("disclosure"))
+
+
+def trust() -> Column:
+    """Near 1 for counts that are large enough to say something: contexts / (contexts + 1) * least count / (least count + 1)."""
+    least = F.least("n_e", "n_t")
+    return F.col("contexts") / (F.col("contexts") + 1) * least / (least + 1)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -132,58 +173,60 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def find(docs: DataFrame, window: int = 8, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
-    """_id, _h, spans array<struct<kind, start, end>> and sanitised text of each document.
+def find(docs: DataFrame, window: int = 8, support: int = 2, generalise: float = 0.5, remove: float = 0.75) -> DataFrame:
+    """_row (all columns of docs), _id, _h, and found: spans array<struct<kind, start, end>> and the sanitised text of each document.
 
     Kinds are those of the base, then term, name and word."""
-    base = keyed(docs)
-    seen = saved(mentions(base, window), "mentions")
-    strong = disclosures(base, seen, support).filter(F.col("disclosure") >= generalise)
+    base = packed(docs)
+    seen = saved(mentions(keyed(docs), window), "mentions")
+    strong = disclosures(keyed(docs), seen, support).filter(F.col("disclosure") >= generalise)
+    strong = small_side(saved(strong, "strong"))
     level = F.when(F.col("disclosure") >= remove, F.concat(F.lit("-"), "term")).otherwise(F.concat(F.lit("~"), "term"))
-    told = seen.select("_id", "_h", "entity").distinct().join(strong, "entity").groupBy("_id", "_h").agg(F.sort_array(F.collect_set(level)).alias("_terms"))
-    told = small_side(saved(told, "told")).withColumnsRenamed({"_id": "_i", "_h": "_k"})
-    both = base.join(told, (base["_h"] == told["_k"]) & base["_id"].eqNullSafe(told["_i"]), "left").select("_id", "_h", "_text", "_terms")
+    held = seen.select(F.col("_id").alias("_i"), F.col("_h").alias("_k"), F.explode("entities").alias("entity")).distinct()
+    told = held.join(strong, "entity").groupBy("_i", "_k").agg(F.sort_array(F.collect_set(level)).alias("_terms"))
+    told = small_side(saved(told, "told"))
+    both = base.join(told, (base["_h"] == told["_k"]) & base["_id"].eqNullSafe(told["_i"]), "left")
+    return both.select("_row", "_id", "_h", F.arrow_udf(sanitised, FOUND)("_text", "_terms").alias("found"))
+
+
+FOUND = "struct<spans:array<struct<kind:string,start:bigint,end:bigint>>,text:string>"
+
+
+def sanitised(texts: pa.Array, terms: pa.Array) -> pa.Array:
+    spans, out = [], []
+    for text, told in zip(texts, terms, strict=True):
+        text, told = text.as_py(), told.as_py()
+        own = base_spans(text) if text else []
+        if text and told:
+            how = {t[1:]: t[0] for t in reversed(told)}
+            for m in TERM.finditer(text):
+                if mark := how.get(m[0].lower()):
+                    own.append(("term" if mark == "-" else "name" if m[0][0].isupper() else "word", *m.span()))
+        spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
+        out.append(masked(text, own) if own else text)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            spans, texts = [], []
-            for text, terms in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = base_spans(text) if text else []
-                if text and terms:
-                    how = {t[1:]: t[0] for t in reversed(terms)}
-                    for m in TERM.finditer(text):
-                        if mark := how.get(m[0].lower()):
-                            own.append(("term" if mark == "-" else "name" if m[0][0].isupper() else "word", *m.span()))
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                texts.append(masked(text, own) if own else text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(texts, pa.string())], names=["_id", "_h", "spans", "sanitised"])
-
-    kind = base.schema["_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"_id {kind}, _h long, spans array<struct<kind:string,start:bigint,end:bigint>>, sanitised string")
+    return pa.StructArray.from_arrays([pa.array(spans, pa.list_(span)), pa.array(out, pa.string())], ["spans", "text"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    spans = F.col("spans")
+    spans = F.col("found.spans")
     named = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = F.concat_ws(",", F.transform(F.filter(spans, lambda s: s["kind"].isin(*KINDS)), named))
-    return find(docs).select(
+    return find(docs.select("doc_id", "text")).select(
         F.col("_id").alias("doc_id"),
         *(count(k) for k in KINDS),
         F.sha2(joined, 256).alias("base_sha256"),
         F.concat_ws(",", F.transform(spans, named)).alias("spans"),
+        (F.size(spans) > 0).alias("private"),
+        F.size(F.filter(spans, lambda s: ~s["kind"].isin(*KINDS))).cast("long").alias("n_terms"),
     )
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with sanitised texts, n_chars to match, in the same columns."""
-    found = find(docs).select("_id", "_h", "sanitised", F.size("spans").alias("_n")).filter("_n > 0").distinct()
-    found = small_side(saved(found, "sanitised"))
-    left = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    both = left.join(found, (left["_key"] == found["_h"]) & left["doc_id"].eqNullSafe(found["_id"]), "left")
-    changed = F.col("_h").isNotNull()
-    new = {"text": F.when(changed, F.col("sanitised")).otherwise(F.col("text"))}
+    new = {"text": F.col("found.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("sanitised").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return both.select(*(new[c].alias(c) if c in new else left[c] for c in docs.columns))
+        length = F.length("found.text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.size("found.spans") > 0, length).otherwise(F.col("_row.n_chars"))
+    return find(docs).select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
