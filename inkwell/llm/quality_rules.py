@@ -1,45 +1,88 @@
-"""Quality rules: how far a document's statistics are from a language's.
-
-Two histograms of each document are compared with references by the
-Jensen-Shannon divergence (base 2, 0 to 1): of character classes (lower-case,
-upper-case and other letters, white space, digits, punctuation, symbols) and of
-common words (each with its share of all words, the rest as one). The word
-divergence is the least over the reference languages, so a wrong or missing
-``lang`` does no harm. Under ``min_words`` words the histograms say too little,
-and only the base rules count.
-
-All of it is column expressions within a row: no shuffle, no Python.
-
-Edge cases: null, empty and wordless texts have zeros everywhere, divergence 0,
-and fail the base rule of 50 words; rows that repeat an id are judged each for
-itself; an empty table gives an empty result.
+"""Quality rules: how far a document's statistics are from its language's.
+
+Two histograms of each document are compared with a reference of its language
+by the Jensen-Shannon distance (base 2, 0 to 1): of character classes
+(lower-case, upper-case and other letters, white space, digits, punctuation,
+symbols) and of the language's most common words (each with its share of all
+words, the rest as one). The references are counted over the whole corpus by
+``lang``: of each class the median share, which junk hardly moves, and the
+``common`` most frequent words that have a letter, with their shares.
+
+A sample of n draws from a distribution of k bins is itself about
+(k - 1) / (8 n ln 2) from it in divergence, so that much is taken off before
+the root. Minimum lengths: a reference needs ``least`` words; under
+``min_words`` words only the classes are compared, and under 50 the base rule
+fails a document anyway. A document without ``lang`` is held against the
+nearest reference; one whose language has none is judged by the base rules.
+
+All of it is DataFrame expressions: no Python, and no shuffle but of the
+references' partial counts.
+
+Edge cases: null, empty and wordless texts have zeros everywhere, no distance,
+and fail the base rule of 50 words; a distance just at its bound is kept; of
+equally common words the one that the sketch names first counts; rows that
+repeat an id are judged each for itself; very long texts are read whole; the
+caller's columns come back as they were, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words_of
-
-# Shares of characters in running text, and of the most common
-# words among the words of general prose, rounded, by language.
-CLASSES = {"lower": 0.77, "upper": 0.03, "letter": 0.0005, "space": 0.163, "digit": 0.006, "point": 0.03, "symbol": 0.0005}
-WORDS = {
-    "en": "the 6.2 of 3.0 and 2.8 to 2.5 a 2.2 in 2.0 is 1.0 that 1.0 for 0.9 it 0.9 was 0.8 on 0.7 with 0.7 he 0.7 as 0.7 be 0.6 at 0.5 by 0.5 this 0.5 are 0.5 not 0.5 from 0.4 or 0.4 but 0.4 have 0.4",
-    "de": "der 3.4 die 3.3 und 2.7 in 1.9 den 1.2 von 1.0 zu 1.0 das 1.0 mit 0.9 sich 0.8 des 0.8 auf 0.8 ist 0.8 für 0.8 im 0.7 dem 0.7 nicht 0.7 ein 0.7 eine 0.7 als 0.6 auch 0.5 es 0.5 an 0.5 er 0.4 aus 0.4",
-    "fr": "de 4.5 la 2.8 le 2.2 et 2.1 les 2.0 des 1.7 en 1.4 un 1.2 du 1.2 une 1.0 que 1.0 est 0.9 pour 0.9 qui 0.8 dans 0.8 à 1.8 par 0.7 plus 0.5 pas 0.5 au 0.5 sur 0.5 ne 0.5 ce 0.5 il 0.5 se 0.4",
-    "es": "de 6.0 la 3.7 que 3.0 el 2.9 en 2.7 y 2.6 a 2.0 los 1.7 se 1.3 del 1.2 las 1.1 un 1.0 por 0.9 con 0.9 no 0.9 una 0.8 su 0.7 para 0.7 es 0.7 al 0.6 lo 0.6 como 0.5 más 0.5 o 0.4 sus 0.4",
-}
-POINTS = ".,;:!?'\"()-"
-MIN_WORDS = 50
-#: Most divergence of classes, of words, and of both with classes counted CLASS_WEIGHT times.
-MAX_CLASS, MAX_WORD, MAX_BOTH, CLASS_WEIGHT = 0.06, 0.18, 0.19, 3
-
-
-def reference(lang: str) -> dict[str, float]:
-    parts = WORDS[lang].split()
-    return {w: float(x) / 100 for w, x in zip(parts[::2], parts[1::2], strict=True)}
+from .common import let, once, words_of
+
+KINDS = ("lower", "upper", "letter", "space", "digit", "point", "symbol")
+#: White space, and what may stand before or after a word.
+BREAKS = r"[\x20\x09-\x0D.,;:!?'\"()-]+"
+COMMON, LEAST, MIN_WORDS = 50, 10_000, 75
+#: Most distance of classes and of words.
+MAX_CLASS, MAX_WORD = 0.18, 0.22
+#: Items that the sketch of frequent words tracks: counts are right within about a 4000th of all words.
+TRACKED = 20_000
+REFERENCES = "array<struct<lang:string,classes:array<double>,words:array<string>,shares:array<double>>>"
+
+
+def class_counts(text: Column) -> dict[str, Column]:
+    """Characters of each class; symbols are what is left."""
+    size = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
+    found = {"lower": size(r"\p{Ll}"), "upper": size(r"\p{Lu}"), "letter": size(r"\p{L}&&[^\p{Ll}\p{Lu}]"), "space": size(r"\s"), "digit": size(r"\p{N}"), "point": size(r".,;:!?'\"()\-")}
+    return found
+
+
+def bare_words(text: Column) -> Column:
+    """Lower-case words without the signs around them."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAKS), lambda w: w != "")
+
+
+def references(docs: DataFrame, common: int = COMMON, least: int = LEAST) -> list[dict]:
+    """lang, classes, words and shares of each language that has ``least`` words: a row a language, so it is small."""
+    docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    n = F.length("text")
+    counts = class_counts(F.col("text"))
+    shares = docs.filter(n > 0).select("lang", *((c / n).alias(k) for k, c in counts.items()))
+    middle = shares.groupBy("lang").agg(*(F.percentile_approx(k, 0.5, 1000).alias(k) for k in counts))
+    each = docs.select("lang", F.explode(bare_words(F.col("text"))).alias("w"))
+    # Twice as many as wanted, since some may be no words.
+    words = each.groupBy("lang").agg(F.expr(f"approx_top_k(w, {2 * common}, {TRACKED})").alias("top"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    top = F.slice(F.filter("top", lambda t: t["item"].rlike(r"\p{L}")), 1, common)
+    words = words.select("lang", F.transform(top, lambda t: t["item"]).alias("words"), F.transform(top, lambda t: t["count"] / F.col("n")).alias("shares"))
+    classes = {r.lang: [float(r[k]) for k in counts] for r in middle.collect()}
+    out = []
+    for r in sorted(words.collect(), key=lambda r: r.lang):
+        own = classes[r.lang]
+        out.append({"lang": r.lang, "classes": [*own, max(0.0, 1 - sum(own))], "words": r.words, "shares": r.shares})
+    return out
+
+
+def _literal(known: list[dict]) -> Column:
+    if not known:
+        return F.array().cast(REFERENCES)
+    array = lambda xs: F.array(*map(F.lit, xs))
+    return F.array(*(F.struct(F.lit(r["lang"]).alias("lang"), array(r["classes"]).alias("classes"), array(r["words"]).alias("words"), array(r["shares"]).alias("shares")) for r in known)).cast(REFERENCES)
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -52,43 +95,38 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
-def class_divergence(counts: dict[str, Column]) -> Column:
-    n = sum(counts.values())
-    total = sum(CLASSES.values())
-    out = sum(_term(c / n, F.lit(CLASSES[k] / total)) for k, c in counts.items()) / 2
-    return F.when(n > 0, out).otherwise(0.0)
+def _distance(twice: Column, bins: Column, n: Column) -> Column:
+    """From twice the divergence, less what chance makes of n draws."""
+    return F.sqrt(F.greatest(F.lit(0.0), twice / 2 - (bins - 1) / (8 * math.log(2) * n)))
 
 
-def word_divergence(text: Column, n_words: Column) -> Column:
-    """The least divergence of common words over the languages."""
-    known = sorted({w for lang in WORDS for w in reference(lang)})
-    split = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), POINTS, " " * len(POINTS)), r"[\x20\x09-\x0D]+")
-    common = F.sort_array(F.filter(split, lambda w: w.isin(known)))
+def class_distance(counts: Column, n: Column, ref: Column) -> Column:
+    """counts: an array in the order of KINDS."""
+    return _distance(_sum(F.zip_with(counts, ref["classes"], lambda c, q: _term(c / n, q))), F.lit(len(KINDS)), n)
 
-    def bins(s: Column) -> Column:
-        """word, n of each run of equal words."""
-        first = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1) != w), i)), lambda i: i.isNotNull())
-        return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("n"))))
 
-    def to(lang: str, runs: Column) -> Column:
-        ref = reference(lang)
-        rest = 1 - sum(ref.values())
-        words, shares = F.array(*map(F.lit, ref)), F.array(*map(F.lit, ref.values()))
-        q = lambda r: F.coalesce(F.get(shares, F.array_position(words, r["w"]).cast("int") - 1), F.lit(0.0))
-        pairs = F.transform(runs, lambda r: F.struct((r["n"] / n_words).alias("p"), q(r).alias("q")))
+def word_distance(runs: Column, n: Column, ref: Column) -> Column:
+    """runs: word and n of the words that any reference has."""
+    share = lambda w: F.get(ref["shares"], F.array_position(ref["words"], w).cast("int") - 1)
+    pairs = F.filter(F.transform(runs, lambda r: F.struct((r["n"] / n).alias("p"), share(r["w"]).alias("q"))), lambda x: x["q"].isNotNull())
+
+    def twice(ps: Column) -> Column:
+        total, held = _sum(ref["shares"]), _sum(F.transform(ps, lambda x: x["q"]))
+        other = F.greatest(1 - _sum(F.transform(ps, lambda x: x["p"])), F.lit(0.0))
+        # A common word that the document lacks adds its whole share.
+        return _sum(F.transform(ps, lambda x: _term(x["p"], x["q"]))) + total - held + _term(other, 1 - total)
 
-        def divergence(ps: Column) -> Column:
-            seen = _sum(F.transform(ps, lambda x: _term(x["p"], x["q"])))
-            unseen = F.lit(1 - rest) - _sum(F.transform(ps, lambda x: x["q"]))  # common words it lacks
-            other = F.greatest(1 - _sum(F.transform(ps, lambda x: x["p"])), F.lit(0.0))
-            return (seen + unseen + _term(other, F.lit(rest))) / 2
+    return _distance(let(pairs, twice), F.size(ref["words"]) + 1, n)
 
-        return let(pairs, divergence)
 
-    def least(runs: Column) -> Column:
-        return F.least(*(to(lang, runs) for lang in WORDS))
+def _runs(words: Column) -> Column:
+    """word and n of each run of equal words."""
 
-    return F.when(n_words > 0, let(let(common, bins), least)).otherwise(0.0)
+    def bins(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1) != w), i)), lambda i: i.isNotNull())
+        return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("n"))))
+
+    return let(F.sort_array(words), bins)
 
 
 def repeat_words(words: Column) -> Column:
@@ -111,62 +149,50 @@ def repeat_words(words: Column) -> Column:
     return let(hashes, covered).cast("long")
 
 
-def rules(docs: DataFrame, min_words: int = MIN_WORDS, max_class: float = MAX_CLASS, max_word: float = MAX_WORD, max_both: float = MAX_BOTH) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, class_divergence, word_divergence and kept, in columns that
-    replace any of the same name."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = lambda c: F.length(c).cast("long")
-    without = lambda c, what: F.regexp_replace(c, what, "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = (
-        docs.withColumn("_text", text)
-        .withColumn("_words", words_of(F.col("text")))
-        .withColumn("_rest", without("_text", r"[\p{Ll}]+"))
-        .withColumn("_other", without("_rest", r"[\p{L}]+"))
-        .withColumn("_lines", lines)
-        .withColumn("n_words", size_of("_words"))
-        .withColumn("word_chars", size(without("_text", r"[\x20\x09-\x0D]+")))
-        .withColumn("n_symbols", size(without("_other", r"[^#*$%&|<>]+")))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", repeat_words(F.col("_words")))
-        .withColumn("word_divergence", word_divergence(F.col("text"), F.col("n_words")))
-    )
-    upper = size("_rest") - size(without("_rest", r"[\p{Lu}]+"))
-    space, digit, point = (size("_other") - size(without("_other", p)) for p in (r"[\s]+", r"[\p{N}]+", r"[.,;:!?'\"()-]+"))
-    step = step.withColumns({"_upper": upper, "_space": space, "_digit": digit, "_point": point})
-    counts = {
-        "lower": size("_text") - size("_rest"),
-        "upper": F.col("_upper"),
-        "letter": size("_rest") - size("_other") - F.col("_upper"),
-        "space": F.col("_space"),
-        "digit": F.col("_digit"),
-        "point": F.col("_point"),
-        "symbol": size("_other") - F.col("_space") - F.col("_digit") - F.col("_point"),
-    }
-    step = step.withColumns({f"_n_{k}": c for k, c in counts.items()})
-    step = step.withColumn("class_divergence", class_divergence({k: F.col(f"_n_{k}") for k in counts}))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    near = (F.col("n_words") < min_words) | ((F.col("class_divergence") <= max_class) & (F.col("word_divergence") <= max_word) & (CLASS_WEIGHT * F.col("class_divergence") + F.col("word_divergence") <= max_both))
-    out = step.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
-    return out.drop("_text", "_words", "_rest", "_other", "_lines", "_upper", "_space", "_digit", "_point", *(f"_n_{k}" for k in counts))
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
 
-def size_of(name: str) -> Column:
-    return F.size(name).cast("long")
-
-
-COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_divergence", "word_divergence"]
+def rules(docs: DataFrame, known: list[dict], min_words: int = MIN_WORDS, max_class: float = MAX_CLASS, max_word: float = MAX_WORD) -> DataFrame:
+    """_row (all columns of docs) and STATS of each document. known: see references()."""
+    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
+    base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), lang.alias("_lang"), F.coalesce(docs["text"], F.lit("")).alias("_text"), words_of(docs["text"]).alias("_words"), bare_words(docs["text"]).alias("_bare"))
+    text, size = F.col("_text"), lambda c: F.size(c).cast("long")
+    without = lambda what: F.length(F.regexp_replace(text, what, "")).cast("long")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    names = sorted({w for r in known for w in r["words"]})
+    step = base.select(
+        "_row",
+        size("_words").alias("n_words"),
+        without(r"[\x20\x09-\x0D]+").alias("word_chars"),
+        without(r"[^#*$%&|<>]+").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col("_words")).alias("n_repeat_words"),
+        F.filter(_literal(known), lambda r: F.col("_lang").isNull() | (r["lang"] == F.col("_lang"))).alias("_refs"),
+        size("_bare").alias("_n"),
+        _runs(F.filter("_bare", lambda w: w.isin(names))).alias("_runs") if names else F.array().cast("array<struct<w:string,n:int>>").alias("_runs"),
+        F.length(text).cast("long").alias("_size"),
+        F.array(*class_counts(text).values()).alias("_counts"),
+    )
+    counts = F.concat("_counts", F.array(F.col("_size") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)))
+    least = lambda f: F.array_min(F.transform("_refs", f))
+    step = step.select(
+        "_row",
+        *STATS[:5],
+        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
+        F.when(F.col("_size") > 0, let(counts, lambda c: least(lambda r: class_distance(c, F.col("_size"), r)))).alias("class_distance"),
+        F.when(F.col("_n") >= min_words, least(lambda r: word_distance(F.col("_runs"), F.col("_n"), r))).alias("word_distance"),
+    )
+    near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
+    return once(step, {c: F.col(c) if c != "kept" else ~F.col("base_failed") & near for c in STATS}, "_row")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return rules(docs.select("doc_id", "text")).select("doc_id", *COLUMNS)
+    """doc_id and STATS."""
+    docs = docs.select("doc_id", "text", "lang")
+    return rules(docs, references(docs)).select("_row.doc_id", *STATS)
 
 
 def passed(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, in their own columns."""
-    judged = rules(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
-    # A filter goes below a projection unless that numbers rows; here it would
-    # take a copy of every expression along for each use of it.
-    numbered = judged.withColumn("_no", F.monotonically_increasing_id())
-    return numbered.filter("kept and _no >= 0").select("_row.*")
+    known = references(docs.select("text", "lang")) if "lang" in docs.columns else []
+    return rules(docs, known).filter("kept").select("_row.*")
