@@ -9,19 +9,20 @@ score for each language. Both steps fold into one matrix, so a batch is scored
 by presence @ landmarks @ weights.
 
 The fit uses a bounded sample: ``per_language`` landmarks of each language, cut
-at ``landmark_chars`` characters, and ``sample`` labelled texts, both taken in
-the order of a hash of doc_id. Every text is scored whole.
-
-Edge cases: a null text or one without letters is ``und`` with score 0; rows
-without lang train nothing; without any training row everything is ``und``;
-ties go to the language that sorts first; rows that repeat an id are scored
-each for itself.
+at ``landmark_chars`` characters, and ``sample`` labelled texts (at most four
+rows an id on average where ids repeat), both taken in the order of a hash of
+doc_id, and of ``languages`` languages at most that is, those whose first rows
+come first. Every text is scored whole, however long.
+
+Edge cases: a null text or one without a letter (\\p{L}) is ``und`` with score
+0; rows without lang train nothing; without any training row everything is
+``und``; ties go to the language that sorts first; rows that repeat an id are
+scored each for itself; columns besides doc_id, text and lang are not looked at,
+so their names can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,6 @@ from pyspark.sql.window import Window
 
 from .common import small_side
 
-LETTER = re.compile(r"[^\W\d_]")
 WEIGHTS = (0.5, 1.0, 2.0)  # of n = 1, 2, 3
 RIDGE = 1e-2
 FLOOR = 1e-6
@@ -55,20 +55,33 @@ class Kernel:
         self.norm = np.sqrt(self.weight @ there) if own else np.zeros(0)
         self.landmarks = there * self.weight[:, None] / self.norm
         self.matrix = (there / self.norm).T @ self.landmarks
-        self.slot: np.ndarray | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"slot": None}
+        # Where a gram is among the known ones, len(grams) if it is not: tables by one and two bytes, and for
+        # three bytes a table row for each pair of first bytes that a known gram has.
+        n, known = len(self.grams), np.arange(len(self.grams), dtype=np.int32)
+        two, three = self.grams >> 16 == 1, self.grams >= 1 << 24
+        self.one = np.full(1 << 8, n, dtype=np.int32)
+        self.one[self.grams[self.grams < 1 << 16]] = known[self.grams < 1 << 16]
+        self.two = np.full(1 << 16, n, dtype=np.int32)
+        self.two[self.grams[two] - (1 << 16)] = known[two]
+        head = (self.grams[three] - (1 << 24)) >> 8
+        heads = np.unique(head)
+        self.head = np.full(1 << 16, len(heads), dtype=np.int32)
+        self.head[heads] = np.arange(len(heads))
+        self.three = np.full((len(heads) + 1, 1 << 8), n, dtype=np.int32)
+        self.three[self.head[head], self.grams[three] & 255] = known[three]
+
+    def slots(self, text: str) -> np.ndarray:
+        """Places of the n-grams of a text among the known ones."""
+        b = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8).astype(np.int32)
+        two = (b[:-1] << 8) | b[1:]
+        return np.concatenate([self.one[b], self.two[two], self.three[self.head[two[:-1]], b[2:]] if len(b) > 2 else b[:0]])
 
     def rows(self, texts: list[str]) -> np.ndarray:
         """Kernels of the texts to the landmarks."""
         n = len(self.grams)
-        if self.slot is None:
-            self.slot = np.full((1 << 24) + (1 << 24), n, dtype=np.int32)
-            self.slot[self.grams] = np.arange(n)
         there = np.zeros((len(texts), n + 1), dtype=np.float32)
         for k, text in enumerate(texts):
-            there[k, self.slot[gram_codes(text)]] = 1
+            there[k, self.slots(text)] = 1
         there = there[:, :n]
         size = np.sqrt(there @ self.weight)
         return (there @ self.landmarks) / np.maximum(size, 1e-9)[:, None]
@@ -90,6 +103,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def letters(text: Column) -> Column:
+    """Whether a text has any letter; the one test for training and for ``und``."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(
     docs: DataFrame,
     per_language: int = 24,
@@ -100,7 +118,7 @@ def identify(
     """doc_id, held_out, lang_pred and score of each document."""
     spark = docs.sparkSession
     base = docs.select("doc_id", "text", "lang")
-    may = base.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    may = base.filter(F.col("lang").isNotNull() & letters(F.col("text")) & ~held_out(F.col("doc_id")))
     ids = may.select("doc_id", "lang", F.xxhash64("doc_id").alias("_o"))
     wanted = max(per_language, sample // 4)
     # A language may hold most rows: hashes are even, so its least ones are under a limit that follows from its
@@ -126,9 +144,10 @@ def identify(
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 rows = kernel.value.rows(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(rows), pa.list_(pa.float32()))], names=["lang", "k"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(rows), pa.list_(pa.float32())), *part.columns[2:]], names=["lang", "k", "o", "h"])
 
-    rows = pick({i for (i,) in train}).select("lang", "text").mapInArrow(kernels, "lang string, k array<float>").limit(4 * sample).collect()
+    some = pick({i for (i,) in train}).select("lang", "text", F.xxhash64("doc_id").alias("o"), F.xxhash64("text").alias("h"))
+    rows = some.mapInArrow(kernels, "lang string, k array<float>, o long, h long").orderBy("o", "h", "lang").limit(4 * sample).collect()
     names, weights = fit(kernel.value, np.array([r.k for r in rows], dtype=np.float32), [r.lang for r in rows])
     shared = spark.sparkContext.broadcast((names, weights))
 
@@ -138,7 +157,7 @@ def identify(
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 texts = part.column(2).to_pylist()
-                blank = [t is None or not LETTER.search(t) for t in texts]
+                blank = part.column(3).to_pylist()
                 score = kernel.value.rows([t or "" for t in texts]) @ weights
                 best = score.argmax(axis=1)
                 value = np.clip((score[np.arange(len(texts)), best] + 1) / 2, 0, 1).astype(np.float64)
@@ -152,5 +171,5 @@ def identify(
                     names=["doc_id", "held_out", "lang_pred", "score"],
                 )
 
-    scored = base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    scored = base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", (~letters(F.col("text"))).alias("blank"))
     return scored.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
