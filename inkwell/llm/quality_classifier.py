@@ -10,13 +10,17 @@ the shape of words that hold symbols, and a few of the text as a whole: the
 share of different words, of repeated neighbours and of repeated lines. The
 grades of ``rated`` are 0 for toxic, 1 for poor, 2 for good texts.
 
-The fit uses a bounded sample of ``sample`` rated documents, taken in the order
-of a hash of doc_id; every document is scored whole.
+The fit uses a bounded sample, one row for each id: ``sample`` rated documents,
+taken in the order of a hash of doc_id, as far as they have ``features_most``
+features (64 MB) in all. Every document is scored whole, however long.
 
 Edge cases: a null or wordless text has expected grade 0 and tail probability
 0; ratings with a null or unknown document train nothing; a document rated more
-than once has the lowest of its grades; without ratings everything has
-probability 0; rows that repeat an id are scored each for itself.
+than once has the lowest of its grades, an id of several texts trains with the
+least of them; without ratings everything has probability 0; a tail probability
+of just ``at_least`` is kept; rows that repeat an id are scored each for
+itself; columns besides doc_id and text (quality and toxic of the ratings) are
+not looked at, so their names can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 BITS = 18
 OUTER = b".,;:!?\"'()[]"
 SYMBOLS = re.compile(rb"[^A-Za-z0-9.,;:!?\"'()\[\]\x80-\xff-]+")
@@ -116,14 +122,16 @@ class Weights(dict):
 
 
 def rated(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text, grade of the sample."""
+    """text, grade and order of the sample: one row for each id, of repeated ids the least text."""
     grade = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
     usable = labels.filter(F.col("doc_id").isNotNull() & F.coalesce("toxic", "quality").isNotNull())
+    order = F.xxhash64("doc_id").alias("_o")
     few = usable.groupBy("doc_id").agg(F.min(grade).alias("_g")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "_g")
+    met = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return met.groupBy("doc_id", "_g").agg(F.min("text").alias("text")).select("text", "_g", order, "doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 16000, top: int = 2, at_least: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 16000, features_most: int = 1 << 24, top: int = 2, at_least: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, p_top and kept of each document."""
     spark = docs.sparkSession
 
@@ -131,9 +139,13 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 16000, top: int =
         for batch in batches:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             rows = [np.array(slots(t or b""), dtype="<i4").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).cast(pa.int32())], names=["x", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).cast(pa.int32()), batch.column(2)], names=["x", "g", "o"])
 
-    rows = [r for r in rated(docs, labels, sample).mapInArrow(features, "x binary, g int").collect() if r.x]
+    known = saved(rated(docs, labels, sample).select("text", "_g", "_o").mapInArrow(features, "x binary, g int, o long"), "features").filter("octet_length(x) > 0")
+    # At most ``sample`` sizes; those in the order of the hash whose features are within the bound come to the driver.
+    sizes = np.array([tuple(r) for r in known.select("o", F.octet_length("x") / 4).orderBy("o").collect()]).reshape(-1, 2)
+    within = int((np.cumsum(sizes[:, 1]) <= features_most).sum())
+    rows = known.orderBy("o").limit(within).collect() if within else []
     n_grades = top + 1
     if rows:
         weight, cut = fit([np.frombuffer(r.x, dtype="<i4") for r in rows], np.array([r.g for r in rows]), n_grades)
