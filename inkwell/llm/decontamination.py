@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, let, saved, small_side
+from .common import keyed, let, packed, saved, small_side
 
 WINDOW, WHOLE, LEAST = 8, 11, 4
 COVERAGE, CONSISTENCY = 0.5, 0.8
@@ -184,6 +184,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no item contaminates."""
-    bad = small_side(saved(find(docs, benchmark).select("_id", "_h").distinct(), "bad"))
-    with_key = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return with_key.join(bad, (with_key["_key"] == bad["_h"]) & with_key["doc_id"].eqNullSafe(bad["_id"]), "left_anti").select(*docs.columns)
+    base = packed(docs)
+    bad = small_side(saved(find(docs, benchmark).select(F.col("_id").alias("_i"), F.col("_h").alias("_k")).distinct(), "bad"))
+    return base.join(bad, (base["_h"] == bad["_k"]) & base["_id"].eqNullSafe(bad["_i"]), "left_anti").select("_row.*")

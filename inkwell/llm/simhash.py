@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import packed, saved, small_side
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # offset, bits
 MAX_DISTANCE = 3
@@ -183,11 +183,21 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of docs with one of each component: the one of the smallest
-    doc_id (null ids last), of equal ids the one with the smallest text hash."""
-    keyed = docs.withColumns({"_key": F.xxhash64(F.coalesce("text", F.lit(""))), "_no": F.monotonically_increasing_id()})
-    prints = saved(keyed.select(F.struct("doc_id", "_key", "_no").alias("doc_id"), "text").transform(lambda d: fingerprints(d, shingle)), "prints")
-    unique = saved(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id.doc_id").isNull(), "doc_id.*")).alias("first")), "unique")
+    doc_id (null ids last), of equal ids the one with the smallest hash of the
+    text, then of the whole row; of rows equal in all columns any one."""
+    base = packed(docs).withColumn("_w", F.hash("_row") if "map<" not in docs.schema.simpleString() else F.col("_h"))
+    prints = saved(fingerprints(base.select(F.struct("_id", "_h", "_w").alias("doc_id"), F.col("_text").alias("text")), shingle), "prints")
+    unique = saved(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id._id").isNull(), "doc_id.*")).alias("first")), "unique")
     linked = components(links(unique))
     known = unique.join(linked, unique["fp"] == linked["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    first = known.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._no").alias("_no"))
-    return keyed.join(first, "_no", "left_semi").select(*docs.columns)
+    named = lambda df: df.withColumnsRenamed({"_id": "_i", "_h": "_k", "_w": "_v"})
+    same = lambda other: (base["_h"] == other["_k"]) & (base["_w"] == other["_v"]) & base["_id"].eqNullSafe(other["_i"])
+    first = known.groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._h", "first._w")
+    first = named(small_side(saved(first, "first")))
+    kept = base.join(first, same(first), "left_semi")
+    often = saved(named(prints.select("doc_id.*")).groupBy("_i", "_k", "_v").count().filter("count > 1").drop("count"), "often")
+    if not often.isEmpty():
+        often = small_side(often)
+        one = kept.join(often, same(often), "left_semi").groupBy("_id", "_h", "_w").agg(F.first("_row").alias("_row"))
+        kept = kept.join(often, same(often), "left_anti").select("_row").unionByName(one.select("_row"))
+    return kept.select("_row.*")
