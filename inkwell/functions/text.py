@@ -11,6 +11,11 @@ NON_ANCHOR = "appear article book call discuss happen mention nickname occur pol
 METADATA = "copyright edition hardcover isbn library paperback print printed publish publisher renew reserv rights".split()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: what a lambda names isn't put in its place again, as a column used within a lambda is."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(text: Column) -> Column:
     """White space as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -48,3 +53,102 @@ def without_e(stem: Column) -> Column:
 def term(token: Column) -> Column:
     """The normal form of a lower-case token: the first suffix rule that fits, then a final e."""
     return without_e(stem(token))
+
+
+# Patterns of dates, times and nicknames. Both engines read them; what \b stands for is written out.
+MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+NUMERIC_DATE = "[0-9]{1,2}[/-][0-9]{1,2}(?:[/-][0-9]{2,4})?"
+TIMES = "morning|afternoon|evening|night|weekend|spring|summer|fall|autumn|winter|noon|midnight"
+AFTER = r"(?:before|after|during|while|upon|once)\s+[A-Za-z0-9]"
+ALIAS = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s+the\s+[A-Z][a-z]+"
+SELF = r"they\s+don't\s+call\s+me|they\s+call\s+me|call\s+me|known\s+as"
+THE = r"[a-z]+(?:\s+[a-z]+)?\s+the\s+[a-z]+"
+
+
+def bounded(pattern: str, end: bool = True, case: bool = False) -> str:
+    """A pattern between word boundaries, in the words of both engines."""
+    return ("" if case else "(?i)") + rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{pattern})" + (r"(?:[^\p{L}\p{N}_]|$)" if end else "")
+
+
+YEAR_RE, MONTH_RE = bounded("[0-9]{4}"), bounded(MONTHS)
+DATE_RE = bounded(f"{MONTHS}|[0-9]{{4}}|{NUMERIC_DATE}")
+TEMPORAL_RE, TIME_RE = bounded(AFTER, end=False), bounded(TIMES)
+ALIAS_RE, SELF_RE, THE_RE = bounded(ALIAS, case=True), bounded(SELF), bounded(THE, case=True)
+
+def terms(text: Column) -> Column:
+    """raw and term of each token in order; terms under two letters are left out."""
+    stems = F.transform(tokens(text), lambda r: F.struct(r.alias("raw"), stem(F.lower(r)).alias("stem")))
+    both = F.transform(stems, lambda s: F.struct(s["raw"].alias("raw"), without_e(s["stem"]).alias("term")))
+    return F.filter(both, lambda s: F.length(s["term"]) > 1)
+
+
+def is_content(t: Column) -> Column:
+    """Whether an element of terms() is no stop word."""
+    return ~F.lower(t["raw"]).isin(STOPWORDS) & ~t["term"].isin(STOPWORDS)
+
+
+def has_date(text: Column) -> Column:
+    return text.rlike(DATE_RE)
+
+
+def has_temporal(text: Column) -> Column:
+    return text.rlike(DATE_RE) | text.rlike(TEMPORAL_RE) | text.rlike(TIME_RE)
+
+
+def has_alias(text: Column) -> Column:
+    """A nickname in the text, whoever it belongs to."""
+    flat = collapse(text)
+    return flat.rlike(ALIAS_RE) | (flat.rlike(SELF_RE) & F.lower(flat).rlike(THE_RE))
+
+
+def noise(full: Column) -> Column:
+    """How much of a text's terms is about an edition or a copyright; full: all terms, stop words too."""
+
+    def of(m: Column) -> Column:
+        return F.when(m == 0, 0.0).otherwise(F.least(F.lit(1.0), m / F.size(full) * 4 + F.when(m >= 2, 0.2).otherwise(0.0)))
+
+    return let(F.size(F.filter(full, lambda t: t.isin(METADATA))), of)
+
+
+def pairs(seq: Column) -> Column:
+    """Different neighbouring pairs, each as two terms with a blank between."""
+
+    def both(s: Column) -> Column:
+        two = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.size(s)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(F.size(s) > 1, F.array_distinct(two)).otherwise(F.array().cast("array<string>"))
+
+    return let(seq, both)
+
+
+def unequal(pairs: Column) -> Column:
+    return F.filter(pairs, lambda p: F.substring_index(p, " ", 1) != F.substring_index(p, " ", -1))
+
+
+def grams(seq: Column, n: int) -> Column:
+    """The runs of n terms."""
+
+    def runs(s: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(s) - (n - 1)), lambda i: F.array_join(F.slice(s, i, n), " "))
+        return F.when(F.size(s) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return let(seq, runs)
+
+
+def anchors(terms: Column) -> Column:
+    """Of the content terms of a question those that carry it: with a digit, long, or capitalised; else any of four letters."""
+    strong = lambda t: t["raw"].rlike("[0-9]") | (F.length(t["raw"]) >= 6) | t["raw"].rlike("^[A-Z]")
+    some = lambda good: F.when(F.exists(good, strong), F.filter(good, strong)).otherwise(F.filter(good, lambda t: F.length(t["raw"]) >= 4))
+    return F.array_distinct(F.transform(let(F.filter(terms, lambda t: ~t["term"].isin(NON_ANCHOR)), some), lambda t: t["term"]))
+
+
+def constraints(terms: Column) -> Column:
+    small = lambda t: ~t["term"].isin(NON_ANCHOR) & t["raw"].rlike("^[a-z]") & (F.length(t["term"]) >= 4)
+    return F.array_distinct(F.transform(F.filter(terms, lambda t: t["raw"].rlike("[0-9]") | small(t)), lambda t: t["term"]))
+
+
+def subjects(text: Column) -> Column:
+    """Terms of capitalised words; a stop word that begins the text is none."""
+    all_terms = F.transform(tokens(text), lambda r, i: F.struct(r.alias("raw"), i.alias("at"), stem(F.lower(r)).alias("stem")))
+    named = F.filter(all_terms, lambda s: s["raw"].rlike("^[A-Z]") & ~((s["at"] == 0) & F.lower(s["raw"]).isin(STOPWORDS)))
+    names = F.transform(named, lambda s: without_e(s["stem"]))
+    return F.array_distinct(F.filter(names, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS + NON_ANCHOR)))

@@ -1,13 +1,31 @@
-"""Search over whole tables of questions: lexical, dense, fused."""
+"""Search over whole tables of questions: lexical, dense, fused, reranked.
+
+Lexical and dense search read the passages once and exchange only each task's
+best rows: the questions are shipped in blocks of a bounded size, matches are
+counted for a batch of passages at a time, and the formulas are expressions on
+the counts (scores.py). What follows works on a few candidates a question.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as tx
+from . import scores
 from . import terms as tm
 
+#: Questions that are shipped to the tasks at once, and their bytes at most.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
+#: Cells of questions by passages that a task counts at once.
+CELLS = 1 << 18
+#: Bytes of a side that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
 
 def top(df: DataFrame, key: str, k: int, *order) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
@@ -19,69 +37,316 @@ def overlaps(questions: DataFrame, passages: DataFrame, name: str) -> DataFrame:
     return questions.join(passages, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias(name))
 
 
-#: Rows of a side that may be broadcast; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it was counted to have few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def lexical(questions: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
-    """The best k documents of each question by weighted term, anchor, constraint and pair overlap.
-
-    Terms and pairs are features of one table, so documents are exchanged once,
-    by doc_id, and matched, counted and scored where they then are."""
-    q = tm.content(questions, "item_id")
-    mark = lambda df, name: df.select("item_id", "term", F.lit("").alias("next"), F.lit(1).alias(name))
-    key = ["item_id", "term", "next"]
-    wanted = tm.features(questions, "item_id").join(mark(tm.anchors(q, "item_id"), "a"), key, "left").join(mark(tm.constraints(q, "item_id"), "c"), key, "left")
-    alone = F.col("next") == ""
-    counts = (F.count_if(alone), F.count("a"), F.count("c"), F.count_if(~alone))
-    totals = wanted.groupBy("item_id").agg(*(c.alias(n) for c, n in zip(counts, ("qn", "qa", "qc", "qp"), strict=True)))
-    wanted = small_side(wanted)
-
-    size = F.count_if(alone).over(Window.partitionBy("doc_id")).alias("dn")
-    met = tm.features(documents, "doc_id").select("doc_id", "term", "next", size).join(wanted, ["term", "next"])
-    met = met.groupBy("doc_id", "item_id").agg(F.max("dn").alias("dn"), *(c.alias(n) for c, n in zip(counts, ("n", "na", "nc", "np"), strict=True)))
-    out = met.filter("n > 0").join(small_side(totals), "item_id")
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    score = (
-        share("n", "qn") * 0.32
-        + share("n", "dn") * 0.08
-        + share("na", "qa") * 0.35
-        + share("na", "dn") * 0.1
-        + share("np", "qp") * 0.2
-        + share("nc", "qc") * 0.35
-        + share("nc", "dn") * 0.08
+def question_features(questions: DataFrame) -> DataFrame:
+    """item_id, the terms of each question in the forms that scoring needs, and how many there are."""
+    t = questions.select("item_id", F.coalesce("text", F.lit("")).alias("q_text"), tx.terms(F.coalesce("text", F.lit(""))).alias("_t"))
+    t = t.withColumn("_c", F.filter("_t", tx.is_content))
+    t = t.withColumn("q_seq", F.transform("_c", lambda x: x["term"]))
+    full = F.transform("_t", lambda x: x["term"])
+    lists = t.select(
+        "item_id",
+        "q_text",
+        "q_seq",
+        F.array_distinct("q_seq").alias("q_terms"),
+        tx.anchors(F.col("_c")).alias("q_anchors"),
+        tx.constraints(F.col("_c")).alias("q_constraints"),
+        tx.unequal(tx.pairs(F.col("q_seq"))).alias("q_pairs"),
+        F.array(*(tx.grams(F.col("q_seq"), n) for n in (2, 3, 4, 5))).alias("q_grams"),
+        F.array_join(full, " ").alias("q_full"),
+        tx.subjects(F.col("q_text")).alias("_s"),
+        F.lower("q_text").startswith("when ").cast("int").alias("is_when"),
+        F.contains(F.lower("q_text"), F.lit("nickname")).cast("int").alias("is_nick"),
+    )
+    # Whose nickname is asked for: the named subjects, or else the anchors.
+    lists = lists.withColumn("q_subjects", F.when(F.size("_s") > 0, F.col("_s")).otherwise(F.col("q_anchors")))
+    sizes = {"qn": "q_terms", "qa": "q_anchors", "qc": "q_constraints", "qp": "q_pairs", "qs": "_s"}
+    return lists.select("*", *(F.size(c).alias(n) for n, c in sizes.items())).drop("_s")
+
+
+def passage_features(passages: DataFrame) -> DataFrame:
+    """doc_id, seq (content terms in order), full (all terms in order), dn, meta and the flags of each text."""
+    text = F.coalesce("text", F.lit(""))
+    t = passages.select("doc_id", text.alias("_text"), tx.terms(text).alias("_t"))
+    t = t.select("doc_id", "_text", F.transform(F.filter("_t", tx.is_content), lambda x: x["term"]).alias("seq"), F.transform("_t", lambda x: x["term"]).alias("full"))
+    flag = lambda c, name: c.cast("int").alias(name)
+    return t.select(
+        "doc_id",
+        "seq",
+        "full",
+        F.size(F.array_distinct("seq")).alias("dn"),
+        tx.noise(F.col("full")).alias("meta"),
+        flag(tx.has_date(F.col("_text")), "date"),
+        flag(tx.has_temporal(F.col("_text")), "temporal"),
+        flag(F.col("_text").rlike(tx.YEAR_RE), "year"),
+        flag(F.col("_text").rlike(tx.MONTH_RE), "month"),
+        flag(tx.has_alias(F.col("_text")), "alias_text"),
     )
-    scored = out.select("item_id", "doc_id", F.round(score, 6).alias("score"))
-    return top(scored, "item_id", k, F.desc("score"), "doc_id")
 
 
-def dense(vectors: DataFrame, queries: int = 5, k: int = 5) -> DataFrame:
-    """The best k vectors of each of the first queries, by inner product of unit vectors."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = v.filter(F.col("vec_id") < queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.join(F.broadcast(q)).select("query_id", "vec_id", F.round(dot, 6).alias("score"))  # a fixed few queries
-    return top(pairs, "query_id", k, F.desc("score"), "vec_id")
+PASSAGE = ["dn", "meta", "date", "temporal", "year", "month", "alias_text"]
+QUESTION = ["qn", "qa", "qc", "qp", "qs", "is_when", "is_nick"]
+COUNTS = ["n", "na", "nc", "np", "ns", "run", "phrase"]
+
+
+class Questions:
+    """A block of questions, by term, pair and run."""
+
+    KINDS = {"q_terms": 0, "q_anchors": 1, "q_constraints": 2, "q_pairs": 3, "q_subjects": 4}
+
+    def __init__(self, rows: list):
+        self.n = len(rows)
+        lists: dict[str, dict[int, list[int]]] = {}
+        runs: dict[str, list[tuple[int, int]]] = {}
+        for k, r in enumerate(rows):
+            for name, kind in self.KINDS.items():
+                for t in r[name] if kind != 4 or r["is_nick"] else ():
+                    # Subjects are looked for among all terms of a passage, the others among its content.
+                    lists.setdefault(("\0" if kind == 4 else "") + t, {}).setdefault(kind, []).append(k)
+            for size, grams in enumerate(r["q_grams"], 2):
+                for g in grams:
+                    runs.setdefault(g, []).append((k, size))
+            if r["q_full"]:
+                runs.setdefault("\0" + r["q_full"], []).append((k, 0))
+        self.cells = {t: np.concatenate([np.array(ks, dtype=np.int64) + kind * self.n for kind, ks in own.items()]) for t, own in lists.items()}
+        self.runs = runs
+        self.found: tuple | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"found": None}
+
+    def search(self) -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+        """What finds the runs in a passage's content, and whole questions in all its terms."""
+        if self.found is None:
+            self.found = ahocorasick.Automaton(), ahocorasick.Automaton()
+            for text, where in self.runs.items():
+                whole = text[0] == "\0"
+                self.found[whole].add_word(text[whole:], where)
+            for a in self.found:
+                a.make_automaton()
+        return self.found
+
+    def count(self, seq: list[str], full: list[str], out: np.ndarray) -> None:
+        """Adds one passage to out (COUNTS by questions)."""
+        words, every = set(seq), {"\0" + t for t in full}
+        own = words | {f"{a} {b}" for a, b in zip(seq, seq[1:], strict=False)} | every
+        met = [self.cells[t] for t in own & self.cells.keys()]
+        if met:
+            out[:5] = np.bincount(np.concatenate(met), minlength=5 * self.n).reshape(5, self.n)
+        inner, whole = self.search()
+        if len(inner):
+            for _, where in inner.iter(" ".join(seq)):
+                for k, size in where:
+                    out[5, k] = max(out[5, k], size)
+        if len(whole):
+            for _, where in whole.iter(" ".join(full)):
+                for k, _ in where:
+                    out[6, k] = 1
+
+
+def blocks(df: DataFrame, order: str):
+    """The rows of df in lists of a bounded size, in order of a key. A table of questions is what the user states; it is read by its blocks."""
+    rows, size = [], 0
+    for r in df.orderBy(order).toLocalIterator(prefetchPartitions=True):
+        rows.append(r)
+        size += 64 + sum(len(str(v)) for v in r)
+        if len(rows) >= BLOCK or size >= BLOCK_BYTES:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def match_counts(questions: DataFrame, passages: DataFrame) -> DataFrame:
+    """item_id, doc_id, COUNTS and PASSAGE of each question and passage that share anything, counted where the passage is."""
+    spark = passages.sparkSession
+    kinds = {"doc_id": passages.schema["doc_id"].dataType.simpleString(), "item_id": questions.schema["item_id"].dataType.simpleString()}
+    out = None
+    for rows in blocks(questions, "item_id"):
+        shared = spark.sparkContext.broadcast((Questions(rows), [r["item_id"] for r in rows]))
+
+        def run(batches, shared=shared):
+            index, ids = shared.value
+            step = max(1, CELLS // max(1, index.n))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    seqs, fulls = part.column("seq").to_pylist(), part.column("full").to_pylist()
+                    counts = np.zeros((len(seqs), len(COUNTS), index.n), dtype=np.int32)
+                    for k, (seq, full) in enumerate(zip(seqs, fulls, strict=True)):
+                        index.count(seq, full, counts[k])
+                    d, q = np.nonzero(counts[:, [0, 5, 6]].any(axis=1))
+                    if len(d):
+                        cols = [part.column("doc_id").take(pa.array(d)), pa.array([ids[k] for k in q.tolist()]).cast(kind)]
+                        cols += [pa.array(counts[d, c, q]) for c in range(len(COUNTS))]
+                        yield pa.RecordBatch.from_arrays(cols + [part.column(c).take(pa.array(d)) for c in PASSAGE], names=["doc_id", "item_id", *COUNTS, *PASSAGE])
+
+        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds["item_id"]]
+        schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, " + ", ".join(f"{c} int" for c in COUNTS) + ", dn int, meta double, " + ", ".join(f"{c} int" for c in PASSAGE[2:])
+        got = passages.select("doc_id", "seq", "full", *PASSAGE).mapInArrow(run, schema)
+        out = got if out is None else out.unionByName(got)
+    if out is None:
+        cols = [f"CAST(NULL AS {kinds[c]}) AS {c}" for c in ("doc_id", "item_id")] + [f"0 AS {c}" for c in (*COUNTS, *PASSAGE)]
+        out = spark.sql("SELECT " + ", ".join(cols)).limit(0)
+    return out
+
+
+def scored(counts: DataFrame, **formulas: str) -> DataFrame:
+    """counts with the flags that take both sides, and the formulas, rounded where both engines still agree."""
+    both = counts.withColumns({"alias": F.expr("CASE WHEN alias_text = 1 AND (size(q_subjects) = 0 OR ns > 0) THEN 1 ELSE 0 END"), "head": F.lit(0), "text_meta": F.col("meta")})
+    return both.select("*", *(F.round(F.expr(f), 9).alias(name) for name, f in formulas.items()))
+
+
+def small_side(df: DataFrame, bytes_a_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it was counted to be within the limit at so many bytes a row."""
+    most = limit // bytes_a_row
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def lexical(questions: DataFrame, passages: DataFrame, k: int = 5) -> DataFrame:
+    """item_id, doc_id, score and rank of the best k passages of each question, of those with a score."""
+    q = question_features(questions)
+    counts = match_counts(q, passage_features(passages)).join(small_side(q.select("item_id", "q_subjects", *QUESTION), 512), "item_id")
+    found = scored(counts, score=scores.LEXICAL).filter("score > 0").select("item_id", "doc_id", "score")
+    return top(found, "item_id", k, F.desc("score"), "doc_id")
 
 
-def hashed_embedding(documents: DataFrame, dimensions: int = 128) -> DataFrame:
-    """doc_id, dim and signed count of the hashing embedding, before it is normalised."""
-    each = tm.gathered(documents, "doc_id").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
-    counted = each.groupBy("doc_id", "t").count()
+def hashed_embedding(documents: DataFrame, key: str = "doc_id", dimensions: int = 128) -> DataFrame:
+    """key, dim and signed count of the hashing embedding, before it is normalised."""
+    each = documents.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
     h = F.sha2("t", 256)
     number = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
-    signed = F.when(number(9, 2) % 2 == 0, F.col("count")).otherwise(-F.col("count"))
-    return counted.groupBy("doc_id", (number(1, 8) % dimensions).alias("dim")).agg(F.sum(signed).alias("weight"))
+    signed = F.when(number(9, 2) % 2 == 0, 1).otherwise(-1)
+    # Counted in each task first, at most ``dimensions`` rows a text.
+    return each.groupBy(key, (number(1, 8) % dimensions).alias("dim")).agg(F.sum(signed).alias("weight"))
+
+
+def embedded(documents: DataFrame, key: str = "doc_id", dimensions: int = 128) -> DataFrame:
+    """key and v, the hashing embedding as an array of unit length, or of zeros for a text without tokens."""
+    weights = hashed_embedding(documents, key, dimensions).filter("weight <> 0").groupBy(key)
+    lists = weights.agg(F.sort_array(F.collect_list(F.struct("dim", F.col("weight").cast("double").alias("w")))).alias("l"))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(m[i], F.lit(0.0)))
+    where = tx.let(F.col("l"), lambda x: tx.let(norm(x), lambda n: F.map_from_entries(F.transform(x, lambda e: F.struct(e["dim"].cast("int"), e["w"] / n)))))
+    unit = lists.select(key, tx.let(where, dense).alias("v"))
+    zero = F.array_repeat(F.lit(0.0), dimensions)
+    return documents.select(key).join(unit, key, "left").select(key, F.coalesce("v", zero).alias("v"))
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """0 where a side is missing, empty, of another length, or zero."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.coalesce(F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm), F.lit(0.0))
+
+
+def dense(vectors: DataFrame, queries: DataFrame, key: str, query: str, k: int = 5) -> DataFrame:
+    """query, key, score and rank of the best k of vectors (key, v) for each of queries (query, v) by cosine.
+
+    Vectors that are null or of another dimension are no candidates. Each task multiplies its vectors with a
+    block of queries and keeps the best k of each query, so only those are exchanged."""
+    spark = vectors.sparkSession
+    kinds = (queries.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString())
+    out = None
+    for rows in blocks(queries.select(query, "v").filter("v is not null and size(v) > 0"), query):
+        sizes = {len(r["v"]) for r in rows}
+        for size in sizes:
+            own = [r for r in rows if len(r["v"]) == size]
+            shared = spark.sparkContext.broadcast(([r[query] for r in own], unit(np.array([r["v"] for r in own], dtype=np.float64))))
+
+            def run(batches, shared=shared):
+                ids, matrix = shared.value
+                best: list[list[tuple[float, object]]] = [[] for _ in ids]
+                for batch in batches:
+                    names = batch.column(0).to_pylist()
+                    there = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1))
+                    for at in range(0, len(ids), max(1, CELLS // max(1, len(names)))):
+                        step = max(1, CELLS // max(1, len(names)))
+                        score = np.round(matrix[at : at + step] @ there.T, 9)
+                        for q, row in enumerate(score, at):
+                            # Of equal scores the least keys: all that reach the k-th best score are looked at.
+                            least = np.partition(row, -k)[-k] if len(row) > k else -2.0
+                            some = [(-row[i], names[i]) for i in np.flatnonzero(row >= least).tolist()]
+                            best[q] = sorted([*best[q], *some])[:k]
+                rows = [(i, name, -s) for i, own in zip(ids, best, strict=True) for s, name in own]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[query + "_", key, "score"])
+
+            there = vectors.select(key, "v").filter(F.size("v") == size)
+            got = there.mapInArrow(run, f"{query}_ {kinds[0]}, {key} {kinds[1]}, score double").withColumnRenamed(query + "_", query)
+            out = got if out is None else out.unionByName(got)
+    if out is None:
+        out = spark.sql(f"SELECT CAST(NULL AS {kinds[0]}) AS {query}, CAST(NULL AS {kinds[1]}) AS {key}, 0.0D AS score").limit(0)
+    return top(out, query, k, F.desc("score"), key)
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def fuse(first: DataFrame, second: DataFrame, key: str, doc: str) -> DataFrame:
+    """key, doc, both ranks and scores, and rrf: weighted reciprocal ranks. A list that lacks a document adds nothing."""
+    a = first.select(key, doc, F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
+    b = second.select(key, doc, F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score"))
+    both = a.join(b, [key, doc], "full_outer").fillna(0.0, ["dense_score", "lexical_score"])
+    rrf = F.expr(f"{scores.reciprocal('dense_rank', scores.DENSE_WEIGHT)} + {scores.reciprocal('lexical_rank', scores.LEXICAL_WEIGHT)}")
+    return both.withColumn("rrf", F.round(rrf, 9))
+
+
+def pair_features(pairs: DataFrame, questions: DataFrame, passages: DataFrame) -> DataFrame:
+    """pairs (item_id, doc_id, ...) with all features of both sides and COUNTS, for a few pairs a question."""
+    ids = pairs.select("doc_id").distinct()
+    own = passage_features(passages.join(small_side(ids, 32), "doc_id", "left_semi"))
+    both = pairs.join(own, "doc_id").join(question_features(questions), "item_id")
+    has = lambda joined, grams: F.exists(grams, lambda g: F.contains(joined, g))
+    run = tx.let(F.array_join("seq", " "), lambda joined: F.coalesce(*(F.when(has(joined, F.col("q_grams")[n - 2]), n) for n in (5, 4, 3, 2)), F.lit(0)))
+    met = lambda a, b: F.size(F.array_intersect(a, b))
+    return both.withColumns({
+        "n": met("seq", "q_terms"),
+        "na": met("seq", "q_anchors"),
+        "nc": met("seq", "q_constraints"),
+        "np": met(tx.pairs(F.col("seq")), "q_pairs"),
+        "ns": met("full", "q_subjects"),
+        "run": run,
+        "phrase": F.when((F.col("q_full") != "") & F.contains(F.array_join("full", " "), F.col("q_full")), 1).otherwise(0),
+    })
+
+
+def rarity(pairs: DataFrame) -> DataFrame:
+    """pairs (with seq and q_terms) with rarity: how rare a passage's question terms are among the question's candidates."""
+    each = pairs.select("item_id", "doc_id", "qn", F.explode(F.array_intersect("seq", "q_terms")).alias("term"))
+    df = each.groupBy("item_id", "term").agg(F.count("*").alias("df"))
+    n = pairs.groupBy("item_id").agg(F.count("*").alias("_n"))
+    share = F.sum(F.log((F.col("_n") + 1.0) / F.col("df"))) / F.first("qn")
+    rare = each.join(df, ["item_id", "term"]).join(n, "item_id").groupBy("item_id", "doc_id").agg(F.round(F.least(F.lit(1.0), share), 9).alias("rarity"))
+    return pairs.join(rare, ["item_id", "doc_id"], "left").fillna(0.0, ["rarity"])
+
+
+def candidates(questions: DataFrame, passages: DataFrame, limit: int = 20) -> DataFrame:
+    """Features, scores, ranks and rarity of all that dense or lexical search finds, and hybrid: the fused score, 1 for the best of each question."""
+    found_dense = dense(embedded(passages), embedded(questions, "item_id"), "doc_id", "item_id", limit)
+    both = fuse(found_dense, lexical(questions, passages, limit), "item_id", "doc_id")
+    asked = questions.filter(tx.collapse(F.coalesce("text", F.lit(""))) != "").select("item_id")
+    pairs = rarity(pair_features(both.join(asked, "item_id", "left_semi"), questions, passages))
+    full = scored(pairs, specificity=f"least(1.0, {scores.LEXICAL})", focus=scores.FOCUS, intent=scores.INTENT, penalty=scores.PENALTY, fused=scores.FUSED)
+    best = F.max("fused").over(Window.partitionBy("item_id"))
+    return full.withColumn("hybrid", F.round(F.when(best > 0, F.col("fused") / best).otherwise(0.0), 9))
+
+
+def fused(questions: DataFrame, passages: DataFrame, limit: int = 20) -> DataFrame:
+    """The best candidates of each question by the fused score, with their rank."""
+    return top(candidates(questions, passages, limit), "item_id", limit, F.desc("hybrid"), F.desc("lexical_score"), F.desc("dense_score"), "doc_id")
+
+
+def search(questions: DataFrame, passages: DataFrame, k: int = 5, multiplier: int = 4) -> DataFrame:
+    """The best k passages of each question: fused candidates by the reranked score, with all their scores. A blank question finds nothing."""
+    found = fused(questions, passages, max(k, k * multiplier)).withColumnRenamed("rank", "fused_rank")
+    last = scored(found.drop("alias", "head", "text_meta"), rerank=scores.RERANK)
+    last = last.withColumn("score", F.round(F.expr(scores.FINAL), 9))
+    return top(last, "item_id", k, *map(F.desc, ("score", "rerank", "hybrid", "lexical_score", "dense_score")), "doc_id")
 
 
-def fuse(first: DataFrame, second: DataFrame, key: str, doc: str, k: float = 20.0, w1: float = 0.6, w2: float = 0.4) -> DataFrame:
-    """Weighted reciprocal ranks of two ranked lists; a list that lacks a document adds nothing."""
-    a = first.select(key, doc, F.col("rank").alias("r1"))
-    b = second.select(key, doc, F.col("rank").alias("r2"))
-    part = lambda w, r: F.coalesce(F.lit(w) / (k + F.col(r)), F.lit(0.0))
-    return a.join(b, [key, doc], "full_outer").select(key, doc, F.round(part(w1, "r1") + part(w2, "r2"), 6).alias("score"))
+def rerank(pairs: DataFrame) -> DataFrame:
+    """item_id, doc_id, rerank and rank of explicit passages, from pair_features()."""
+    return top(scored(pairs, rerank=scores.RERANK).select("item_id", "doc_id", "rerank"), "item_id", 1 << 30, F.desc("rerank"), "doc_id")

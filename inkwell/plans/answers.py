@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import sql
 from ..operators import retrieval
 from ..operators import terms as tm
-from .registry import LEXICAL_SQL, per_doc, query
+from .registry import per_doc, query
 
 # The shapes of lines of flattened tables.
 NUMERIC_LINE = r"^\$? ?\(?[0-9][0-9,. ]*\)? ?%?$"
@@ -66,15 +66,6 @@ def _(e):
     return e.select("event_id", first.alias("first_value"))
 
 
-@query("vc03_cosine", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / nullif(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "embeddings")
-def _(v):
-    wide = v.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    after = wide.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    norm = F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))
-    return wide.join(after, "vec_id").select("vec_id", F.round(dot("x", "y") / F.nullif(norm, F.lit(0.0)), 6).alias("cosine"))
-
-
 @query("wn13_line_windows", f"SELECT conv_id, turn, i, n, array_to_string(list_slice(l, i, i + n - 1), ' ') AS span FROM (SELECT conv_id, turn, l, i, unnest(range(1, least(8, len(l) - i + 1) + 1)) AS n FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, {LINES} AS l FROM conversations)))", "conversations")
 def _(c):
     parted = c.select("conv_id", "turn", lines(F.col("text")).alias("l")).filter(F.size("l") > 0)
@@ -138,62 +129,3 @@ def _(b):
     parts = F.filter(F.transform(F.split(t, " (and|or|then) "), lambda x: F.trim(x)), lambda x: x != "")
     facets = F.when(F.contains(t, F.lit(" and ")) | F.contains(t, F.lit("both ")), parts).otherwise(F.array(F.trim(t)))
     return b.select("item_id", F.posexplode(facets).alias("p", "facet")).select("item_id", "facet", (F.col("p") + 1).cast("long").alias("i"))
-
-
-# What follows works on the candidates that lexical search gives.
-CANDIDATES = f"cand AS ({LEXICAL_SQL}), cq AS (SELECT DISTINCT item_id, term FROM ({sql.content('benchmark', 'item_id')})), cd AS (SELECT DISTINCT doc_id, term FROM ({sql.content('documents', 'doc_id')})), met AS (SELECT cand.item_id, cand.doc_id, term FROM cand JOIN cq USING (item_id) JOIN cd USING (doc_id, term))"
-
-
-def candidates(b, d):
-    """item_id, doc_id, score, rank of the candidates, and item_id, doc_id, term of what each of them shares with its question."""
-    found = retrieval.lexical(b, d).persist()  # k rows a question, used several times; lost blocks are computed again
-    own = d.join(retrieval.small_side(found.select("doc_id").distinct()), "doc_id", "left_semi")
-    terms = tm.term_sets(tm.content(own, "doc_id"), "doc_id")
-    asked = tm.term_sets(tm.content(b, "item_id"), "item_id")
-    return found, found.select("item_id", "doc_id").join(asked, "item_id").join(terms, ["doc_id", "term"]).select("item_id", "doc_id", "term")
-
-
-DF = "df AS (SELECT item_id, term, count(*) AS df FROM met GROUP BY 1, 2)"
-
-
-@query("ag02_candidate_df", f"WITH {CANDIDATES}, {DF} SELECT * FROM df", "benchmark", "documents")
-def _(b, d):
-    return candidates(b, d)[1].groupBy("item_id", "term").agg(F.count("*").alias("df"))
-
-
-@query(
-    "vc07_rarity",
-    f"WITH {CANDIDATES}, {DF}, n AS (SELECT item_id, count(*) AS n FROM cand GROUP BY 1), q AS (SELECT item_id, count(*) AS q FROM cq GROUP BY 1) SELECT item_id, doc_id, round(least(1.0, sum(ln((n + 1.0) / df)) / any_value(q)), 6) AS rarity FROM met JOIN df USING (item_id, term) JOIN n USING (item_id) JOIN q USING (item_id) GROUP BY 1, 2",
-    "benchmark",
-    "documents",
-)
-def _(b, d):
-    found, met = candidates(b, d)
-    df = met.groupBy("item_id", "term").agg(F.count("*").alias("df"))
-    n = found.groupBy("item_id").agg(F.count("*").alias("n"))
-    q = tm.content(b, "item_id").groupBy("item_id").agg(F.countDistinct("term").alias("q"))
-    share = F.sum(F.log((F.col("n") + 1.0) / F.col("df"))) / F.first("q")
-    return met.join(df, ["item_id", "term"]).join(n, "item_id").join(q, "item_id").groupBy("item_id", "doc_id").agg(F.round(F.least(F.lit(1.0), share), 6).alias("rarity"))
-
-
-@query("vc16_overlap_share", f"WITH {CANDIDATES}, q AS (SELECT item_id, count(*) AS q FROM cq GROUP BY 1) SELECT item_id, doc_id, round(count(*) / any_value(q)::DOUBLE, 6) AS overlap FROM met JOIN q USING (item_id) GROUP BY 1, 2", "benchmark", "documents")
-def _(b, d):
-    q = tm.content(b, "item_id").groupBy("item_id").agg(F.countDistinct("term").alias("q"))
-    return candidates(b, d)[1].join(q, "item_id").groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.first("q"), 6).alias("overlap"))
-
-
-@query(
-    "gr12_router",
-    f"WITH {CANDIDATES}, q AS (SELECT item_id, count(*) AS q FROM cq GROUP BY 1), u AS (SELECT item_id, count(DISTINCT term) AS u FROM met GROUP BY 1), top AS (SELECT item_id, max(score) AS s FROM cand GROUP BY 1) SELECT b.item_id, CASE WHEN top.s IS NULL OR coalesce(u, 0) * 2 < q THEN 'unsupported' WHEN top.s >= 0.72 THEN 'extractive' ELSE 'synthesis' END AS route FROM benchmark b LEFT JOIN q USING (item_id) LEFT JOIN u USING (item_id) LEFT JOIN top USING (item_id)",
-    "benchmark",
-    "documents",
-)
-def _(b, d):
-    """Routes by the question's terms that all candidates together have, then by the best score."""
-    found, met = candidates(b, d)
-    q = tm.content(b, "item_id").groupBy("item_id").agg(F.countDistinct("term").alias("q"))
-    u = met.groupBy("item_id").agg(F.countDistinct("term").alias("u"))
-    best = found.groupBy("item_id").agg(F.max("score").alias("s"))
-    weak = F.col("s").isNull() | (F.coalesce("u", F.lit(0)) * 2 < F.col("q"))
-    route = F.when(weak, "unsupported").when(F.col("s") >= 0.72, "extractive").otherwise("synthesis")
-    return b.select("item_id").join(q, "item_id", "left").join(u, "item_id", "left").join(best, "item_id", "left").select("item_id", route.alias("route"))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import sql
-from ..operators import chunks, retrieval
+from ..operators import chunks
 from ..operators import terms as tm
-from .registry import DENSE_SQL, per_doc, query
+from .registry import per_doc, query
 
 # Month names, full and short, and the metric phrases of financial questions.
 MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep oct nov dec"
@@ -92,19 +91,6 @@ def _(b):
     return n.select("item_id", anchors.cast("long").alias("anchors"), constraints.cast("long").alias("constraints"))
 
 
-@query("ag03_max_normalised", f"SELECT query_id, vec_id, round(CASE WHEN m = 0 THEN 0 ELSE score / m END, 5) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM ({DENSE_SQL}))", "embeddings")
-def _(v):
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return retrieval.dense(v).withColumn("m", best).select("query_id", "vec_id", F.round(F.when(F.col("m") == 0, 0.0).otherwise(F.col("score") / F.col("m")), 5).alias("score"))
-
-
-@query("vc15_jaccard", f"WITH s AS (SELECT item_id, list(DISTINCT term) AS t FROM ({CONTENT}) GROUP BY 1) SELECT a.item_id, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE, 6) AS jaccard FROM s a JOIN s b ON b.item_id = a.item_id + 1", "benchmark")
-def _(b):
-    sets = tm.content(b, "item_id").groupBy("item_id").agg(F.collect_set("term").alias("t"))
-    after = sets.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
-    return sets.join(after, "item_id").select("item_id", F.round(F.size(F.array_intersect("t", "u")) / F.size(F.array_union("t", "u")), 6).alias("jaccard"))
-
-
 @query("tx26_page_sets", "SELECT conv_id, list_has_any(p, [1, 2]) AS any_hit, list_has_all(p, [1, 2]) AS all_hit FROM (SELECT conv_id, list(turn) AS p FROM conversations GROUP BY 1)", "conversations")
 def _(c):
     want = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))

@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions import sql
 from ..functions import text as tx
-from ..operators import retrieval
 from ..operators import terms as tm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,12 +128,6 @@ def _(c):
     return c.select("conv_id", "turn", F.lag("turn").over(w).alias("before"), F.lead("turn").over(w).alias("after"))
 
 
-@query("jn07_term_semi", f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM ({sql.content('documents', 'doc_id')}) WHERE term IN (SELECT term FROM ({sql.content('benchmark', 'item_id')}) WHERE length(term) >= 8))", "documents", "benchmark")
-def _(d, b):
-    known = tm.content(b, "item_id").filter(F.length("term") >= 8).select("term").distinct()
-    return d.select("doc_id").join(tm.content(d, "doc_id").join(known, "term", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
-
-
 @query("jn08_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", "documents", "labels")
 def _(d, lab):
     return d.select("doc_id").join(lab, "doc_id", "left_anti")
@@ -165,49 +158,3 @@ def _(e):
 @query("ag07_per_document", "SELECT d.source, count(*) AS questions, count(*) FILTER (quality = 0) AS failures FROM labels l JOIN documents d USING (doc_id) GROUP BY 1", "labels", "documents")
 def _(lab, d):
     return lab.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("questions"), F.count_if(F.col("quality") == 0).alias("failures"))
-
-
-@query("vc01_hash_embedding", "SELECT doc_id, CAST(('0x' || substr(h, 1, 8))::UBIGINT % 128 AS BIGINT) AS dim, CAST(sum(CASE WHEN ('0x' || substr(h, 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM (SELECT doc_id, sha256(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS h FROM documents) GROUP BY 1, 2", "documents")
-def _(d):
-    return retrieval.hashed_embedding(d)
-
-
-DENSE_SQL = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5) QUALIFY rank <= 5"
-
-
-@query("wn01_dense_topk", DENSE_SQL, "embeddings")
-def _(v):
-    return retrieval.dense(v)
-
-
-LEXICAL_SQL = f"""
-WITH q AS ({sql.content('benchmark', 'item_id')}), d AS ({sql.content('documents', 'doc_id')}),
-qs AS (SELECT DISTINCT item_id, term FROM q), ds AS (SELECT DISTINCT doc_id, term FROM d),
-qa AS ({sql.anchors('SELECT * FROM q', 'item_id')}), qc AS ({sql.constraints('SELECT * FROM q', 'item_id')}),
-qp AS (SELECT DISTINCT item_id, term, nxt FROM (SELECT item_id, term, lead(term) OVER (PARTITION BY item_id ORDER BY pos) AS nxt FROM q) WHERE nxt <> term),
-dp AS (SELECT DISTINCT doc_id, term, nxt FROM (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM d) WHERE nxt <> term),
-m AS (SELECT item_id, doc_id, count(*)::DOUBLE AS n FROM qs JOIN ds USING (term) GROUP BY 1, 2),
-a AS (SELECT item_id, doc_id, count(*)::DOUBLE AS n FROM qa JOIN ds USING (term) GROUP BY 1, 2),
-c AS (SELECT item_id, doc_id, count(*)::DOUBLE AS n FROM qc JOIN ds USING (term) GROUP BY 1, 2),
-p AS (SELECT item_id, doc_id, count(*)::DOUBLE AS n FROM qp JOIN dp USING (term, nxt) GROUP BY 1, 2),
-s AS (SELECT m.item_id, m.doc_id, round(
-    m.n / (SELECT count(*) FROM qs x WHERE x.item_id = m.item_id) * 0.32 + m.n / dn.k * 0.08
-    + coalesce(a.n / (SELECT count(*) FROM qa x WHERE x.item_id = m.item_id), 0) * 0.35 + coalesce(a.n, 0) / dn.k * 0.1
-    + coalesce(p.n / (SELECT count(*) FROM qp x WHERE x.item_id = m.item_id), 0) * 0.2
-    + coalesce(c.n / (SELECT count(*) FROM qc x WHERE x.item_id = m.item_id), 0) * 0.35 + coalesce(c.n, 0) / dn.k * 0.08, 6) AS score
-  FROM m JOIN (SELECT doc_id, count(*) AS k FROM ds GROUP BY 1) dn ON dn.doc_id = m.doc_id
-  LEFT JOIN a ON a.item_id = m.item_id AND a.doc_id = m.doc_id LEFT JOIN c ON c.item_id = m.item_id AND c.doc_id = m.doc_id
-  LEFT JOIN p ON p.item_id = m.item_id AND p.doc_id = m.doc_id)
-SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5"""
-
-
-@query(FLAGSHIP, LEXICAL_SQL, "benchmark", "documents")
-def _(b, d):
-    return retrieval.lexical(b, d)
-
-
-@query("vc04_rrf", f"WITH r1 AS (SELECT query_id, vec_id, rank FROM ({DENSE_SQL})), r2 AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id DESC) AS rank FROM r1) SELECT query_id, vec_id, round(0.6 / (20.0 + r1.rank) + 0.4 / (20.0 + r2.rank), 6) AS score FROM r1 FULL JOIN r2 USING (query_id, vec_id)", "embeddings")
-def _(v):
-    first = retrieval.dense(v)
-    second = retrieval.top(first.select("query_id", "vec_id"), "query_id", 5, F.desc("vec_id"))
-    return retrieval.fuse(first, second, "query_id", "vec_id")
