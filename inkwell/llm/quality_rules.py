@@ -46,11 +46,20 @@ TRACKED = 20_000
 REFERENCES = "array<struct<lang:string,classes:array<double>,words:array<string>,shares:array<double>>>"
 
 
-def class_counts(text: Column) -> dict[str, Column]:
-    """Characters of each class; symbols are what is left."""
-    size = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
-    found = {"lower": size(r"\p{Ll}"), "upper": size(r"\p{Lu}"), "letter": size(r"\p{L}&&[^\p{Ll}\p{Lu}]"), "space": size(r"\s"), "digit": size(r"\p{N}"), "point": size(r".,;:!?'\"()\-")}
-    return found
+def stripped(df: DataFrame) -> DataFrame:
+    """df (with _text) and _rest, the text without lower-case letters, and _other, that without any letters. Both are
+    short, so what is counted in them costs little."""
+    rest = df.withColumn("_rest", F.regexp_replace("_text", r"\p{Ll}+", ""))
+    return rest.withColumn("_other", F.regexp_replace("_rest", r"\p{L}+", "")).withColumn("_size", F.length("_text").cast("long"))
+
+
+def class_counts() -> dict[str, Column]:
+    """Characters of each class of what stripped() gives."""
+    n = lambda c: F.length(c).cast("long")
+    less = lambda c, what: n(c) - n(F.regexp_replace(c, what, ""))
+    upper = less("_rest", r"\p{Lu}+")
+    found = {"lower": F.col("_size") - n("_rest"), "upper": upper, "letter": n("_rest") - n("_other") - upper}
+    return found | {"space": less("_other", r"[\x20\x09-\x0D]+"), "digit": less("_other", r"\p{N}+"), "point": less("_other", r"[.,;:!?'\"()-]+")}
 
 
 def bare_words(text: Column) -> Column:
@@ -61,9 +70,8 @@ def bare_words(text: Column) -> Column:
 def references(docs: DataFrame, common: int = COMMON, least: int = LEAST) -> list[dict]:
     """lang, classes, words and shares of each language that has ``least`` words: a row a language, so it is small."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = F.length("text")
-    counts = class_counts(F.col("text"))
-    shares = docs.filter(n > 0).select("lang", *((c / n).alias(k) for k, c in counts.items()))
+    counts = class_counts()
+    shares = stripped(docs.select("lang", F.col("text").alias("_text")).filter("_text <> ''")).select("lang", *((c / F.col("_size")).alias(k) for k, c in counts.items()))
     middle = shares.groupBy("lang").agg(*(F.percentile_approx(k, 0.5, 1000).alias(k) for k in counts))
     each = docs.select("lang", F.explode(bare_words(F.col("text"))).alias("w"))
     # Twice as many as wanted, since some may be no words.
@@ -157,21 +165,20 @@ def rules(docs: DataFrame, known: list[dict], min_words: int = MIN_WORDS, max_cl
     lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
     base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), lang.alias("_lang"), F.coalesce(docs["text"], F.lit("")).alias("_text"), words_of(docs["text"]).alias("_words"), bare_words(docs["text"]).alias("_bare"))
     text, size = F.col("_text"), lambda c: F.size(c).cast("long")
-    without = lambda what: F.length(F.regexp_replace(text, what, "")).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     names = sorted({w for r in known for w in r["words"]})
-    step = base.select(
+    step = stripped(base).withColumn("_counts", F.array(*class_counts().values())).select(
         "_row",
         size("_words").alias("n_words"),
-        without(r"[\x20\x09-\x0D]+").alias("word_chars"),
-        without(r"[^#*$%&|<>]+").alias("n_symbols"),
+        (F.col("_size") - F.col("_counts")[KINDS.index("space")]).alias("word_chars"),
+        F.length(F.regexp_replace("_other", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("_words")).alias("n_repeat_words"),
         F.filter(_literal(known), lambda r: F.col("_lang").isNull() | (r["lang"] == F.col("_lang"))).alias("_refs"),
         size("_bare").alias("_n"),
         _runs(F.filter("_bare", lambda w: w.isin(names))).alias("_runs") if names else F.array().cast("array<struct<w:string,n:int>>").alias("_runs"),
-        F.length(text).cast("long").alias("_size"),
-        F.array(*class_counts(text).values()).alias("_counts"),
+        "_size",
+        "_counts",
     )
     counts = F.concat("_counts", F.array(F.col("_size") - F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x)))
     least = lambda f: F.array_min(F.transform("_refs", f))
