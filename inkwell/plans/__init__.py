@@ -4,3 +4,4 @@ from . import registry  # noqa: F401, E402  (first: it holds the tables of queri
 from . import passages  # noqa: F401, E402, I001
 from . import answers  # noqa: F401, E402, I001
 from . import search  # noqa: F401, E402, I001
+from . import evidence  # noqa: F401, E402, I001

@@ -118,14 +118,3 @@ def _(lab, d):
     claims = lab.join(d.select("doc_id", "source"), "doc_id").select("source", s.alias("s"), F.when(F.col("toxic") == 1, "heuristic+llm").otherwise("heuristic").alias("v"))
     who = F.when(F.min("v") != F.max("v"), "mixed").otherwise(F.min("v"))
     return claims.groupBy("source").agg(F.count_if(F.col("s") >= 0.45).alias("supported"), F.round(F.avg("s"), 6).alias("mean"), F.min("s").alias("least"), who.alias("verifier"))
-
-
-FACETS = r"CASE WHEN contains(lower(text), ' and ') OR contains(lower(text), 'both ') THEN list_filter(list_transform(regexp_split_to_array(lower(text), ' (and|or|then) '), lambda x: trim(x)), lambda x: x <> '') ELSE [lower(trim(text))] END"
-
-
-@query("gr05_facets", f"SELECT item_id, unnest(f) AS facet, generate_subscripts(f, 1) AS i FROM (SELECT item_id, {FACETS} AS f FROM benchmark)", "benchmark")
-def _(b):
-    t = F.lower("text")
-    parts = F.filter(F.transform(F.split(t, " (and|or|then) "), lambda x: F.trim(x)), lambda x: x != "")
-    facets = F.when(F.contains(t, F.lit(" and ")) | F.contains(t, F.lit("both ")), parts).otherwise(F.array(F.trim(t)))
-    return b.select("item_id", F.posexplode(facets).alias("p", "facet")).select("item_id", "facet", (F.col("p") + 1).cast("long").alias("i"))

@@ -50,20 +50,6 @@ def _(c):
     return c.select("conv_id", "turn", chunks.signature(F.get(F.split("text", "\n"), F.lit(0))).alias("signature"))
 
 
-@query(
-    "wn12_sliding_spans",
-    r"""SELECT conv_id, turn, n, i, array_to_string(list_slice(l, i, i + n - 1), ' ') AS span FROM (
-      SELECT conv_id, turn, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM (
-        SELECT conv_id, turn, string_split(text, chr(10)) AS l, unnest([1::BIGINT, 2, 3]) AS n FROM conversations))""",
-    "conversations",
-)
-def _(c):
-    sizes = c.select("conv_id", "turn", F.split("text", "\n").alias("l"), F.explode(F.array(*map(F.lit, (1, 2, 3))).cast("array<long>")).alias("n"))
-    starts = F.sequence(F.lit(1).cast("long"), F.size("l") - F.col("n") + 1)
-    each = sizes.filter(F.size("l") >= F.col("n")).select("conv_id", "turn", "l", "n", F.explode(starts).alias("i"))
-    return each.select("conv_id", "turn", "n", "i", F.array_join(F.slice("l", F.col("i").cast("int"), F.col("n").cast("int")), " ").alias("span"))
-
-
 CONTENT = sql.content("benchmark", "item_id")
 
 

@@ -114,20 +114,6 @@ def _(lab, d):
     return lab.filter("toxic = 0").join(d.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "quality", "lang", "source")
 
 
-@query("jn04_page_overlap", "WITH s AS (SELECT conv_id, turn AS a, turn + 1 AS b FROM conversations) SELECT x.conv_id, x.a AS page, y.a AS sibling FROM s x JOIN s y ON x.conv_id = y.conv_id AND y.a <= x.b AND y.b >= x.a AND y.a <> x.a", "conversations")
-def _(c):
-    x = c.select("conv_id", F.col("turn").alias("page"))
-    y = c.select("conv_id", F.col("turn").alias("sibling"))
-    near = (F.col("sibling") <= F.col("page") + 1) & (F.col("sibling") + 1 >= F.col("page")) & (F.col("sibling") != F.col("page"))
-    return x.join(y, "conv_id").filter(near)
-
-
-@query("jn05_adjacent", "SELECT conv_id, turn, lag(turn) OVER w AS before, lead(turn) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)", "conversations")
-def _(c):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return c.select("conv_id", "turn", F.lag("turn").over(w).alias("before"), F.lead("turn").over(w).alias("after"))
-
-
 @query("jn08_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", "documents", "labels")
 def _(d, lab):
     return d.select("doc_id").join(lab, "doc_id", "left_anti")
