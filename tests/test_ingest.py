@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -16,14 +17,14 @@ def normal(spark, *texts):
 
 def test_page_text(spark):
     assert normal(spark, "  Chapter 1 \n\n\nA   wrapped\tline  \n\n") == ["Chapter 1\n\nA wrapped line"]
-    stacked = "Part II\nThe Long Ride\n\nThe county line came into view."
+    stacked = "Volume 3\nAcross The Moor\n\nRain fell on the empty station."
     assert normal(spark, stacked) == [stacked]
     assert normal(spark, None, "", "12") == ["", "", ""]
 
 
 def test_boundaries(spark):
     bodies = [f"The {w} paragraph stays in place." for w in ("first", "second", "third")]
-    assert normal(spark, *(f"The Great Book\nChapter One\n\n{b}\n\n{i}" for i, b in enumerate(bodies, 1))) == bodies
+    assert normal(spark, *(f"Harbour Almanac\nSection Four\n\n{b}\n\n{i}" for i, b in enumerate(bodies, 1))) == bodies
     assert normal(spark, "Opening\n\nSome text here.\n\n1", "Closing\n\nOther text here.\n\n2") == ["Opening\n\nSome text here.", "Closing\n\nOther text here."]
 
 
@@ -33,16 +34,49 @@ def pages(spark, *texts):
 
 def test_chunks(spark):
     body = "alpha " * 99 + "end."
-    rows = chunks.build_chunks(pages(spark, f"Part II\nThe Long Ride\n\n{body}", f"Next Part\n\n{body}\n\nLone Heading")).orderBy("chunk_index").collect()
-    assert [(r.heading, r.heading_path, r.page_start, r.page_end, r.token_estimate) for r in rows] == [
-        ("The Long Ride", ["Part II\nThe Long Ride"], 1, 1, 136),
+    rows = chunks.build_chunks(pages(spark, f"Volume 3\nAcross The Moor\n\n{body}", f"Next Part\n\n{body}\n\nLone Heading")).orderBy("chunk_index").collect()
+    assert [(r.heading, r.provenance.heading_path, r.page_start, r.page_end, r.token_estimate) for r in rows] == [
+        ("Across The Moor", ["Volume 3\nAcross The Moor"], 1, 1, 136),
         ("Next Part", ["Next Part"], 2, 2, 133),
     ]
-    text = pages(spark, *["\n\n".join(["beta " * 39 + "end."] * 10)] * 2)
-    small, large = (chunks.build_chunks(text, chunks.Chunking(*c)) for c in ((120, 80, 16), (280, 160, 16)))
-    assert small.count() > large.count() > 1
-    first, second = small.orderBy("chunk_index").limit(2).collect()
-    assert second.text.startswith(first.text.split("\n\n")[-1])
+    p = rows[1].provenance
+    assert (p.paragraph_count, tuple(p.paragraph_range), tuple(p.char_range), p.source_page_numbers) == (2, (2, 3), (2, 0, 2, 11 + len(body)), [2])
+    assert [(x.is_heading, x.page_paragraph_index) for x in p.paragraphs] == [(True, 0), (False, 1)]
+
+
+def by_hand(paragraphs, target, least, overlap):
+    """The texts of chunks, paragraph by paragraph. paragraphs: (text, words, is heading)."""
+    out, held = [], []
+    for text, n, head in paragraphs:
+        bodies = [x for x in held if not x[2]]
+        size = sum(x[1] for x in held)
+        if head and bodies:
+            out.append(held)
+            held = []
+        elif not head and bodies and size + n > target and size >= least:
+            out.append(held)
+            k = len(bodies) - 1
+            while k > 0 and sum(x[1] for x in bodies[k:]) < overlap:
+                k -= 1
+            held = bodies[k:]
+        held = [*held, (text, n, head)]
+    if any(not x[2] for x in held):
+        out.append(held)
+    return ["\n\n".join(x[0] for x in c) for c in out]
+
+
+@pytest.mark.parametrize("target, least, overlap", [(120, 80, 16), (280, 160, 16), (40, 10, 0), (60, 30, 200)])
+def test_chunks_by_hand(spark, target, least, overlap):
+    rnd = random.Random(target)
+    made = []
+    for i in range(60):
+        head = rnd.random() < 0.15
+        n = rnd.randint(1, 4) if head else rnd.randint(3, 70)
+        made.append((" ".join([f"Title{i}"] * n) if head else " ".join([f"word{i}"] * (n - 1) + ["end."]), n, head))
+    texts = ["\n\n".join(t for t, _, _ in made[k : k + 7]) for k in range(0, 60, 7)]
+    got = chunks.build_chunks(pages(spark, *texts), chunks.Chunking(target, least, overlap)).orderBy("chunk_index").collect()
+    assert [r.text for r in got] == by_hand(made, target, least, overlap)
+    assert [r.chunk_index for r in got] == list(range(len(got)))
 
 
 def test_suppress_and_pack(spark):
