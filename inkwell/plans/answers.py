@@ -35,37 +35,7 @@ def cells(text: Column) -> Column:
 CELLS = f"list_filter(list_transform({LINES}, lambda x: trim(regexp_replace(x, '^[•*\\- ]+', ''))), lambda x: x <> '' AND x NOT IN ({sql.words(NO_CELL)}))"
 
 per_doc("tx13_structured_lines", lambda t: F.array_join(cells(t), "|"), f"coalesce(array_to_string({CELLS}, '|'), '')")
-per_doc(
-    "tx18_evidence_excerpt",
-    lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\$[ ]+", r"\$ "), r"[ ]+%", "%"), r"\([ ]+", "("), r"[ ]+\)", ")"),
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\$[ ]+', '$ ', 'g'), '[ ]+%', '%', 'g'), '\([ ]+', '(', 'g'), '[ ]+\)', ')', 'g')",
-)
-per_doc(
-    "tx19_excerpt_norm",
-    lambda t: F.trim(F.regexp_replace(F.lower(F.translate(t, "‘’“”–—", "''\"\"--")), WHITE, " ")),
-    r"""trim(regexp_replace(lower(translate(text, '‘’“”–—', '''''""--')), '[ \t\n\r\f\v]+', ' ', 'g'))""",
-)
-per_doc("tx23_terminal_punctuation", lambda t: F.when(F.trim(t).rlike("[.!?]$"), F.trim(t)).otherwise(F.concat(F.trim(t), F.lit("."))), "CASE WHEN regexp_matches(trim(text), '[.!?]$') THEN trim(text) ELSE trim(text) || '.' END")
 per_doc("wn14_boundary_lines", lambda t: F.concat_ws("|", F.slice(lines(t), 1, 2), F.slice(lines(t), F.greatest(F.size(lines(t)) - 1, F.lit(1)), 2)), f"array_to_string(list_concat(list_slice({LINES}, 1, 2), list_slice({LINES}, greatest(len({LINES}) - 1, 1), len({LINES}))), '|')")
-per_doc(
-    "flt09_numeric_block",
-    lambda t: (F.size(lines(t)) >= 6) & (F.size(F.filter(lines(t), lambda x: x.rlike(NUMERIC_LINE))) >= 4) & (2 * F.size(F.filter(lines(t), lambda x: F.size(F.split(x, " ")) <= 8)) >= F.size(lines(t))),
-    f"len({LINES}) >= 6 AND len(list_filter({LINES}, lambda x: regexp_matches(x, '{NUMERIC_LINE}'))) >= 4 AND 2 * len(list_filter({LINES}, lambda x: len(string_split(x, ' ')) <= 8)) >= len({LINES})",
-)
-
-
-@query("tx27_tier", "SELECT event_id, CASE WHEN lower(trim(event_type)) IN ('view', 'click') THEN 'exploratory' ELSE 'gating' END AS tier FROM events", "events")
-def _(e):
-    return e.select("event_id", F.when(F.lower(F.trim("event_type")).isin("view", "click"), "exploratory").otherwise("gating").alias("tier"))
-
-
-@query("tx25_json_fields", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events WHERE json_valid(props)", "events")
-def _(e):
-    parsed = F.from_json("props", "map<string,string>")
-    first = F.get(F.map_values(parsed), F.lit(0))
-    return e.select("event_id", first.alias("first_value"))
-
-
 @query("wn13_line_windows", f"SELECT conv_id, turn, i, n, array_to_string(list_slice(l, i, i + n - 1), ' ') AS span FROM (SELECT conv_id, turn, l, i, unnest(range(1, least(8, len(l) - i + 1) + 1)) AS n FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, {LINES} AS l FROM conversations)))", "conversations")
 def _(c):
     parted = c.select("conv_id", "turn", lines(F.col("text")).alias("l")).filter(F.size("l") > 0)
@@ -90,11 +60,6 @@ def _(c):
     return c.groupBy("conv_id").agg(F.min_by("turn", F.struct(F.length("text"), F.col("turn"))).alias("turn"))
 
 
-@query("jn06_page_headers", "SELECT conv_id, turn, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS header FROM conversations", "conversations")
-def _(c):
-    return c.select("conv_id", "turn", F.first("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("header"))
-
-
 @query("jn10_config_resolution", "SELECT d.doc_id, coalesce(l.quality, s.q, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT source, max(quality) AS q FROM labels JOIN documents USING (doc_id) WHERE toxic = 1 GROUP BY 1) s ON s.source = d.source", "documents", "labels")
 def _(d, lab):
     slim = d.select("doc_id", "source")

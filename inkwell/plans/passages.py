@@ -15,9 +15,6 @@ METRICS = ["net sales", "operating income", "free cash flow", "operating cash fl
 
 DATE = r"(?i)(^|[^\p{L}\p{N}_])(" + MONTHS.replace(" ", "|") + r"|[0-9]{4}|[0-9]{1,2}[/-][0-9]{1,2}([/-][0-9]{2,4})?)($|[^\p{L}\p{N}_])"
 
-per_doc("flt04_explicit_date", lambda t: t.rlike(DATE), f"regexp_matches(text, '{DATE}')")
-per_doc("flt14_unsupported", lambda t: (F.trim(t) == "") | (F.upper(F.trim(t)) == "INSUFFICIENT_SUPPORT"), "trim(text) = '' OR upper(trim(text)) = 'INSUFFICIENT_SUPPORT'")
-per_doc("tx21_quarters", lambda t: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("q[1-4] [0-9]{4}"), F.lit(0)))), ","), "coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), 'q[1-4] [0-9]{4}'))), ','), '')")
 per_doc(
     "tx22_metric_phrases",
     lambda t: F.array_join(F.filter(F.array(*map(F.lit, METRICS)), lambda m: F.contains(F.lower(t), m)), ","),
@@ -77,40 +74,4 @@ def _(b):
     return n.select("item_id", anchors.cast("long").alias("anchors"), constraints.cast("long").alias("constraints"))
 
 
-@query("tx26_page_sets", "SELECT conv_id, list_has_any(p, [1, 2]) AS any_hit, list_has_all(p, [1, 2]) AS all_hit FROM (SELECT conv_id, list(turn) AS p FROM conversations GROUP BY 1)", "conversations")
-def _(c):
-    want = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
-    sets = c.groupBy("conv_id").agg(F.collect_set("turn").alias("p"))
-    return sets.select("conv_id", F.arrays_overlap("p", want).alias("any_hit"), (F.size(F.array_except(want, "p")) == 0).alias("all_hit"))
-
-
 RATES = "SELECT doc_id % 2 AS run, avg(quality::DOUBLE) AS quality_rate, avg(1.0 - toxic) AS clean_rate FROM labels GROUP BY 1"
-
-
-@query("ag12_metric_deltas", f"WITH r AS (UNPIVOT ({RATES}) ON quality_rate, clean_rate INTO NAME metric VALUE v) SELECT b.metric, round(a.v - b.v, 6) AS delta, round(a.v - b.v, 6) < 0 AS regressed FROM r a JOIN r b USING (metric) WHERE a.run = 1 AND b.run = 0", "labels")
-def _(lab):
-    rates = lab.groupBy((F.col("doc_id") % 2).alias("run")).agg(F.avg("quality").alias("quality_rate"), F.avg(1.0 - F.col("toxic")).alias("clean_rate"))
-    long = rates.unpivot("run", ["quality_rate", "clean_rate"], "metric", "v")
-    both = long.groupBy("metric").agg(F.round(F.max(F.when(F.col("run") == 1, F.col("v"))) - F.max(F.when(F.col("run") == 0, F.col("v"))), 6).alias("delta"))
-    return both.filter("delta is not null").select("metric", "delta", (F.col("delta") < 0).alias("regressed"))
-
-
-@query("ag13_best_preset", "SELECT source FROM (SELECT source, avg(quality) AS q, avg(toxic) AS t FROM labels JOIN documents USING (doc_id) GROUP BY 1) ORDER BY q DESC, t, source DESC LIMIT 1", "labels", "documents")
-def _(lab, d):
-    rates = lab.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
-    return rates.agg(F.max_by("source", F.struct("q", -F.col("t"), "source")).alias("source"))
-
-
-@query(
-    "ag08_eval_summary",
-    "SELECT count(*) AS questions, count(*) FILTER (quality = 1) AS supported, round(avg(toxic), 6) AS failure_rate, round(coalesce(avg(toxic) FILTER (quality = 0), 0), 6) AS unsupported_failure_rate, count(DISTINCT doc_id) AS documents FROM labels",
-    "labels",
-)
-def _(lab):
-    return lab.agg(
-        F.count("*").alias("questions"),
-        F.count_if(F.col("quality") == 1).alias("supported"),
-        F.round(F.avg("toxic"), 6).alias("failure_rate"),
-        F.round(F.coalesce(F.avg(F.when(F.col("quality") == 0, F.col("toxic"))), F.lit(0.0)), 6).alias("unsupported_failure_rate"),
-        F.countDistinct("doc_id").alias("documents"),
-    )

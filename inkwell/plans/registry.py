@@ -87,23 +87,11 @@ def _(b):
     return tm.bigrams(tm.content(b, "item_id"), "item_id").groupBy("item_id").agg(F.count("*").alias("pairs"))
 
 
-@query("src03_filename", "SELECT page_id, CASE WHEN b = '' THEN 'document.pdf' WHEN b LIKE '%.pdf' THEN b ELSE b || '.pdf' END AS filename FROM (SELECT page_id, regexp_replace(trim(list_extract(string_split(url, '/'), -1)), '[^A-Za-z0-9._-]+', '-', 'g') AS b FROM pages)", "pages")
-def _(p):
-    base = F.regexp_replace(F.trim(F.element_at(F.split("url", "/"), -1)), "[^A-Za-z0-9._-]+", "-")
-    return p.select("page_id", base.alias("b")).select("page_id", F.when(F.col("b") == "", "document.pdf").when(F.col("b").endswith(".pdf"), F.col("b")).otherwise(F.concat("b", F.lit(".pdf"))).alias("filename"))
-
-
 @query("src04_dedupe", "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY sha256(text)", "documents")
 def _(d):
     return d.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("src06_cascade_delete", "SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", "conversations", "labels")
-def _(c, lab):
-    gone = lab.filter("toxic = 1").select(F.col("doc_id").alias("conv_id"))
-    return c.join(gone, "conv_id", "left_anti").select("conv_id", "turn")
-
-
 @query("src07_latest_job", "SELECT user_id, max(event_id) AS event_id FROM (SELECT user_id, event_id, rank() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r = 1 GROUP BY 1", "events")
 def _(e):
     return e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", F.col("m.event_id").alias("event_id"))
@@ -119,12 +107,6 @@ def _(d, lab):
     return d.select("doc_id").join(lab, "doc_id", "left_anti")
 
 
-@query("ag01_boundary_counts", r"SELECT signature, count(*) AS n FROM (SELECT regexp_replace(trim(regexp_replace(lower(list_extract(string_split(text, chr(10)), 1)), '[0-9]', '#', 'g')), '[^a-z0-9# ]+', ' ', 'g') AS signature FROM conversations) GROUP BY 1 HAVING count(*) >= 3", "conversations")
-def _(c):
-    first = F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.get(F.split("text", "\n"), F.lit(0))), "[0-9]", "#")), "[^a-z0-9# ]+", " ")
-    return c.groupBy(first.alias("signature")).agg(F.count("*").alias("n")).filter("n >= 3")
-
-
 @query("ag04_rates", "SELECT quality, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n FROM labels GROUP BY 1", "labels")
 def _(lab):
     return lab.groupBy("quality").agg(F.round(F.avg((F.col("toxic") == 1).cast("double")), 6).alias("rate"), F.count("*").alias("n"))
@@ -139,8 +121,3 @@ def _(lab):
 @query("ag06_latency_percentiles", "SELECT event_type, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1", "events")
 def _(e):
     return e.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
-
-
-@query("ag07_per_document", "SELECT d.source, count(*) AS questions, count(*) FILTER (quality = 0) AS failures FROM labels l JOIN documents d USING (doc_id) GROUP BY 1", "labels", "documents")
-def _(lab, d):
-    return lab.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("questions"), F.count_if(F.col("quality") == 0).alias("failures"))

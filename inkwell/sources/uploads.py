@@ -19,15 +19,21 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").schema(BINARY).load(folder)
 
 
-def register(files: DataFrame, limit_mb: int = 50) -> DataFrame:
-    """path, sha256, stored_name and error (null if accepted) of files (path, length, content)."""
+#: Types that an upload may claim, besides none.
+TYPES = ["application/pdf", "application/octet-stream"]
+
+
+def register(files: DataFrame, limit_mb: float = 50, keep: list[str] | None = None) -> DataFrame:
+    """path, sha256, stored_name and error (null if accepted) of files (path, length, content, maybe content_type), and the columns to keep."""
     sha = F.sha2("content", 256)
+    claimed = F.col("content_type") if "content_type" in files.columns else F.lit(None).cast("string")
     error = (
         F.when(~F.lower("path").endswith(".pdf"), "extension")
+        .when(claimed.isNotNull() & ~claimed.isin(TYPES), "type")
         .when(F.col("length") > limit_mb * 1024 * 1024, "size")
         .when(F.coalesce(F.substring("content", 1, 5) != F.encode(F.lit("%PDF-"), "UTF-8"), F.lit(True)), "content")
     )
-    return files.select("path", sha.alias("sha256"), F.concat(F.substring(sha, 1, 12), F.lit("-"), filename(F.col("path"))).alias("stored_name"), error.alias("error"))
+    return files.select(*(keep or []), "path", sha.alias("sha256"), F.concat(F.substring(sha, 1, 12), F.lit("-"), filename(F.col("path"))).alias("stored_name"), error.alias("error"))
 
 
 def new_only(registered: DataFrame, catalog: DataFrame) -> DataFrame:
