@@ -6,3 +6,4 @@ from . import answers  # noqa: F401, E402, I001
 from . import search  # noqa: F401, E402, I001
 from . import evidence  # noqa: F401, E402, I001
 from . import records  # noqa: F401, E402, I001
+from . import replies  # noqa: F401, E402, I001
