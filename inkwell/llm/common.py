@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import _open, remove, saved, scratch, shared_dir  # noqa: F401
+
 #: Bytes of a side that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
-#: Folders of the scratch() blocks that are open, the innermost last.
-_scratch: list[str] = []
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -37,42 +35,17 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_id"), row_hash(docs).alias("_h"), docs["text"].alias("_text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. On a single machine where the session
-    names none (tests), a temporary one is set for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="inkwell-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextlib.contextmanager
-def scratch(spark: SparkSession):
-    """What is saved() within goes when the block ends. A DataFrame made within must be written there."""
-    _scratch.append(f"{shared_dir(spark)}/inkwell/scratch-{uuid.uuid4().hex}")
-    try:
-        yield
-    finally:
-        remove(spark, _scratch.pop())
+def kept_after(spark: SparkSession, name: str):
+    """Within the block what is saved() goes to a folder that is deleted at its end; what is given to the function that it gets stays."""
+    path = f"{_open[-1] if _open else shared_dir(spark) + '/inkwell'}/{name}-{uuid.uuid4().hex}"
 
+    def keep(df: DataFrame) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: the lineage
-    ends there, and a lost executor takes nothing with it."""
-    spark = df.sparkSession
-    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/inkwell"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with scratch(spark):
+        yield keep
 
 
 def _width(c: Column, kind: T.DataType) -> Column:
@@ -89,11 +62,15 @@ def _width(c: Column, kind: T.DataType) -> Column:
     return F.lit(8)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if its rows were measured to have few bytes; beyond that
-    it is left for a shuffled join. Use it on saved tables, which are read for it."""
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows were measured to have few bytes. Use it on saved tables, which are read for it."""
     each = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
-    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= limit else df
+    return (df.agg(F.sum(each)).first()[0] or 0) <= limit
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it fits(); beyond that it is left for a shuffled join."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def let(value: Column, body) -> Column:

@@ -210,13 +210,26 @@ def test_repeats(spark, bucket):
                 gone[k : k + 400] = True
         runs = int((np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1).sum())
         want[(i, len(t), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())] += 1
-    before = repeats.spans.__defaults__
-    repeats.spans.__defaults__ = (bucket,)
-    try:
-        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        assert Counter(tuple(r)[:5] for r in repeats.digests(docs).collect()) == want
-    finally:
-        repeats.spans.__defaults__ = before
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r)[:5] for r in repeats.digests(docs, bucket).collect()) == want
+
+
+@pytest.mark.parametrize("bucket", [repeats.BUCKET, 3])
+def test_passages(spark, bucket):
+    rnd = random.Random(4)
+    w = lambda n: [rnd.choice("ab cd efg hi j klm no".split()) + str(rnd.randrange(40)) for _ in range(n)]
+    p, again = w(60), w(55)
+    rows = [(1, w(20) + p + w(9)), (2, p), (3, w(300)), (4, again + w(5) + again), (5, p[:49] + w(30)), (6, None), (7, []), (8, w(70)), (8, w(70))]
+    rows += [(100 + i, w(rnd.randrange(90)) + p[5:] + w(rnd.randrange(90))) for i in range(12)] + [(200, p[10:] + ["x"])]
+    made = [(i, None if x is None else " ".join(x)) for i, x in rows]
+    where = {}
+    for k, (_, t) in enumerate(made):
+        x = (t or "").split()
+        for j in range(len(x) - 49):
+            where.setdefault(tuple(x[j : j + 50]), set()).add(k)
+    want = Counter((i, any(len(where[tuple((t or "").split()[j : j + 50])]) > 1 for j in range(len((t or "").split()) - 49))) for i, t in made)
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.has_passage) for r in repeats.digests(docs, bucket).collect()) == want
 
 
 def test_language_id(spark):
