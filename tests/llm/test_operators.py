@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, decontamination, langid, pii, quality_classifier, quality_rules, repeats, sharding, simhash, token_files
 
@@ -23,11 +25,26 @@ def odd(spark):
     texts = [None, "", "   \n\t ", "one", "one two", "a.b@c.de x +1 (234) 555-6789 x 10.0.0.256 x 4111 1111 1111 1111", "<|endoftext|> it's  x\n\n y", "ab" * 3000]
     texts += [" ".join(word() for _ in range(rnd.randint(3, 300))) for _ in range(40)]
     texts += texts[8:12] + [texts[8] + " more"]
+    texts.append(" ".join(word() for _ in range(200_000)))  # 1.2 MB
     rows = [(i, t, "en", "s", len(t or ""), True, "k") for i, t in enumerate(texts)]
     rows += [(3, "one", "en", "s", 3, True, "k"), (None, "no id", None, None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+#: Names that operators might use for themselves, with values of the caller's.
+CLASHES = {n: f"own {n}" for n in "_key _no _h _id _k _i _row _text _w fp spans found sanitised n_words kept hash item_id text_crc32 size lang_pred score count n _n".split()}
+
+
+def clashing(df):
+    """df with columns of such names; what returns the caller's columns must leave their values as they are."""
+    return df.drop("kept", "_key").withColumns({k: F.lit(v) for k, v in CLASHES.items()})
+
+
 def of(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
@@ -251,3 +268,177 @@ def test_quality_classifier(spark):
     assert np.mean(good) > np.mean(bad) + 0.3
     empty = quality_classifier.classify(spark.createDataFrame([(1, None)], "doc_id long, text string"), labels.filter("false")).collect()
     assert [(r.expected_grade, r.p_top, r.kept) for r in empty] == [(0.0, 0.0, False)]
+
+
+def test_every_operator_on_an_empty_table(nothing, spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France and of Spain then?")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    made = [bpe.digests(nothing), token_files.digests(nothing), simhash.digests(nothing), sharding.shard(nothing), quality_rules.digests(nothing), pii.digests(nothing)]
+    made += [repeats.digests(nothing), langid.identify(nothing), quality_classifier.classify(nothing, labels), decontamination.contaminated(nothing, bench)]
+    made += [quality_rules.passed(nothing), simhash.representatives(nothing), decontamination.clean(nothing, bench), pii.sanitise(nothing)]
+    assert [m.count() for m in made] == [0] * len(made)
+
+
+def test_columns_of_the_caller(odd, spark):
+    wide = clashing(odd).filter("length(text) < 100000 or text is null")
+    bench = spark.createDataFrame([(1, "What is the capital of France and of Spain then?")], "item_id long, text string")
+    for out in (quality_rules.passed(wide), simhash.representatives(wide), decontamination.clean(wide, bench), pii.sanitise(wide)):
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert all(r[k] == v for r in rows for k, v in CLASHES.items())
+    assert len(pii.sanitise(wide).collect()) == wide.count() == len(decontamination.clean(wide, bench).collect())
+    labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    n = wide.count()
+    made = [bpe.digests(wide), token_files.digests(wide), simhash.digests(wide), sharding.shard(wide), quality_rules.digests(wide), pii.digests(wide), repeats.digests(wide), langid.identify(wide), quality_classifier.classify(wide, labels)]
+    assert [m.count() for m in made] == [n] * len(made)
+
+
+def words3(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+
+def test_fingerprints(odd):
+    import xxhash
+
+    want = Counter()
+    for i, t in of(odd):
+        w = words3(t or "")
+        grams = [" ".join(w)] if 0 < len(w) < 3 else [" ".join(w[k : k + 3]) for k in range(len(w) - 2)]
+        ones = [0] * 64
+        for g in grams:
+            h = xxhash.xxh64_intdigest(g.encode(), seed=42)
+            for b in range(64):
+                ones[b] += h >> b & 1
+        want[(i, format(sum(1 << b for b in range(64) if 2 * ones[b] > len(grams)), "016x"))] += 1
+    assert Counter((r.doc_id, r.fingerprint) for r in simhash.digests(odd).collect()) == want
+
+
+def test_representatives(spark):
+    rows = [(5, "a b c d e f", "x"), (4, "a b c d e f", "y"), (4, "a b c d e f", "y"), (4, "a b c d e f", "z"), (None, "a b c d e f", "n"), (7, None, "e"), (6, "", "e"), (8, "quite another text here", "q")]
+    got = [tuple(r) for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    assert sorted((r[0], r[1]) for r in got) == [(4, "a b c d e f"), (6, ""), (8, "quite another text here")]
+
+
+def brute_spans(t):
+    out = []
+    out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(reversed(d)))
+        if 13 <= len(d) <= 19 and total % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return out
+
+
+def test_pii_kinds(spark):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("0123456789. -+()@ax") for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    texts += ["4111 1111 1111 1111", "4111-1111-1111-1111x", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.02.3.255", "+49 (0)30 123456", "é 10.0.0.1 ü a@b.c", "8.8.8.8 a.b@c.d +1 377 555 0271"]
+    assert all(pii.base_spans(t) == brute_spans(t) for t in texts)
+    rows = list(enumerate(texts[-300:]))
+    for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own = brute_spans(rows[r.doc_id][1])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in own).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in own) for k in pii.KINDS]
+
+
+def test_pii_window_is_of_words():
+    long = "x" * 500
+    near = list(pii.contexts(f"one {long} two a@b.co three {long} four", 2))
+    assert near[0][2] == f"{long} two\nthree {long}"
+    assert pii.entities("email", "Ann.Lee7@X.org") == ["email:ann.lee7@x.org", "domain:x.org", "owner:ann lee"]
+
+
+def test_sharding_goes_back(odd):
+    one, two = (sorted(map(tuple, sharding.shard(odd).collect()), key=repr) for _ in range(2))
+    assert one == two
+    rows = sharding.shard(odd).collect()
+    assert all(sharding.row_of(r.shard, r.slot, len(rows), 24) == r.row_number for r in rows)
+
+
+def js(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    side = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m, strict=True) if a > 0)
+    return (side(p) + side(q)) / 2
+
+
+def test_quality_distances(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = {r["lang"]: r for r in quality_rules.references(docs)}
+    assert "en" in known
+    counts = Counter()
+    for r in docs.filter("lang = 'en'").collect():
+        counts.update(w for w in re.split(r"[\s.,;:!?'\"()-]+", r.text.lower()) if w)
+    top = [w for w, _ in counts.most_common(70) if any(c.isalpha() for c in w)]
+    assert set(known["en"]["words"][:30]) <= set(top[:40])
+    rows = {r._row.doc_id: r for r in quality_rules.rules(docs, list(known.values())).collect()}
+    for d in docs.filter("lang = 'en'").collect():
+        t, ref, r = d.text, known["en"], rows[d.doc_id]
+        kinds = [sum(c.islower() for c in t), sum(c.isupper() for c in t)]
+        letters = sum(c.isalpha() for c in t)
+        rest = [sum(c.isspace() for c in t), sum(c.isdigit() for c in t), sum(c in ".,;:!?'\"()-" for c in t)]
+        kinds += [letters - sum(kinds), *rest]
+        kinds.append(len(t) - letters - sum(rest))
+        want = math.sqrt(max(0, js([k / len(t) for k in kinds], ref["classes"]) - 6 / (8 * math.log(2) * len(t))))
+        assert abs(r.class_distance - want) < 1e-6
+        words = [w for w in re.split(r"[\s.,;:!?'\"()-]+", t.lower()) if w]
+        if len(words) < quality_rules.MIN_WORDS:
+            assert r.word_distance is None
+            continue
+        n = Counter(words)
+        p, q = [n[w] / len(words) for w in ref["words"]], list(ref["shares"])
+        want = math.sqrt(max(0, js([*p, 1 - sum(p)], [*q, 1 - sum(q)]) - len(ref["words"]) / (8 * math.log(2) * len(words))))
+        assert abs(r.word_distance - want) < 1e-6
+        assert r.kept == (not r.base_failed and r.class_distance <= quality_rules.MAX_CLASS and r.word_distance <= quality_rules.MAX_WORD)
+
+
+def test_kernel():
+    marks, texts = ["the cat sat", "der hund lief", "le chat noir"], ["the dog ran", "", "xyz", "The Cat sat", "äöü"]
+    grams = lambda t: {b[k : k + n] for b in [t.lower().encode()] for n in (1, 2, 3) for k in range(len(b) - n + 1)}
+    known = set().union(*map(grams, marks))
+    weight = {1: 0.5, 2: 1.0, 3: 2.0}
+    size = lambda xs: sum(weight[len(g)] for g in xs)
+    want = [[size(grams(t) & grams(m)) / math.sqrt(max(size(grams(t) & known), 1e-18) * size(grams(m))) if grams(t) & known else 0.0 for m in marks] for t in texts]
+    assert np.allclose(langid.Kernel(marks).rows(texts), want, atol=1e-5)
+
+
+def test_letters_decide_und(spark):
+    rows = [(1, "½ ² Ⅷ", "es"), (2, "12 :: !", "en"), (3, None, "en"), (4, "hello there", "en"), (5, "hola amigos", "es"), (8, "guten tag", "de")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[1] == got[2] == got[3] == "und" and "und" not in (got[4], got[5], got[8])
+
+
+def test_cumulative_link_fit():
+    """The fit is at the least loss: no small step in any direction lowers it."""
+    rnd = np.random.default_rng(3)
+    grades = rnd.integers(0, 3, 300)
+    rows = [np.unique(np.concatenate([rnd.integers(0, 5, 2) + 10 * g, rnd.integers(100, 110, 3)])) for g in grades]
+    weight, cut = quality_classifier.fit(rows, grades, 3, steps=600)
+
+    def loss(w, c):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            s = sum(w[i] for i in r) / math.sqrt(math.log2(len(r) + 2))
+            edge = [0.0, *(1 / (1 + math.exp(s - t)) for t in c), 1.0]
+            total -= math.log(max(edge[g + 1] - edge[g], 1e-12))
+        return total / len(rows) + 2e-4 / 2 * float((np.asarray(w, dtype=float) ** 2).sum())
+
+    w, at = weight.astype(float), loss(weight, cut)
+    for i in [0, 3, 11, 22, 104]:
+        for step in (0.3, -0.3):
+            moved = w.copy()
+            moved[i] += step
+            assert loss(moved, cut) > at - 1e-3
+    assert cut[0] < cut[1] and all(loss(w, cut + d) > at - 1e-3 for d in (np.array([0.3, 0]), np.array([0, -0.3])))
+
+
+def test_templates(spark):
+    """Tokens and the hashes of windows against the same by hand."""
+    texts = ["Ann paid 12.5 km for 3 apples in Rome", "12 km", "", "what is THE name of Bob"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.t for r in df.select(decontamination.tokens(F.col("text")).alias("t"), "doc_id").orderBy("doc_id").collect()]
+    n, u, name, head = decontamination.NUMBER, decontamination.UNIT, decontamination.NAME, decontamination.HEAD
+    assert got[0] == [head + "ann", "paid", n + "125", u + "km", "for", n + "3", "apples", "in", name + "rome"]
+    assert got[1:3] == [[n + "12", u + "km"], []] and got[3][-1] == name + "bob"
