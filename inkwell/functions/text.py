@@ -152,3 +152,13 @@ def subjects(text: Column) -> Column:
     named = F.filter(all_terms, lambda s: s["raw"].rlike("^[A-Z]") & ~((s["at"] == 0) & F.lower(s["raw"]).isin(STOPWORDS)))
     names = F.transform(named, lambda s: without_e(s["stem"]))
     return F.array_distinct(F.filter(names, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS + NON_ANCHOR)))
+
+
+def content(text: Column) -> Column:
+    """raw and term of the tokens that are no stop words."""
+    return F.filter(terms(F.coalesce(text, F.lit(""))), is_content)
+
+
+def sequence(text: Column) -> Column:
+    """The content terms in order."""
+    return F.transform(content(text), lambda t: t["term"])

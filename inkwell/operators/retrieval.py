@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from . import scores
-from . import terms as tm
 
 #: Questions that are shipped to the tasks at once, and their bytes at most.
 BLOCK, BLOCK_BYTES = 4096, 32 << 20
@@ -32,11 +31,6 @@ def top(df: DataFrame, key: str, k: int, *order) -> DataFrame:
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def overlaps(questions: DataFrame, passages: DataFrame, name: str) -> DataFrame:
-    """item_id, doc_id and how many terms of questions (item_id, term) the passages (doc_id, term) have."""
-    return questions.join(passages, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias(name))
-
-
 def question_features(questions: DataFrame) -> DataFrame:
     """item_id, the terms of each question in the forms that scoring needs, and how many there are."""
     t = questions.select("item_id", F.coalesce("text", F.lit("")).alias("q_text"), tx.terms(F.coalesce("text", F.lit(""))).alias("_t"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sql
+from ..functions import text as tx
 from ..operators import retrieval
-from ..operators import terms as tm
 from .registry import per_doc, query
 
 # The shapes of lines of flattened tables.
@@ -46,13 +46,15 @@ def _(c):
 
 @query("so01_distinct_units", f"SELECT doc_id, min(i) AS first, key FROM (SELECT doc_id, lower(unnest(l)) AS key, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {LINES} AS l FROM documents)) GROUP BY doc_id, key", "documents")
 def _(d):
-    each = tm.gathered(d, "doc_id").select("doc_id", F.posexplode(lines(F.col("text"))).alias("i", "unit"))
-    return each.groupBy("doc_id", F.lower("unit").alias("key")).agg((F.min("i") + 1).cast("long").alias("first"))
+    units = d.select("doc_id", F.transform(lines(F.col("text")), lambda x: F.lower(x)).alias("l"))
+    each = units.select("doc_id", "l", F.explode(F.array_distinct("l")).alias("key"))
+    return each.select("doc_id", "key", F.array_position("l", F.col("key")).alias("first"))
 
 
 @query("ag09_term_union", f"SELECT item_id % 10 AS bucket, count(DISTINCT term) AS terms FROM ({sql.content('benchmark', 'item_id')}) GROUP BY 1", "benchmark")
 def _(b):
-    return tm.content(b, "item_id").groupBy((F.col("item_id") % 10).alias("bucket")).agg(F.countDistinct("term").alias("terms"))
+    each = b.select((F.col("item_id") % 10).alias("bucket"), F.explode(F.array_distinct(tx.sequence(F.col("text")))).alias("term"))
+    return each.groupBy("bucket").agg(F.countDistinct("term").alias("terms"))
 
 
 @query("ag14_cheapest_context", "SELECT conv_id, arg_min(turn, length(text) * 100000 + turn) AS turn FROM conversations GROUP BY 1", "conversations")

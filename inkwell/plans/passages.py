@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sql
-from ..operators import chunks
-from ..operators import terms as tm
+from ..functions import text as tx
+from ..operators import chunks, evidence
 from .registry import per_doc, query
 
 # Month names, full and short, and the metric phrases of financial questions.
@@ -52,8 +52,9 @@ CONTENT = sql.content("benchmark", "item_id")
 
 @query("tx24_term_subsets", f"SELECT item_id, count(DISTINCT term) FILTER (length(term) >= 6) AS long_terms, count(DISTINCT term) FILTER (length(term) >= 5 OR regexp_matches(term, '[0-9]')) AS distinctive FROM ({CONTENT}) GROUP BY 1", "benchmark")
 def _(b):
-    picked = lambda c: F.countDistinct(F.when(c, F.col("term")))
-    return tm.content(b, "item_id").groupBy("item_id").agg(picked(F.length("term") >= 6).alias("long_terms"), picked((F.length("term") >= 5) | F.col("term").rlike("[0-9]")).alias("distinctive"))
+    t = b.select("item_id", F.array_distinct(tx.sequence(F.col("text"))).alias("t")).filter(F.size("t") > 0)
+    picked = lambda f: F.size(F.filter("t", f)).cast("long")
+    return t.select("item_id", picked(lambda x: F.length(x) >= 6).alias("long_terms"), picked(lambda x: (F.length(x) >= 5) | x.rlike("[0-9]")).alias("distinctive"))
 
 
 @query(
@@ -65,13 +66,9 @@ def _(b):
     "benchmark",
 )
 def _(b):
-    terms = tm.content(b, "item_id")
-    a = tm.anchors(terms, "item_id").groupBy("item_id").agg(F.count("*").alias("a"))
-    c = tm.constraints(terms, "item_id").groupBy("item_id").agg(F.count("*").alias("c"))
-    n = b.select("item_id").join(a, "item_id", "left").join(c, "item_id", "left").fillna(0)
-    anchors = F.when(F.col("a") <= 2, F.col("a")).otherwise(F.ceil(F.col("a") / 2))
-    constraints = F.when(F.col("c") == 0, 0).when(F.col("c") <= 2, 1).when(F.col("c") == 3, 2).otherwise(F.greatest(F.lit(3).cast("long"), F.ceil(F.col("c") * F.lit(0.6))))
-    return n.select("item_id", anchors.cast("long").alias("anchors"), constraints.cast("long").alias("constraints"))
+    c = b.select("item_id", tx.content(F.col("text")).alias("c"))
+    n = c.select("item_id", F.size(tx.anchors(F.col("c"))).alias("qa"), F.size(tx.constraints(F.col("c"))).alias("qc"))
+    return n.select("item_id", F.expr(evidence.required_anchors("qa")).cast("long").alias("anchors"), F.expr(evidence.required_constraints("qc")).cast("long").alias("constraints"))
 
 
 RATES = "SELECT doc_id % 2 AS run, avg(quality::DOUBLE) AS quality_rate, avg(1.0 - toxic) AS clean_rate FROM labels GROUP BY 1"

@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions import sql
 from ..functions import text as tx
-from ..operators import terms as tm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,17 +46,18 @@ def _(d):
 
 @query("tx04_term_sets", f"SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS sequence FROM ({sql.content('documents', 'doc_id')}) GROUP BY 1", "documents")
 def _(d):
-    return tm.content(tm.gathered(d, "doc_id"), "doc_id").groupBy("doc_id").agg(F.countDistinct("term").alias("terms"), F.count("*").alias("sequence"))
+    seq = d.select("doc_id", tx.sequence(F.col("text")).alias("seq")).filter(F.size("seq") > 0)
+    return seq.select("doc_id", F.size(F.array_distinct("seq")).cast("long").alias("terms"), F.size("seq").cast("long").alias("sequence"))
 
 
 @query("tx06_anchor_terms", sql.anchors(sql.content("benchmark", "item_id"), "item_id"), "benchmark")
 def _(b):
-    return tm.anchors(tm.content(b, "item_id"), "item_id")
+    return b.select("item_id", F.explode(tx.anchors(tx.content(F.col("text")))).alias("term"))
 
 
 @query("tx07_constraint_terms", sql.constraints(sql.content("benchmark", "item_id"), "item_id"), "benchmark")
 def _(b):
-    return tm.constraints(tm.content(b, "item_id"), "item_id")
+    return b.select("item_id", F.explode(tx.constraints(tx.content(F.col("text")))).alias("term"))
 
 
 @query(
@@ -66,9 +66,7 @@ def _(b):
     "benchmark",
 )
 def _(b):
-    o = tm.occurrences(b, "item_id")
-    first = (F.col("pos") == 1) & F.lower("raw").isin(tx.STOPWORDS)
-    return o.filter(F.col("raw").rlike("^[A-Z]") & ~first & ~F.col("term").isin(tx.STOPWORDS + tx.NON_ANCHOR)).select("item_id", "term").distinct()
+    return b.select("item_id", F.explode(tx.subjects(F.col("text"))).alias("term"))
 
 
 @query(
@@ -77,14 +75,14 @@ def _(b):
     "documents",
 )
 def _(d):
-    n = tm.occurrences(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("term").isin(tx.METADATA)).alias("m"))
-    noise = F.least(F.lit(1.0), F.col("m") / F.col("n") * 4 + F.when(F.col("m") >= 2, 0.2).otherwise(0.0))
-    return n.select("doc_id", F.round(F.when(F.col("m") == 0, 0.0).otherwise(noise), 6).alias("noise"))
+    full = d.select("doc_id", F.transform(tx.terms(F.col("text")), lambda t: t["term"]).alias("full")).filter(F.size("full") > 0)
+    return full.select("doc_id", F.round(tx.noise(F.col("full")), 6).alias("noise"))
 
 
 @query("wn11_bigrams", f"SELECT item_id, count(*) AS pairs FROM (SELECT DISTINCT item_id, term, nxt FROM (SELECT item_id, term, lead(term) OVER (PARTITION BY item_id ORDER BY pos) AS nxt FROM ({sql.content('benchmark', 'item_id')})) WHERE nxt <> term) GROUP BY 1", "benchmark")
 def _(b):
-    return tm.bigrams(tm.content(b, "item_id"), "item_id").groupBy("item_id").agg(F.count("*").alias("pairs"))
+    n = F.size(tx.unequal(tx.pairs(tx.sequence(F.col("text"))))).cast("long")
+    return b.select("item_id", n.alias("pairs")).filter("pairs > 0")
 
 
 @query("src04_dedupe", "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY sha256(text)", "documents")
