@@ -113,25 +113,25 @@ def noise(full: str) -> str:
     return f"(CASE WHEN {m} = 0 THEN 0.0 ELSE least(1.0, {m} / len({full})::DOUBLE * 4 + CASE WHEN {m} >= 2 THEN 0.2 ELSE 0.0 END) END)"
 
 
-def questions(table: str = "benchmark") -> str:
-    """CTE q: the features of each question; see retrieval.question_features."""
+def questions(table: str = "benchmark", p: str = "q") -> str:
+    """CTE p: the features of each question; see retrieval.question_features."""
     source = content(table, "item_id")
     listed = lambda name, rows: f"{name} AS (SELECT item_id, list(term) AS l FROM ({rows}) GROUP BY 1)"
-    return f"""{sequences('q0', table, 'item_id')},
-{listed('qa_', anchors(source, 'item_id'))}, {listed('qc_', constraints(source, 'item_id'))}, {listed('qs_', subjects(table, 'item_id'))},
-q1 AS (SELECT q0.item_id, q0.text AS q_text, seq AS q_seq, list_distinct(seq) AS q_terms, coalesce(qa_.l, {EMPTY}) AS q_anchors, coalesce(qc_.l, {EMPTY}) AS q_constraints,
-  {unequal(pairs('seq'))} AS q_pairs, [{', '.join(grams('seq', n) for n in (2, 3, 4, 5))}] AS q_grams, array_to_string(full_terms, ' ') AS q_full, coalesce(qs_.l, {EMPTY}) AS q_named,
-  {flag("starts_with(lower(q0.text), 'when ')")} AS is_when, {flag("contains(lower(q0.text), 'nickname')")} AS is_nick
-  FROM q0 LEFT JOIN qa_ USING (item_id) LEFT JOIN qc_ USING (item_id) LEFT JOIN qs_ USING (item_id)),
-q AS (SELECT *, CASE WHEN len(q_named) > 0 THEN q_named ELSE q_anchors END AS q_subjects, len(q_terms) AS qn, len(q_anchors) AS qa, len(q_constraints) AS qc, len(q_pairs) AS qp, len(q_named) AS qs FROM q1)"""
-
-
-def passages(table: str = "documents") -> str:
-    """CTE d: the features of each passage; see retrieval.passage_features."""
-    return f"""{sequences('d0', table, 'doc_id')},
-d AS (SELECT doc_id, text, seq, full_terms, list_distinct(seq) AS terms, len(list_distinct(seq)) AS dn, {pairs('seq')} AS d_pairs, array_to_string(seq, ' ') AS joined, array_to_string(full_terms, ' ') AS joined_full,
+    return f"""{sequences(p + '0', table, 'item_id')},
+{listed(p + 'a_', anchors(source, 'item_id'))}, {listed(p + 'c_', constraints(source, 'item_id'))}, {listed(p + 's_', subjects(table, 'item_id'))},
+{p}1 AS (SELECT {p}0.item_id, {p}0.text AS q_text, seq AS q_seq, list_distinct(seq) AS q_terms, coalesce({p}a_.l, {EMPTY}) AS q_anchors, coalesce({p}c_.l, {EMPTY}) AS q_constraints,
+  {unequal(pairs('seq'))} AS q_pairs, [{', '.join(grams('seq', n) for n in (2, 3, 4, 5))}] AS q_grams, array_to_string(full_terms, ' ') AS q_full, coalesce({p}s_.l, {EMPTY}) AS q_named,
+  {flag(f"starts_with(lower({p}0.text), 'when ')")} AS is_when, {flag(f"contains(lower({p}0.text), 'nickname')")} AS is_nick
+  FROM {p}0 LEFT JOIN {p}a_ USING (item_id) LEFT JOIN {p}c_ USING (item_id) LEFT JOIN {p}s_ USING (item_id)),
+{p} AS (SELECT *, CASE WHEN len(q_named) > 0 THEN q_named ELSE q_anchors END AS q_subjects, len(q_terms) AS qn, len(q_anchors) AS qa, len(q_constraints) AS qc, len(q_pairs) AS qp, len(q_named) AS qs FROM {p}1)"""
+
+
+def passages(table: str = "documents", p: str = "d") -> str:
+    """CTE p: the features of each passage; see retrieval.passage_features."""
+    return f"""{sequences(p + '0', table, 'doc_id')},
+{p} AS (SELECT doc_id, text, seq, full_terms, list_distinct(seq) AS terms, len(list_distinct(seq)) AS dn, {pairs('seq')} AS d_pairs, array_to_string(seq, ' ') AS joined, array_to_string(full_terms, ' ') AS joined_full,
   {noise('full_terms')} AS meta, {noise('full_terms')} AS text_meta, 0 AS head, {flag(matches('text', tx.DATE_RE))} AS date, {flag(temporal('text'))} AS temporal, {flag(matches('text', tx.YEAR_RE))} AS year,
-  {flag(matches('text', tx.MONTH_RE))} AS month, {flag(alias('text'))} AS alias_text FROM d0)"""
+  {flag(matches('text', tx.MONTH_RE))} AS month, {flag(alias('text'))} AS alias_text FROM {p}0)"""
 
 
 def counts(pairs: str) -> str:

@@ -72,16 +72,3 @@ def _(d, lab):
 @query("wn16_recent_first", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events QUALIFY rank <= 3", "events")
 def _(e):
     return retrieval.top(e.select("user_id", "event_id", "ts"), "user_id", 3, F.desc("ts"), "event_id").select("user_id", "event_id", "rank")
-
-
-@query(
-    "ag10_claim_rollup",
-    "SELECT source, count(*) FILTER (s >= 0.45) AS supported, round(avg(s), 6) AS mean, min(s) AS least, CASE WHEN count(DISTINCT v) > 1 THEN 'mixed' ELSE min(v) END AS verifier FROM (SELECT d.source, CASE WHEN quality = 1 THEN 0.9 ELSE 0.3 END::DOUBLE - 0.2 * toxic::DOUBLE AS s, CASE WHEN toxic = 1 THEN 'heuristic+llm' ELSE 'heuristic' END AS v FROM labels l JOIN documents d USING (doc_id)) GROUP BY 1",
-    "labels",
-    "documents",
-)
-def _(lab, d):
-    s = F.when(F.col("quality") == 1, 0.9).otherwise(0.3) - 0.2 * F.col("toxic").cast("double")
-    claims = lab.join(d.select("doc_id", "source"), "doc_id").select("source", s.alias("s"), F.when(F.col("toxic") == 1, "heuristic+llm").otherwise("heuristic").alias("v"))
-    who = F.when(F.min("v") != F.max("v"), "mixed").otherwise(F.min("v"))
-    return claims.groupBy("source").agg(F.count_if(F.col("s") >= 0.45).alias("supported"), F.round(F.avg("s"), 6).alias("mean"), F.min("s").alias("least"), who.alias("verifier"))

@@ -86,7 +86,7 @@ cp AS (SELECT t.item_id, t.turn, q.* EXCLUDE (item_id), d.* EXCLUDE (text) FROM
 cx AS (SELECT item_id, doc_id AS context_id, turn, round({scores.LEXICAL}, 9) AS ctx FROM ({sql.counts('cp')})),
 u0 AS (SELECT doc_id AS context_id, l, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {st.spans_sql('sents')} AS l FROM s)),
 u AS (SELECT context_id * 1000 + i AS doc_id, context_id, text FROM u0 QUALIFY row_number() OVER (PARTITION BY context_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY i) = 1),
-{sql.passages('u').replace('d0_', 'e0_').replace('d0 ', 'e0 ').replace('d AS (SELECT doc_id, text', 'e AS (SELECT doc_id, text').replace('FROM d0)', 'FROM e0)')},
+{sql.passages('u', 'e')},
 sp AS (SELECT cx.*, u.doc_id, u.text AS t_text, q.* EXCLUDE (item_id), e.* EXCLUDE (doc_id, text) FROM u JOIN cx USING (context_id) JOIN q ON q.item_id = cx.item_id JOIN e ON e.doc_id = u.doc_id),
 spans AS ({measured_sql(f"({sql.counts('sp')})")})"""
 

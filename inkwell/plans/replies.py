@@ -16,7 +16,7 @@ from .registry import query
 
 RANK = "row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n DESC, dn, turn, doc_id) AS rank"
 # Facets as prompts, beside the whole questions that SPANS has as q.
-FACET_Q = sql.questions("fx").replace("q0_", "g0_").replace("q0 ", "g0 ").replace("q0.", "g0.").replace("qa_", "ga_").replace("qc_", "gc_").replace("qs_", "gs_").replace("q1 AS", "g1 AS").replace("FROM q1", "FROM g1").replace("\nq AS", "\ng AS")
+FACET_Q = sql.questions("fx", "g")
 CANDIDATES = f"""{SPANS}, cand AS (SELECT *, {RANK} FROM (SELECT *, round({evidence.SENTENCE}, 9) AS score FROM spans WHERE n > 0)),
 {FACET_TABLE}, {FACET_Q},
 facets AS (SELECT fx.question, fx.no, g.* FROM g JOIN fx USING (item_id) WHERE qn > 0 QUALIFY row_number() OVER (PARTITION BY question, list_sort(q_terms) ORDER BY no) = 1),
