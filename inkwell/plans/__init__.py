@@ -8,3 +8,4 @@ from . import evidence  # noqa: F401, E402, I001
 from . import records  # noqa: F401, E402, I001
 from . import replies  # noqa: F401, E402, I001
 from . import citations  # noqa: F401, E402, I001
+from . import verdicts  # noqa: F401, E402, I001

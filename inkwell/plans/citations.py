@@ -1,6 +1,6 @@
 """Citations: the best excerpt of each context for each claim of an answer, their order, and how far they support it.
 
-Claims are the first sentences of the two best contexts of each question, so that every question has an answer to check."""
+Claims are the last sentence of the best and the first of the second context of each question, so that every question has an answer to check."""
 
 from __future__ import annotations
 
@@ -29,9 +29,10 @@ def level(name: str, source: str, p: str) -> str:
 {name} AS (SELECT *, {MET} FROM ({measured_sql(f"({sql.counts(name + '_p')})")}))"""
 
 
+SAID = "(CASE WHEN r = 1 THEN sents[-1] ELSE sents[1] END)"
 EVIDENCE = f"""{SPANS},
 cr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ctx DESC, context_id) AS r FROM cx WHERE ctx > 0),
-c0 AS (SELECT item_id * 10 + r AS doc_id, item_id, r, context_id AS main, sents[1] AS text FROM cr JOIN s ON s.doc_id = context_id WHERE r <= 2 QUALIFY row_number() OVER (PARTITION BY item_id, lower(sents[1]) ORDER BY r) = 1),
+c0 AS (SELECT item_id * 10 + r AS doc_id, item_id, r, context_id AS main, {SAID} AS text FROM cr JOIN s ON s.doc_id = context_id WHERE r <= 2 QUALIFY row_number() OVER (PARTITION BY item_id, lower({SAID}) ORDER BY r) = 1),
 {sql.passages('c0', 'a')},
 claims AS (SELECT c0.doc_id AS unit, c0.item_id, r, main, c0.text AS a_text, a.terms AS a_terms, a.joined_full AS a_full FROM c0 JOIN a USING (doc_id)),
 best AS (SELECT * FROM (SELECT u.unit, u.r, u.main, u.a_text, u.a_terms, u.a_full, sp.*, {MET} FROM spans sp JOIN claims u USING (item_id) WHERE ctx > 0)
@@ -61,7 +62,7 @@ def claims(b: DataFrame, c: DataFrame) -> DataFrame:
     """unit, item_id, r, main and the text and terms of each claim."""
     held = contexts(b, c).filter("ctx > 0").select("item_id", F.col("doc_id").alias("main"), "ctx", "t_text")
     first = held.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("ctx"), "main"))).filter("r <= 2")
-    first = first.withColumn("a_text", F.get(st.sentences(F.col("t_text")), F.lit(0)))
+    first = first.withColumn("a_text", F.element_at(st.sentences(F.col("t_text")), F.when(F.col("r") == 1, -1).otherwise(1)))
     own = first.withColumn("d", F.row_number().over(Window.partitionBy("item_id", F.lower("a_text")).orderBy("r"))).filter("d = 1")
     full = F.array_join(F.transform(tx.terms(F.col("a_text")), lambda t: t["term"]), " ")
     return own.select((F.col("item_id") * 10 + F.col("r")).alias("unit"), "item_id", "r", "main", "a_text", F.array_distinct(tx.sequence(F.col("a_text"))).alias("a_terms"), full.alias("a_full"))

@@ -16,7 +16,10 @@ from ..functions.dialect import DUCK, SPARK, Dialect, prompt_measures, text_meas
 from ..operators import evidence, retrieval, scores
 from .registry import query
 
-KINDS = ["When did ", "How many ", "What was net sales in Q1 2024 and ", "Why ", "Where ", "What does the note say about ", "What nickname did Anna use for ", ""]
+KINDS = [
+    "When did the river rise", "How many employees were there", "What was net sales in Q1 2024", "Why did the rest leave", "Where did Anna live", "What does the note say about the storm", "What nickname did Anna have and where did she live",
+    "People call her Anna the Great",
+]
 EXTRA = [
     "On March 3, 2021 the river rose after the storm.",
     "Net sales in Q1 2024 were $1,234,567 and operating income fell 12%.",
@@ -30,13 +33,15 @@ def picked(key: str, values: list[str]) -> str:
     return f"(CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END)"
 
 
-PROMPTS = f"prompts AS (SELECT item_id, {picked('item_id', KINDS)} || text AS text FROM benchmark)"
+# Every third prompt is of its kind alone, the others go on with the benchmark's text.
+PROMPT = f"{picked('item_id', KINDS)} || (CASE WHEN item_id % 3 = 0 THEN '' ELSE ' ' || text END)"
+PROMPTS = f"prompts AS (SELECT item_id, {PROMPT} AS text FROM benchmark)"
 TURNS = f"""turns AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id AS item_id, turn, turn + 1 AS page_start, turn + 1 + CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS page_end,
   text || chr(10) || {picked('turn', EXTRA)} AS text FROM conversations)"""
 
 
 def prompts(b: DataFrame) -> DataFrame:
-    return b.select("item_id", F.concat(F.expr(picked("item_id", KINDS)), F.col("text")).alias("text"))
+    return b.select("item_id", F.expr(PROMPT).alias("text"))
 
 
 def turns(c: DataFrame) -> DataFrame:

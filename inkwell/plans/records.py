@@ -62,12 +62,12 @@ def _(d, c, v, e, lab):
     return left[0].unionByName(left[1]).unionByName(left[2]).unionByName(left[3])
 
 
-@query("src08_reprocess", "SELECT conv_id, turn, text, 1 AS batch FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) UNION ALL SELECT conv_id, turn, upper(text), 2 FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels WHERE quality = 0)", "conversations", "labels")
+@query("src08_reprocess", "SELECT conv_id, turn, text, 1 AS batch FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) UNION ALL SELECT conv_id, turn, 'again: ' || text, 2 FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels WHERE quality = 0)", "conversations", "labels")
 def _(c, lab):
     """A second run of some documents replaces all their rows."""
     again = lab.filter("quality = 0").select(F.col("doc_id").alias("conv_id"))
     old = c.select("conv_id", "turn", "text", F.lit(1).alias("batch"))
-    new = c.join(again, "conv_id", "left_semi").select("conv_id", "turn", F.upper("text").alias("text"), F.lit(2).alias("batch"))
+    new = c.join(again, "conv_id", "left_semi").select("conv_id", "turn", F.concat(F.lit("again: "), "text").alias("text"), F.lit(2).alias("batch"))
     return old.join(new.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(new)
 
 
@@ -226,7 +226,7 @@ def _(lab, d, e):
 
 # Texts of answers.
 per_doc("tx18_evidence_excerpt", st.excerpt, st.EXCERPT_SQL)
-NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(regexp_replace(translate(text, '‐‑‒–—―−‘’“”', '-------''''""'), '\s+', ' ', 'g'))), 'ß', 'ss'), '\s-+\s', ' - ', 'g'), '\$\s+', '$', 'g'), '\s+%', '%', 'g'), '\(\s+', '(', 'g'), '\s+\)', ')', 'g')"
+NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(regexp_replace(translate(text, '‐‑‒–—―−‘’“”', '-------''''""'), '\s+', ' ', 'g'))), 'ß', 'ss'), '\s-+\s', ' - ', 'g'), '\$\s+', '$', 'g'), '\s+%', '%', 'g'), '\(\s+', '(', 'g'), '\s+\)', ')', 'g')"""
 per_doc("tx19_excerpt_norm", evaluation.normal_excerpt, NORMAL)
 REFUSAL = "I could not find enough support in the indexed document content to answer that question."  # a fixed value
 ANSWERS = f"answers AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN ' insufficient_support ' WHEN 2 THEN upper('{REFUSAL}') ELSE '  ' END AS answer FROM conversations)"
