@@ -216,10 +216,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids array<long> of a token store."""
+    """doc_id, start, n_tokens, ids array<int> of a token store."""
     coded = spark.read.parquet(f"{path}/tokens")
     ranked = spark.read.parquet(f"{path}/ranks").select("rank", "id").collect()  # the vocabulary at most
-    id_of = np.zeros(max((r.rank for r in ranked), default=-1) + 1, dtype=np.int64)
+    id_of = np.zeros(max((r.rank for r in ranked), default=-1) + 1, dtype=np.int32)
     for r in ranked:
         id_of[r.rank] = r.id
     shared = spark.sparkContext.broadcast(id_of)
@@ -234,13 +234,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 doc, start, n, control, data = batch.slice(k, 256).columns
                 lists = [table[unpack(c, d, m)] for c, d, m in zip(control.to_pylist(), data.to_pylist(), n.to_pylist(), strict=True)]
                 ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
-                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists) if lists else [], pa.int64()))
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists) if lists else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([doc, start, n, ids], names=["doc_id", "start", "n_tokens", "ids"])
 
     return (
         coded.join(F.broadcast(starts), "part")
         .select("doc_id", (F.col("_start") + F.col("before")).alias("start"), "n_tokens", "control", "data")
-        .mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids array<long>")
+        .mapInArrow(run, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids array<int>")
     )
 
 
@@ -254,7 +254,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             doc, start, n, ids = batch.columns
             ends = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+            flat = ids.values.to_numpy(zero_copy_only=False).view("<u4")
             crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([doc, start, n, pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
