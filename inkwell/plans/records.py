@@ -18,6 +18,14 @@ from .registry import per_doc, query
 
 per_doc("flt04_temporal_marker", tx.has_temporal, sql.temporal("text"))
 
+LETTERED = r"list_filter(string_split_regex(x, '\s+'), lambda w: regexp_matches(w, '\p{L}'))"
+HEADING = (
+    r"NOT regexp_matches(x, '[.!?]$') AND len(string_split_regex(x, '\s+')) <= 12 AND len(@L) > 0 AND len(list_filter(@L, lambda w: NOT (regexp_matches(w, '\p{Ll}') AND NOT regexp_matches(w, '\p{Lu}')))) > 0"
+    r" AND len(list_filter(@L, lambda w: regexp_matches(w, '^\p{Lu}') OR (regexp_matches(w, '\p{Lu}') AND NOT regexp_matches(w, '\p{Ll}')) OR regexp_matches(w, '[0-9]'))) >= len(@L) * 0.6"
+).replace("@L", LETTERED)
+LINE_LIST = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+per_doc("flt07_heading_lines", lambda t: F.size(F.filter(F.split(t, "\n"), lambda x: (F.trim(x) != "") & chunks.is_heading(x))).cast("long"), f"len(list_filter({LINE_LIST}, lambda x: {HEADING}))")
+
 # Uploads: pages as files, some with the ending, first bytes or type of a PDF.
 FILES = "files AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '' END AS path, CASE WHEN page_id % 4 = 3 THEN '' ELSE '%PDF-' END || html AS body, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'text/html' ELSE 'application/pdf' END AS type FROM pages)"
 STORED = "CASE WHEN b = '' THEN 'document.pdf' WHEN lower(b) LIKE '%.pdf' THEN b ELSE b || '.pdf' END"

@@ -30,7 +30,10 @@ def questions(definitions: DataFrame) -> DataFrame:
 
 
 def pages(definitions: DataFrame) -> DataFrame:
-    """document_id, page_number (from 1), raw_text of the documents that hold their pages."""
-    docs = definitions.select(F.explode("documents").alias("d")).filter("d.source_pdf is null")
-    each = docs.select(F.col("d.filename").alias("document_id"), F.posexplode("d.pages").alias("n", "raw_text"))
+    """document_id, page_number (from 1), raw_text of the documents that hold their pages; those that name a PDF come from
+    that. A document with neither is an error."""
+    docs = definitions.select(F.explode("documents").alias("d"))
+    none = F.raise_error(F.concat(F.lit("neither pages nor source_pdf: "), F.coalesce("d.filename", F.lit("?"))))
+    own = F.when(F.col("d.source_pdf").isNotNull(), F.array().cast("array<string>")).when(F.col("d.pages").isNull(), none.cast("array<string>")).otherwise(F.col("d.pages"))
+    each = docs.select(F.col("d.filename").alias("document_id"), F.posexplode(own).alias("n", "raw_text"))
     return each.select("document_id", (F.col("n") + 1).alias("page_number"), "raw_text")

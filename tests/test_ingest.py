@@ -2,7 +2,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from inkwell.config import Settings
 from inkwell.operators import chunks
 from inkwell.sources import benchmarks, uploads
 from inkwell.streaming import ingest
@@ -112,6 +114,30 @@ def test_benchmarks(spark, tmp_path):
         benchmarks.questions(benchmarks.read(spark, str(tmp_path / "c.json"))).collect()
 
 
+def test_benchmark_pages(spark, tmp_path):
+    document = {"filename": "f", "questions": []}
+    for name, extra in {"pdf": {"source_pdf": "x.pdf", "pages": ["ignored"]}, "none": {}}.items():
+        (tmp_path / name).write_text(json.dumps({"name": "n", "documents": [document | extra]}))
+    assert benchmarks.pages(benchmarks.read(spark, str(tmp_path / "pdf"))).count() == 0
+    with pytest.raises(Exception, match="neither pages nor source_pdf"):
+        benchmarks.pages(benchmarks.read(spark, str(tmp_path / "none"))).collect()
+
+
+def test_settings():
+    made = Settings.from_env(env={"INKWELL_TARGET_WORDS": "90", "INKWELL_ENABLE_LEXICAL": "no", "INKWELL_RERANK_WEIGHT": "0.5", "INKWELL_ANSWER_MODEL": "m"})
+    assert (made.target_words, made.enable_lexical, made.rerank_weight, made.answer_model, made.min_words) == (90, False, 0.5, "m", 180)
+
+
+def test_assemble(spark):
+    rows = [("q", 1, 1, 1, 1, 1, ["a", "b"], 5), ("q", 2, 2, 2, 2, 2, ["a", "b"], 5), ("q", 3, 7, 1, 1, 3, ["a", "x"], 5), ("q", 4, 8, 3, 3, 4, ["c", "y"], 5), ("q", 5, 9, 4, 4, 5, ["d"], 90), ("q", 6, 20, 5, 5, 6, ["e"], 5)]
+    schema = "q string, doc_id long, turn int, page_start int, page_end int, rank int, terms array<string>, cost int"
+    df = spark.createDataFrame(rows, schema).withColumns({"raw": F.col("terms"), "q_terms": F.array(*map(F.lit, "abce"))})
+    got = [r.doc_id for r in chunks.assemble(df, "q", budget=20).orderBy("place").collect()]
+    # 2 is a near copy of 1 but its neighbour, with two question terms side by side; 3 says nothing new on the same page but stands beside 4.
+    assert got == [1, 2, 4, 3]
+    assert [r.doc_id for r in chunks.assemble(df.filter("doc_id = 5"), "q", budget=20).collect()] == [5]
+
+
 def test_streaming_ingest(spark, tmp_path):
     source, table, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     for text in ("gamma text.", "delta text."):
