@@ -47,6 +47,7 @@ def default_vocabulary() -> str:
 
 #: Ends a word in the ranks below; words that hold it take the slow way.
 STOP = "\x01"
+END = STOP.encode()
 #: Words that lower-casing and composing leave plain, and how the vocabulary splits them.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -81,15 +82,14 @@ class Words(dict):
         self.model.no_padding()
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
         ranks, ids = word_ranks(path)
-        self.ids = [np.array(i, dtype=self.kind).tobytes() for i in ids]
+        self.id_of = [np.array(i, dtype=self.kind).tobytes() for i in ids].__getitem__
         self.piece = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, word: bytes) -> bytes:
-        ids, stop = self.ids, STOP.encode()
         if word.isalpha():  # ASCII letters
-            out = b"".join([ids[k] for k in self.piece(word.lower() + stop)])
+            out = b"".join(map(self.id_of, self.piece(word.lower() + END)))
         elif PLAIN.fullmatch(text := word.decode()) and "<|" not in text:
-            out = b"".join([ids[k] for part in PARTS.findall(text.lower()) for k in self.piece(part.encode() + stop)])
+            out = b"".join([self.id_of(k) for part in PARTS.findall(text.lower()) for k in self.piece(part.encode() + END)])
         else:
             out = np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         if len(word) <= LONGEST:
@@ -118,24 +118,34 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes."""
+def _spots(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of such sizes, each padded to whole groups of four: where each number goes, and where each list's groups end."""
+    groups = -(-sizes // 4)
+    shift = np.cumsum(4 * groups) - 4 * groups - (np.cumsum(sizes) - sizes)
+    return np.arange(int(sizes.sum())) + np.repeat(shift, sizes), np.cumsum(groups)
+
+
+def pack(ranks: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Control bytes and data bytes of each of the lists of numbers that stand one after another."""
     r = ranks.astype("<u4")
     more = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    four = np.zeros(-(-len(r) // 4) * 4, dtype=np.uint8)
-    four[: len(r)] = more
+    spot, ends = _spots(sizes)
+    four = np.zeros(4 * int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    four[spot] = more
     four = four.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).astype(np.uint8).tobytes()
+    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]].tobytes()
+    until = np.concatenate([[0], np.cumsum(more, dtype=np.int64) + np.arange(1, len(more) + 1)])[np.cumsum(sizes)]
+    return [(control[i:j], data[k:m]) for i, j, k, m in zip([0, *ends.tolist()], ends.tolist(), [0, *until.tolist()], until.tolist(), strict=False)]
 
 
 #: The lengths of the four numbers that a control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:n]
+def unpack(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all lists, from their control and data bytes one after another."""
+    size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[_spots(sizes)[0]]
     start = np.cumsum(size) - size
     b = np.frombuffer(data, dtype=np.uint8)
     out = b[start].astype(np.uint32)
@@ -192,15 +202,14 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
 
     def run(batches):
         rank, before, part = shared.value, 0, TaskContext.get().partitionId()
-        for batch in batches:
-            rows = []
-            for x in batch.column(1).to_pylist():
-                ids = np.frombuffer(x, dtype=kind)
-                rows.append((len(ids), before, *pack(rank[ids])))
-                before += len(ids)
-            n, b, control, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+        for batch in (x.slice(k, 256) for x in batches for k in range(0, x.num_rows, 256)):
+            own = batch.column(1).to_pylist()
+            n = np.array([len(x) for x in own], dtype=np.int64) // np.dtype(kind).itemsize
+            control, data = zip(*pack(rank[np.frombuffer(b"".join(own), dtype=kind)], n), strict=True)
+            b = before + np.cumsum(n) - n
+            before += int(n.sum())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(b, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                [batch.column(0), pa.array(n), pa.array([part] * len(n), pa.int32()), pa.array(b), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                 names=["doc_id", "n_tokens", "part", "before", "control", "data"],
             )
 
@@ -232,9 +241,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 doc, start, n, control, data = batch.slice(k, 256).columns
-                lists = [table[unpack(c, d, m)] for c, d, m in zip(control.to_pylist(), data.to_pylist(), n.to_pylist(), strict=True)]
-                ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
-                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists) if lists else [], pa.int32()))
+                sizes = n.to_numpy()
+                flat = table[unpack(b"".join(control.to_pylist()), b"".join(data.to_pylist()), sizes)]
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([doc, start, n, ids], names=["doc_id", "start", "n_tokens", "ids"])
 
     return (

@@ -78,9 +78,14 @@ def test_token_files(odd):
 
 def test_pack_round_trip():
     rnd = np.random.default_rng(1)
-    for n in (0, 1, 4, 5, 1000):
-        x = (rnd.integers(0, 1 << 32, n) >> rnd.integers(0, 32, n)).astype(np.uint32)
-        assert (token_files.unpack(*token_files.pack(x), n) == x).all()
+    for sizes in ([], [0], [1], [4, 0, 5], [0, 0, 1000, 3], rnd.integers(0, 9, 300).tolist()):
+        n = np.array(sizes, dtype=np.int64)
+        x = (rnd.integers(0, 1 << 32, n.sum()) >> rnd.integers(0, 32, n.sum())).astype(np.uint32)
+        packed = token_files.pack(x, n)
+        assert len(packed) == len(n)
+        assert (token_files.unpack(b"".join(c for c, _ in packed), b"".join(d for _, d in packed), n) == x).all()
+        for (c, d), own in zip(packed, np.split(x, np.cumsum(n)[:-1]) if len(n) else [], strict=True):
+            assert (token_files.unpack(c, d, np.array([len(own)])) == own).all()
 
 
 def test_simhash_components(odd):
