@@ -159,6 +159,38 @@ def content(text: Column) -> Column:
     return F.filter(terms(F.coalesce(text, F.lit(""))), is_content)
 
 
+# The suffix rules of stem() and without_e() on all tokens of a text at once. What a rule has changed ends with a mark, so
+# that no other rule does; \x02 asks for a doubled last letter to go.
+RULES = [
+    (r"ies(?= |$)(?<=[a-z0-9]{6})", "y\x01"),
+    (r"(?:ing(?= |$)(?<=[a-z0-9]{5})|ed(?= |$)(?<=[a-z0-9]{4}))", "\x02"),
+    (r"([a-z0-9])\1\x02", "$1\x01"),
+    (r"es(?= |$)(?<=[a-z0-9]{4})", "\x01"),
+    (r"(?:s(?= |$)(?<=[a-z0-9]{4})|ion(?= |$)(?<=[a-z0-9]{6}))", "\x01"),
+    (r"e(?=[ \x01\x02]|$)(?<=[a-z0-9]{6})", ""),
+    (r"[\x01\x02]+", ""),
+]
+
+
+def normal(text: Column) -> Column:
+    """The terms of a text with blanks between, stop words behind a mark. A regular expression reads a text far faster than an expression does each token."""
+    t = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    t = F.regexp_replace(t, f"(?<![a-z0-9])(?=(?:{'|'.join(STOPWORDS)})(?: |$))", "\x03")
+    for pattern, by in RULES:
+        t = F.regexp_replace(t, pattern, by)
+    return t
+
+
+def full_terms(normal: Column) -> Column:
+    """All terms of normal() in order; those under two letters are left out."""
+    return F.filter(F.split(F.translate(normal, "\x03", ""), " "), lambda t: F.length(t) > 1)
+
+
+def content_terms(normal: Column) -> Column:
+    """Those that are no stop words, as they stand or as terms."""
+    return F.filter(F.split(normal, " "), lambda t: (F.length(t) > 1) & ~t.startswith("\x03") & ~t.isin(STOPWORDS))
+
+
 def sequence(text: Column) -> Column:
-    """The content terms in order."""
-    return F.transform(content(text), lambda t: t["term"])
+    """The content terms of a text in order."""
+    return content_terms(normal(text))

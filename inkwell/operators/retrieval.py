@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.scratch import saved, spread
 from . import scores
 
 #: Questions that are shipped to the tasks at once, and their bytes at most.
@@ -60,8 +61,8 @@ def question_features(questions: DataFrame) -> DataFrame:
 def passage_features(passages: DataFrame) -> DataFrame:
     """doc_id, seq (content terms in order), full (all terms in order), dn, meta and the flags of each text."""
     text = F.coalesce("text", F.lit(""))
-    t = passages.select("doc_id", text.alias("_text"), tx.terms(text).alias("_t"))
-    t = t.select("doc_id", "_text", F.transform(F.filter("_t", tx.is_content), lambda x: x["term"]).alias("seq"), F.transform("_t", lambda x: x["term"]).alias("full"))
+    t = spread(passages.select("doc_id", "text")).select("doc_id", text.alias("_text"), tx.normal(text).alias("_t"))
+    t = t.select("doc_id", "_text", tx.content_terms(F.col("_t")).alias("seq"), tx.full_terms(F.col("_t")).alias("full"))
     flag = lambda c, name: c.cast("int").alias(name)
     return t.select(
         "doc_id",
@@ -198,7 +199,7 @@ def small_side(df: DataFrame, bytes_a_row: int, limit: int = BROADCAST_BYTES) ->
 
 def lexical(questions: DataFrame, passages: DataFrame, k: int = 5) -> DataFrame:
     """item_id, doc_id, score and rank of the best k passages of each question, of those with a score."""
-    q = question_features(questions)
+    q = saved(question_features(questions), "questions")
     counts = match_counts(q, passage_features(passages)).join(small_side(q.select("item_id", "q_subjects", *QUESTION), 512), "item_id")
     found = scored(counts, score=scores.LEXICAL).filter("score > 0").select("item_id", "doc_id", "score")
     return top(found, "item_id", k, F.desc("score"), "doc_id")
@@ -206,7 +207,7 @@ def lexical(questions: DataFrame, passages: DataFrame, k: int = 5) -> DataFrame:
 
 def hashed_embedding(documents: DataFrame, key: str = "doc_id", dimensions: int = 128) -> DataFrame:
     """key, dim and signed count of the hashing embedding, before it is normalised."""
-    each = documents.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
+    each = spread(documents.select(key, "text")).select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
     h = F.sha2("t", 256)
     number = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
     signed = F.when(number(9, 2) % 2 == 0, 1).otherwise(-1)
@@ -320,9 +321,10 @@ def rarity(pairs: DataFrame) -> DataFrame:
 def candidates(questions: DataFrame, passages: DataFrame, limit: int = 20) -> DataFrame:
     """Features, scores, ranks and rarity of all that dense or lexical search finds, and hybrid: the fused score, 1 for the best of each question."""
     found_dense = dense(embedded(passages), embedded(questions, "item_id"), "doc_id", "item_id", limit)
-    both = fuse(found_dense, lexical(questions, passages, limit), "item_id", "doc_id")
+    # A few rows a question, used several times from here on.
+    both = saved(fuse(found_dense, lexical(questions, passages, limit), "item_id", "doc_id"), "fused")
     asked = questions.filter(tx.collapse(F.coalesce("text", F.lit(""))) != "").select("item_id")
-    pairs = rarity(pair_features(both.join(asked, "item_id", "left_semi"), questions, passages))
+    pairs = rarity(saved(pair_features(both.join(asked, "item_id", "left_semi"), questions, passages), "pairs"))
     full = scored(pairs, specificity=f"least(1.0, {scores.LEXICAL})", focus=scores.FOCUS, intent=scores.INTENT, penalty=scores.PENALTY, fused=scores.FUSED)
     best = F.max("fused").over(Window.partitionBy("item_id"))
     return full.withColumn("hybrid", F.round(F.when(best > 0, F.col("fused") / best).otherwise(0.0), 9))

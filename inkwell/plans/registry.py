@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sql
 from ..functions import text as tx
+from ..sources.scratch import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,13 +42,15 @@ per_doc("flt08_page_number_lines", lambda t: F.size(F.filter(F.split(t, "\n"), l
 
 @query("tx03_normalize_term", f"SELECT DISTINCT token, {sql.term('token')} AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)", "documents")
 def _(d):
-    return d.select(F.explode(tx.tokens(F.lower("text"))).alias("token")).distinct().select("token", tx.term(F.col("token")).alias("term"))
+    return spread(d.select("text")).select(F.explode(tx.tokens(F.lower("text"))).alias("token")).distinct().select("token", tx.term(F.col("token")).alias("term"))
 
 
 @query("tx04_term_sets", f"SELECT doc_id, count(DISTINCT term) AS terms, count(*) AS sequence FROM ({sql.content('documents', 'doc_id')}) GROUP BY 1", "documents")
 def _(d):
-    seq = d.select("doc_id", tx.sequence(F.col("text")).alias("seq")).filter(F.size("seq") > 0)
-    return seq.select("doc_id", F.size(F.array_distinct("seq")).cast("long").alias("terms"), F.size("seq").cast("long").alias("sequence"))
+    seq = spread(d.select("doc_id", "text")).select("doc_id", tx.sequence(F.col("text")).alias("seq"))
+    sizes = F.struct(F.size(F.array_distinct("seq")).cast("long").alias("terms"), F.size("seq").cast("long").alias("sequence"))
+    # Grouped, so that the filter isn't worked out before the texts are spread.
+    return seq.groupBy("doc_id").agg(F.max(sizes).alias("n")).select("doc_id", "n.*").filter("sequence > 0")
 
 
 @query("tx06_anchor_terms", sql.anchors(sql.content("benchmark", "item_id"), "item_id"), "benchmark")
@@ -75,8 +78,9 @@ def _(b):
     "documents",
 )
 def _(d):
-    full = d.select("doc_id", F.transform(tx.terms(F.col("text")), lambda t: t["term"]).alias("full")).filter(F.size("full") > 0)
-    return full.select("doc_id", F.round(tx.noise(F.col("full")), 6).alias("noise"))
+    full = spread(d.select("doc_id", "text")).select("doc_id", tx.full_terms(tx.normal(F.col("text"))).alias("full"))
+    n = F.struct(F.size("full").alias("n"), F.round(tx.noise(F.col("full")), 6).alias("noise"))
+    return full.groupBy("doc_id").agg(F.max(n).alias("x")).filter("x.n > 0").select("doc_id", "x.noise")
 
 
 @query("wn11_bigrams", f"SELECT item_id, count(*) AS pairs FROM (SELECT DISTINCT item_id, term, nxt FROM (SELECT item_id, term, lead(term) OVER (PARTITION BY item_id ORDER BY pos) AS nxt FROM ({sql.content('benchmark', 'item_id')})) WHERE nxt <> term) GROUP BY 1", "benchmark")

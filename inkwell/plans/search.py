@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sql
 from ..functions import text as tx
 from ..operators import retrieval, scores
+from ..sources.scratch import spread
 from .registry import FLAGSHIP, query
 
 LIMIT, K = 20, 5
@@ -155,8 +156,8 @@ def _(v):
 @query("jn07_term_semi", f"SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM ({sql.content('documents', 'doc_id')}) WHERE term IN (SELECT term FROM ({sql.content('benchmark', 'item_id')})))", "documents", "benchmark")
 def _(d, b):
     """Documents that share any term with any question: found in the row, against the distinct question terms."""
-    known = b.select(F.explode(tx.terms(F.col("text"))).alias("t")).filter(tx.is_content(F.col("t"))).select("t.term").distinct()
-    each = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.filter(tx.terms(F.col("text")), tx.is_content), lambda t: t["term"]))).alias("term"))
+    known = b.select(F.explode(tx.sequence(F.col("text"))).alias("term")).distinct()
+    each = spread(d.select("doc_id", "text")).select("doc_id", F.explode(F.array_distinct(tx.sequence(F.col("text")))).alias("term"))
     return each.join(retrieval.small_side(known, 64), "term", "left_semi").select("doc_id").distinct()
 
 

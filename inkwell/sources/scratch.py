@@ -1,4 +1,4 @@
-"""Tables that end a lineage: written to the folder that all executors share, and read again."""
+"""Where rows are: tables that end a lineage, written to the folder that all executors share, and small inputs dealt to all cores."""
 
 from __future__ import annotations
 
@@ -48,3 +48,10 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it comes in fewer partitions than there are: a small file of one row group, say. An input
+    of many partitions is left as it is, so a large one is not exchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
