@@ -27,7 +27,7 @@ def both(m: str) -> str:
 #: Per question, from its facets.
 SUMS = {
     "facets": "count(*)",
-    "met": "avg(CASE WHEN c_all >= greatest(1, least(2, k_all)) THEN 1.0 ELSE 0.0 END)",
+    "met": "avg(CAST(CASE WHEN c_all >= greatest(1, least(2, k_all)) THEN 1 ELSE 0 END AS DOUBLE))",
     "coverage": f"avg({both('a')})",
     "least_facet": f"min({both('a')})",
     "base": f"avg({both('c')})",
