@@ -40,14 +40,19 @@ def scratch(spark: SparkSession):
         remove(spark, _open.pop())
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: the lineage
-    ends there, and a lost executor takes nothing with it."""
+def saved_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """As saved(), with the folder, for tables that are removed once the next one is written."""
     spark = df.sparkSession
     folder = _open[-1] if _open else f"{shared_dir(spark)}/inkwell"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: the lineage
+    ends there, and a lost executor takes nothing with it."""
+    return saved_at(df, name, codec)[0]
 
 
 def spread(df: DataFrame) -> DataFrame:
