@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import _open, remove, saved, scratch, shared_dir  # noqa: F401
+from ..sources.scratch import _open, remove, saved, saved_at, scratch, shared_dir  # noqa: F401
 
 #: Bytes of a side that may be broadcast; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
