@@ -27,6 +27,8 @@ counts; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from math import log2
 from typing import NamedTuple
 
@@ -113,32 +115,49 @@ def hot_windows(said: str, kind: CharacterClass) -> list[tuple[int, int]]:
     return out
 
 
-def suppressed(text: str, start: int, end: int, a: int, b: int, allow: frozenset[str]) -> bool:
-    """Whether the allow-list covers the span a..b of the candidate start..end."""
-    whole = text[start:end]
-    if whole in allow or text[a:b] in allow or (whole.startswith("//") and SCHEME.search(text, max(0, start - 12), start)):
-        return True
-    return any(start + m.start() < b and a < start + m.end() for p in ALLOWED for m in p.finditer(whole))
+class Cover:
+    """Spans, and whether one of them holds or meets a given one, in logarithmic time."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts, self.reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def _end(self, n: int) -> int:
+        return self.reach[n - 1] if n else -1
+
+    def holds(self, a: int, b: int) -> bool:
+        return self._end(bisect_right(self.starts, a)) >= b
+
+    def meets(self, a: int, b: int) -> bool:
+        return self._end(bisect_left(self.starts, b)) > a
+
+
+def allowed(text: str, start: int, end: int, allow: frozenset[str]) -> Cover:
+    """What the allow-list covers of the candidate start..end."""
+    if (allow and text[start:end] in allow) or (text.startswith("//", start) and SCHEME.search(text, max(0, start - 12), start)):
+        return Cover([(start, end)])
+    return Cover(m.span() for p in ALLOWED for m in p.finditer(text, start, end))
 
 
 def entropy_spans(text: str, base: list[tuple[str, int, int]], allow: frozenset[str]) -> list[tuple[str, int, int]]:
     """Spans of kind entropy that no base span holds, by start."""
-    found = []
+    out: list[tuple[str, int, int]] = []
+    told = Cover((a, b) for _, a, b in base)
     for c in CANDIDATE.finditer(text):
         start, end = c.span()
-        if end - start < 20:
+        if end - start < min(k.window for k in CLASSES):
             continue
-        for kind in CLASSES:
-            for m in kind.pattern.finditer(text, start, end):
-                found += [(start, end, m.start() + x, m.start() + y) for x, y in hot_windows(m[0], kind)]
-    out: list[tuple[str, int, int]] = []
-    for start, end, a, b in sorted(found, key=lambda s: (s[2], s[3])):
-        if any(x <= a and b <= y for _, x, y in base) or suppressed(text, start, end, a, b, allow):
+        found = [(m.start() + x, m.start() + y) for kind in CLASSES for m in kind.pattern.finditer(text, start, end) for x, y in hot_windows(m[0], kind)]
+        if not found:
             continue
-        if out and a <= out[-1][2]:
-            out[-1] = ("entropy", out[-1][1], max(b, out[-1][2]))
-        else:
-            out.append(("entropy", a, b))
+        calm = allowed(text, start, end, allow)
+        for a, b in sorted(found):
+            if told.holds(a, b) or calm.meets(a, b) or text[a:b] in allow:
+                continue
+            if out and a <= out[-1][2]:
+                out[-1] = ("entropy", out[-1][1], max(b, out[-1][2]))
+            else:
+                out.append(("entropy", a, b))
     return out
 
 
