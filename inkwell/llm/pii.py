@@ -9,9 +9,12 @@ is estimated from the corpus: with n documents, pointwise mutual information
 PMI(e; t) = log2(n * n(e, t) / (n(e) * n(t))) against the information of the
 entity IC(e) = log2(n / n(e)), where n(e, t) counts documents that have t within
 ``window`` words of e. PMI / IC is 1 if t is always near e and nowhere else.
-Small counts say little, so it is discounted by c / (c + 1) * m / (m + 1), c
-being the different contexts in which both stand (copies of a text count once)
-and m the smaller of n(e) and n(t). In the documents that hold e, terms of a
+Small counts can be chance, so it counts only if that is unlikely: if t stood
+near any of the n(e) documents with a probability of n(t) / n, the c different
+contexts in which both stand would have at most C(n(e), c) * (n(t) / n)^c, and
+that times the pairs of entity and term that were tested must be ``chance`` at
+most. Two contexts can pass; contexts that share all words of one side are
+copies and count once. In the documents that hold e, terms of a
 disclosure of ``remove`` or more become [TERM]; those of ``generalise`` or more
 become their kind ([NAME] if capitalised, else [WORD]).
 
@@ -26,6 +29,7 @@ value come back as they were; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -114,25 +118,33 @@ def words_after(text: str, start: int, window: int) -> str:
         reach *= 4
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 def contexts(text: str, window: int):
-    """Of each base span: its entities, a hash of what stands around it, and that text."""
+    """Of each base span: its entities, a hash of what stands before it, the texts on both sides, and a hash of what stands after it.
+
+    A side that the text's end cuts short says little of a copy, so its hash is that of both sides."""
     for kind, a, b in base_spans(text):
-        near = words_before(text, a, window) + "\n" + words_after(text, b, window)
-        yield entities(kind, text[a:b]), xxhash.xxh3_64_intdigest(near.encode("utf-8", "replace")) - (1 << 63), near
+        sides = words_before(text, a, window), words_after(text, b, window)
+        near = "\n".join(sides)
+        before, after = (_hash(s if s.count(" ") == window - 1 else near) for s in sides)
+        yield entities(kind, text[a:b]), before, near, after
 
 
 def mentions(docs: DataFrame, window: int) -> DataFrame:
-    """_id, _h, entities, context and the text near it of each base span. docs: see keyed()."""
+    """_id, _h, and the entities, the hash before, the text near and the hash after of each base span. docs: see keyed()."""
 
     def run(batches):
         for batch in batches:
             rows = [(i, h, *c) for i, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for c in contexts(t, window)]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = [batch.schema.field(0).type, pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["_id", "_h", "entities", "context", "near"])
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            types = [batch.schema.field(0).type, pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["_id", "_h", "entities", "before", "near", "after"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.filter(F.col("_text").rlike("[0-9@]")).mapInArrow(run, f"_id {kind}, _h long, entities array<string>, context long, near string")
+    return docs.filter(F.col("_text").rlike("[0-9@]")).mapInArrow(run, f"_id {kind}, _h long, entities array<string>, before long, near string, after long")
 
 
 def terms_of(text) -> Column:
@@ -140,28 +152,30 @@ def terms_of(text) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
-def disclosures(docs: DataFrame, seen: DataFrame, support: int) -> DataFrame:
-    """entity, term, disclosure of the terms that stand near an entity in ``support`` contexts or more. docs and seen: as above."""
-    each = seen.select("_h", "context", "near", F.explode("entities").alias("entity"))
+def disclosures(docs: DataFrame, seen: DataFrame, chance: float) -> DataFrame:
+    """entity, term, disclosure of the terms that stand near an entity more often than by chance. docs and seen: as above."""
+    each = seen.select("_h", "before", "after", "near", F.explode("entities").alias("entity"))
     n_e = each.groupBy("entity").agg(F.countDistinct("_h").alias("n_e"))
-    near = each.select("_h", "context", "entity", F.explode(terms_of(F.col("near"))).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_h").alias("n_et"))
-    pairs = saved(pairs.filter(F.col("contexts") >= support), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
+    near = each.select("_h", "before", "after", "entity", F.explode(terms_of(F.col("near"))).alias("term"))
+    different = F.least(F.countDistinct("before"), F.countDistinct("after"), F.countDistinct("_h")).alias("contexts")
+    pairs = saved(near.groupBy("entity", "term").agg(different, F.countDistinct("_h").alias("n_et")), "pairs")
+    some = pairs.filter("contexts > 1")
+    if some.isEmpty():
+        return some.select("entity", "term", F.lit(0.0).alias("disclosure"))
     # Counted in each task before any join, so that a task sends a row for each different word.
     n_t = docs.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = float(docs.count())
-    counted = pairs.join(n_e, "entity").join(n_t, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0)), "n_et"))
+    n, tested = float(docs.count()), pairs.count()
+    counted = some.join(n_e, "entity").join(n_t, "term", "left").withColumn("n_t", F.greatest(F.coalesce("n_t", F.lit(0)), "n_et"))
     pmi = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     info = F.log2(F.lit(n) / F.col("n_e"))
-    return counted.select("entity", "term", F.when(info > 0, pmi / info * trust()).otherwise(0.0).alias("disclosure"))
+    strong = (info > 0) & (by_chance(n) + math.log(tested) <= math.log(chance))
+    return counted.filter(strong).select("entity", "term", (pmi / info).alias("disclosure"))
 
 
-def trust() -> Column:
-    """Near 1 for counts that are large enough to say something: contexts / (contexts + 1) * least count / (least count + 1)."""
-    least = F.least("n_e", "n_t")
-    return F.col("contexts") / (F.col("contexts") + 1) * least / (least + 1)
+def by_chance(n: float) -> Column:
+    """The logarithm of C(n_e, c) * (n_t / n)^c for c contexts, or a little more: n_e^c stands for n_e! / (n_e - c)!, and c! is Stirling's."""
+    c = F.col("contexts")
+    return c * (F.log(F.col("n_e") * F.col("n_t") / (c * n)) + 1) - F.log(c * (2 * math.pi)) / 2
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -173,13 +187,13 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def find(docs: DataFrame, window: int = 8, support: int = 2, generalise: float = 0.5, remove: float = 0.75) -> DataFrame:
+def find(docs: DataFrame, window: int = 8, chance: float = 0.05, generalise: float = 0.5, remove: float = 0.75) -> DataFrame:
     """_row (all columns of docs), _id, _h, and found: spans array<struct<kind, start, end>> and the sanitised text of each document.
 
     Kinds are those of the base, then term, name and word."""
     base = packed(docs)
     seen = saved(mentions(keyed(docs), window), "mentions")
-    strong = disclosures(keyed(docs), seen, support).filter(F.col("disclosure") >= generalise)
+    strong = disclosures(keyed(docs), seen, chance).filter(F.col("disclosure") >= generalise)
     strong = small_side(saved(strong, "strong"))
     level = F.when(F.col("disclosure") >= remove, F.concat(F.lit("-"), "term")).otherwise(F.concat(F.lit("~"), "term"))
     held = seen.select(F.col("_id").alias("_i"), F.col("_h").alias("_k"), F.explode("entities").alias("entity")).distinct()
