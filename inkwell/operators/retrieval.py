@@ -59,17 +59,25 @@ def question_features(questions: DataFrame) -> DataFrame:
 
 
 def passage_features(passages: DataFrame) -> DataFrame:
-    """doc_id, seq (content terms in order), full (all terms in order), dn, meta and the flags of each text."""
-    text = F.coalesce("text", F.lit(""))
-    t = spread(passages.select("doc_id", "text")).select("doc_id", text.alias("_text"), tx.normal(text).alias("_t"))
-    t = t.select("doc_id", "_text", tx.content_terms(F.col("_t")).alias("seq"), tx.full_terms(F.col("_t")).alias("full"))
+    """doc_id, seq (content terms in order), full (all terms in order), dn, meta and the flags of each passage.
+
+    A passage is its heading, if the table has one, and its text; head_terms are the heading's, text_meta is of the text alone."""
+    text, headed = F.coalesce("text", F.lit("")), "heading" in passages.columns
+    head = F.coalesce("heading", F.lit("")) if headed else F.lit("")
+    whole = F.trim(F.concat_ws(" ", head, text)) if headed else text
+    t = spread(passages.select("doc_id", "text", *(["heading"] if headed else []))).select("doc_id", whole.alias("_text"), tx.normal(whole).alias("_t"), *([tx.normal(text).alias("_own"), tx.normal(head).alias("_head")] if headed else []))
+    none = F.array().cast("array<string>")
+    own = [tx.noise(tx.full_terms(F.col("_own"))).alias("text_meta"), F.array_distinct(tx.content_terms(F.col("_head"))).alias("head_terms")] if headed else [none.alias("head_terms")]
+    t = t.select("doc_id", "_text", tx.content_terms(F.col("_t")).alias("seq"), tx.full_terms(F.col("_t")).alias("full"), *own)
     flag = lambda c, name: c.cast("int").alias(name)
     return t.select(
         "doc_id",
         "seq",
         "full",
+        "head_terms",
         F.size(F.array_distinct("seq")).alias("dn"),
         tx.noise(F.col("full")).alias("meta"),
+        *([F.col("text_meta")] if headed else [tx.noise(F.col("full")).alias("text_meta")]),
         flag(tx.has_date(F.col("_text")), "date"),
         flag(tx.has_temporal(F.col("_text")), "temporal"),
         flag(F.col("_text").rlike(tx.YEAR_RE), "year"),
@@ -78,15 +86,16 @@ def passage_features(passages: DataFrame) -> DataFrame:
     )
 
 
-PASSAGE = ["dn", "meta", "date", "temporal", "year", "month", "alias_text"]
+PASSAGE = ["dn", "meta", "text_meta", "date", "temporal", "year", "month", "alias_text"]
 QUESTION = ["qn", "qa", "qc", "qp", "qs", "is_when", "is_nick"]
-COUNTS = ["n", "na", "nc", "np", "ns", "run", "phrase"]
+COUNTS = ["n", "na", "nc", "np", "ns", "nh", "run", "phrase"]
 
 
 class Questions:
     """A block of questions, by term, pair and run."""
 
     KINDS = {"q_terms": 0, "q_anchors": 1, "q_constraints": 2, "q_pairs": 3, "q_subjects": 4}
+    SETS = 6  # these, and question terms in headings
 
     def __init__(self, rows: list):
         self.n = len(rows)
@@ -97,6 +106,8 @@ class Questions:
                 for t in r[name] if kind != 4 or r["is_nick"] else ():
                     # Subjects are looked for among all terms of a passage, the others among its content.
                     lists.setdefault(("\0" if kind == 4 else "") + t, {}).setdefault(kind, []).append(k)
+                    if kind == 0:
+                        lists.setdefault("\1" + t, {}).setdefault(5, []).append(k)
             for size, grams in enumerate(r["q_grams"], 2):
                 for g in grams:
                     runs.setdefault(g, []).append((k, size))
@@ -120,22 +131,22 @@ class Questions:
                 a.make_automaton()
         return self.found
 
-    def count(self, seq: list[str], full: list[str], out: np.ndarray) -> None:
+    def count(self, seq: list[str], full: list[str], head: list[str], out: np.ndarray) -> None:
         """Adds one passage to out (COUNTS by questions)."""
-        words, every = set(seq), {"\0" + t for t in full}
+        words, every = set(seq), {"\0" + t for t in full} | {"\1" + t for t in head}
         own = words | {f"{a} {b}" for a, b in zip(seq, seq[1:], strict=False)} | every
         met = [self.cells[t] for t in own & self.cells.keys()]
         if met:
-            out[:5] = np.bincount(np.concatenate(met), minlength=5 * self.n).reshape(5, self.n)
+            out[: self.SETS] = np.bincount(np.concatenate(met), minlength=self.SETS * self.n).reshape(self.SETS, self.n)
         inner, whole = self.search()
         if len(inner):
             for _, where in inner.iter(" ".join(seq)):
                 for k, size in where:
-                    out[5, k] = max(out[5, k], size)
+                    out[6, k] = max(out[6, k], size)
         if len(whole):
             for _, where in whole.iter(" ".join(full)):
                 for k, _ in where:
-                    out[6, k] = 1
+                    out[7, k] = 1
 
 
 def blocks(df: DataFrame, order: str):
@@ -165,19 +176,19 @@ def match_counts(questions: DataFrame, passages: DataFrame) -> DataFrame:
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    seqs, fulls = part.column("seq").to_pylist(), part.column("full").to_pylist()
+                    seqs, fulls, heads = (part.column(c).to_pylist() for c in ("seq", "full", "head_terms"))
                     counts = np.zeros((len(seqs), len(COUNTS), index.n), dtype=np.int32)
-                    for k, (seq, full) in enumerate(zip(seqs, fulls, strict=True)):
-                        index.count(seq, full, counts[k])
-                    d, q = np.nonzero(counts[:, [0, 5, 6]].any(axis=1))
+                    for k, (seq, full, head) in enumerate(zip(seqs, fulls, heads, strict=True)):
+                        index.count(seq, full, head, counts[k])
+                    d, q = np.nonzero(counts[:, [0, 6, 7]].any(axis=1))
                     if len(d):
                         cols = [part.column("doc_id").take(pa.array(d)), pa.array([ids[k] for k in q.tolist()]).cast(kind)]
                         cols += [pa.array(counts[d, c, q]) for c in range(len(COUNTS))]
                         yield pa.RecordBatch.from_arrays(cols + [part.column(c).take(pa.array(d)) for c in PASSAGE], names=["doc_id", "item_id", *COUNTS, *PASSAGE])
 
         kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds["item_id"]]
-        schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, " + ", ".join(f"{c} int" for c in COUNTS) + ", dn int, meta double, " + ", ".join(f"{c} int" for c in PASSAGE[2:])
-        got = passages.select("doc_id", "seq", "full", *PASSAGE).mapInArrow(run, schema)
+        schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, " + ", ".join(f"{c} int" for c in COUNTS) + ", dn int, meta double, text_meta double, " + ", ".join(f"{c} int" for c in PASSAGE[3:])
+        got = passages.select("doc_id", "seq", "full", "head_terms", *PASSAGE).mapInArrow(run, schema)
         out = got if out is None else out.unionByName(got)
     if out is None:
         cols = [f"CAST(NULL AS {kinds[c]}) AS {c}" for c in ("doc_id", "item_id")] + [f"0 AS {c}" for c in (*COUNTS, *PASSAGE)]
@@ -187,7 +198,7 @@ def match_counts(questions: DataFrame, passages: DataFrame) -> DataFrame:
 
 def scored(counts: DataFrame, **formulas: str) -> DataFrame:
     """counts with the flags that take both sides, and the formulas, rounded where both engines still agree."""
-    both = counts.withColumns({"alias": F.expr("CASE WHEN alias_text = 1 AND (size(q_subjects) = 0 OR ns > 0) THEN 1 ELSE 0 END"), "head": F.lit(0), "text_meta": F.col("meta")})
+    both = counts.withColumns({"alias": F.expr("CASE WHEN alias_text = 1 AND (size(q_subjects) = 0 OR ns > 0) THEN 1 ELSE 0 END"), "head": (F.col("nh") > 0).cast("int")})
     return both.select("*", *(F.round(F.expr(f), 9).alias(name) for name, f in formulas.items()))
 
 
@@ -303,6 +314,7 @@ def pair_features(pairs: DataFrame, questions: DataFrame, passages: DataFrame) -
         "nc": met("seq", "q_constraints"),
         "np": met(tx.pairs(F.col("seq")), "q_pairs"),
         "ns": met("full", "q_subjects"),
+        "nh": met("head_terms", "q_terms"),
         "run": run,
         "phrase": F.when((F.col("q_full") != "") & F.contains(F.array_join("full", " "), F.col("q_full")), 1).otherwise(0),
     })
@@ -318,11 +330,30 @@ def rarity(pairs: DataFrame) -> DataFrame:
     return pairs.join(rare, ["item_id", "doc_id"], "left").fillna(0.0, ["rarity"])
 
 
+def first_lists(questions: DataFrame, passages: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The best of each question by dense and by lexical search.
+
+    Questions with a document_id (a column they may have, as passages) look at that document alone: its passages are
+    joined by it, so where passages are laid out by document only those of such documents are read."""
+    if "document_id" not in questions.columns:
+        return dense(embedded(passages), embedded(questions, "item_id"), "doc_id", "item_id", limit), lexical(questions, passages, limit)
+    free, bound = questions.filter("document_id IS NULL"), questions.filter("document_id IS NOT NULL")
+    own = passages.join(small_side(bound.select("document_id").distinct(), 64), "document_id", "left_semi")
+    pairs = saved(own.select("doc_id", "document_id").join(bound.select("item_id", "document_id"), "document_id").drop("document_id"), "scoped")
+    near = pairs.join(embedded(own).withColumnRenamed("v", "a"), "doc_id").join(embedded(bound, "item_id").withColumnRenamed("v", "b"), "item_id")
+    near = near.select("item_id", "doc_id", F.round(cosine("a", "b"), 9).alias("score"))
+    said = scored(pair_features(pairs, bound, own), score=scores.LEXICAL).filter("score > 0").select("item_id", "doc_id", "score")
+    best = lambda df: top(df, "item_id", limit, F.desc("score"), "doc_id")
+    return (
+        dense(embedded(passages), embedded(free, "item_id"), "doc_id", "item_id", limit).unionByName(best(near)),
+        lexical(free, passages, limit).unionByName(best(said)),
+    )
+
+
 def candidates(questions: DataFrame, passages: DataFrame, limit: int = 20) -> DataFrame:
     """Features, scores, ranks and rarity of all that dense or lexical search finds, and hybrid: the fused score, 1 for the best of each question."""
-    found_dense = dense(embedded(passages), embedded(questions, "item_id"), "doc_id", "item_id", limit)
     # A few rows a question, used several times from here on.
-    both = saved(fuse(found_dense, lexical(questions, passages, limit), "item_id", "doc_id"), "fused")
+    both = saved(fuse(*first_lists(questions, passages, limit), "item_id", "doc_id"), "fused")
     asked = questions.filter(tx.collapse(F.coalesce("text", F.lit(""))) != "").select("item_id")
     pairs = rarity(saved(pair_features(both.join(asked, "item_id", "left_semi"), questions, passages), "pairs"))
     full = scored(pairs, specificity=f"least(1.0, {scores.LEXICAL})", focus=scores.FOCUS, intent=scores.INTENT, penalty=scores.PENALTY, fused=scores.FUSED)
@@ -338,7 +369,12 @@ def fused(questions: DataFrame, passages: DataFrame, limit: int = 20) -> DataFra
 def search(questions: DataFrame, passages: DataFrame, k: int = 5, multiplier: int = 4) -> DataFrame:
     """The best k passages of each question: fused candidates by the reranked score, with all their scores. A blank question finds nothing."""
     found = fused(questions, passages, max(k, k * multiplier)).withColumnRenamed("rank", "fused_rank")
-    last = scored(found.drop("alias", "head", "text_meta"), rerank=scores.RERANK)
+    if "heading" in passages.columns:  # the reranker reads the text alone
+        found = saved(found, "found")
+        alone = scored(pair_features(found.select("item_id", "doc_id"), questions, passages.drop("heading")), rerank=scores.RERANK)
+        last = found.join(alone.select("item_id", "doc_id", "rerank"), ["item_id", "doc_id"])
+    else:
+        last = scored(found.drop("alias", "head"), rerank=scores.RERANK)
     last = last.withColumn("score", F.round(F.expr(scores.FINAL), 9))
     return top(last, "item_id", k, *map(F.desc, ("score", "rerank", "hybrid", "lexical_score", "dense_score")), "doc_id")
 

@@ -63,9 +63,14 @@ def claims(b: DataFrame, c: DataFrame) -> DataFrame:
     held = contexts(b, c).filter("ctx > 0").select("item_id", F.col("doc_id").alias("main"), "ctx", "t_text")
     first = held.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("ctx"), "main"))).filter("r <= 2")
     first = first.withColumn("a_text", F.element_at(st.sentences(F.col("t_text")), F.when(F.col("r") == 1, -1).otherwise(1)))
-    own = first.withColumn("d", F.row_number().over(Window.partitionBy("item_id", F.lower("a_text")).orderBy("r"))).filter("d = 1")
+    return worded(first.select((F.col("item_id") * 10 + F.col("r")).alias("unit"), "item_id", "r", "main", "a_text"))
+
+
+def worded(said: DataFrame) -> DataFrame:
+    """said (unit, item_id, r, main, a_text) with the terms of each claim; what repeats an earlier one of its question goes."""
+    own = said.withColumn("d", F.row_number().over(Window.partitionBy("item_id", F.lower("a_text")).orderBy("r"))).filter("d = 1")
     full = F.array_join(F.transform(tx.terms(F.col("a_text")), lambda t: t["term"]), " ")
-    return own.select((F.col("item_id") * 10 + F.col("r")).alias("unit"), "item_id", "r", "main", "a_text", F.array_distinct(tx.sequence(F.col("a_text"))).alias("a_terms"), full.alias("a_full"))
+    return own.select("unit", "item_id", "r", "main", "a_text", F.array_distinct(tx.sequence(F.col("a_text"))).alias("a_terms"), full.alias("a_full"))
 
 
 def met(df: DataFrame) -> DataFrame:
@@ -86,11 +91,11 @@ def nine(e: str) -> Column:
 CLAIM = ["unit", "r", "main", "a_text", "a_terms", "a_full"]
 
 
-def excerpts(b: DataFrame, c: DataFrame) -> DataFrame:
+def excerpts(b: DataFrame, c: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """The excerpt of each context with a score for each claim of its question: of its spans the one that says most of the
     claim, cut to the clause that does (with a neighbour where a cause is asked for or given, or a short lead); the whole
-    context if it says nothing of it."""
-    own = claims(b, c)
+    context if it says nothing of it. own: the claims, if they are others than claims() makes."""
+    own = claims(b, c) if own is None else own
     each = met(spans(b, c).filter("ctx > 0").join(own, "item_id"))
     key = F.struct(F.col("u_n"), nine(NC), nine(NA), nine(f"{N} + {evidence.TYPE_BONUS} + {evidence.ALIGNED}"), F.col("u_phrase"), -F.col("dn"), -F.col("doc_id"))
     kept = F.struct("t_text", "u_n", "u_phrase", "ctx", "q_text", *CLAIM[1:])
@@ -128,10 +133,10 @@ def excerpts(b: DataFrame, c: DataFrame) -> DataFrame:
     return judged(b, saved(rows, "excerpts")).withColumn("na_terms", F.size("a_terms")).withColumn("score", nine(SCORE))
 
 
-def ranked(b: DataFrame, c: DataFrame) -> DataFrame:
+def ranked(b: DataFrame, c: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """The excerpts that may be cited for a claim, best first."""
     order = Window.partitionBy("unit").orderBy(F.desc("score"), F.desc("ctx"), "page_start", "turn")
-    return excerpts(b, c).filter(F.expr(SHOWN)).withColumn("rank", F.row_number().over(order))
+    return excerpts(b, c, own).filter(F.expr(SHOWN)).withColumn("rank", F.row_number().over(order))
 
 
 @query("gr09_excerpts", f"{EVIDENCE} SELECT unit, context_id, t_text AS excerpt FROM xl", "benchmark", "conversations")
@@ -155,19 +160,20 @@ cl AS (SELECT item_id, context_id, min(first) AS place, list(x ORDER BY r) AS xs
 cite AS (SELECT item_id, context_id, place, CASE WHEN len(xs) = 1 OR contains(lower(xs[1]), lower(xs[2])) THEN xs[1] WHEN contains(lower(xs[2]), lower(xs[1])) THEN xs[2] ELSE xs[1] || ' ' || xs[2] END AS text FROM cl)"""
 
 
-def cited(b: DataFrame, c: DataFrame) -> DataFrame:
+def cited(b: DataFrame, c: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """The best excerpt of each claim, with its terms."""
-    return ranked(b, c).filter("rank = 1").select("item_id", "unit", "r", "context_id", "ctx", F.trim("t_text").alias("x"), F.array_distinct("seq").alias("terms"), "a_terms")
+    return ranked(b, c, own).filter("rank = 1").select("item_id", "unit", "r", "context_id", "ctx", F.trim("t_text").alias("x"), F.array_distinct("seq").alias("terms"), "a_terms")
+
+
+def merged(a: Column, x: Column) -> Column:
+    """Two excerpts of one context: the one that has the other in it, else both."""
+    flat = lambda t: F.lower(tx.collapse(t))
+    return F.when(a.isNull() | F.contains(flat(x), flat(a)), x).when(F.contains(flat(a), flat(x)), a).otherwise(F.concat_ws(" ", a, x))
 
 
 @query("gr11_citations", f"{CITED} SELECT item_id, context_id, place, text FROM cite", "benchmark", "conversations")
 def _(b, c):
     lists = cited(b, c).groupBy("item_id", "context_id").agg(F.min("r").alias("place"), F.sort_array(F.collect_list(F.struct("r", "x"))).alias("l"))
-
-    def merged(a: Column, x: Column) -> Column:
-        flat = lambda t: F.lower(tx.collapse(t))
-        return F.when(a.isNull() | F.contains(flat(x), flat(a)), x).when(F.contains(flat(a), flat(x)), a).otherwise(F.concat_ws(" ", a, x))
-
     keep = F.aggregate("l", F.lit(None).cast("string"), lambda a, e: F.when(a.isNotNull() & F.contains(F.lower(tx.collapse(a)), F.lower(tx.collapse(e["x"]))), a).otherwise(merged(a, e["x"])))
     return lists.select("item_id", "context_id", "place", keep.alias("text"))
 
@@ -183,7 +189,11 @@ ag AS (SELECT item_id, count(*) AS claims, count(*) FILTER (support >= 0.45) AS
 
 def verified(b: DataFrame, c: DataFrame) -> DataFrame:
     """item_id, unit and support of each claim that has a citation."""
-    top = cited(b, c)
+    return supported(b, cited(b, c))
+
+
+def supported(b: DataFrame, top: DataFrame) -> DataFrame:
+    """item_id, unit and support of each claim by its citation in top."""
     parts = facets(b).select(F.col("question").alias("item_id"), F.array_distinct(F.concat("q_terms", "q_anchors", "q_constraints")).alias("k"))
     enough = F.size(F.array_intersect("k", "terms")) >= F.greatest(F.lit(1), F.least(F.lit(2), F.size("k")))
     per = top.join(parts, "item_id").groupBy("item_id", "unit", "ctx", "a_terms", "terms").agg(F.avg(enough.cast("double")).alias("covered"))

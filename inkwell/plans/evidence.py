@@ -5,6 +5,8 @@ kinds, and contexts are the turns of the conversation of the same number with a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,11 +42,21 @@ TURNS = f"""turns AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id AS item_id
   text || chr(10) || {picked('turn', EXTRA)} AS text FROM conversations)"""
 
 
-def prompts(b: DataFrame) -> DataFrame:
-    return b.select("item_id", F.expr(PROMPT).alias("text"))
+@dataclass(frozen=True)
+class Given:
+    """A relation that has the shape of prompts() (item_id, text) or turns() already, as asking.py makes them of what search
+    found. Contexts may have ctx, lex and rerank, the scores that search gave them; doc_id is their number, for one question each."""
+
+    rows: DataFrame
+
+
+def prompts(b: DataFrame | Given) -> DataFrame:
+    return b.rows.select("item_id", "text") if isinstance(b, Given) else b.select("item_id", F.expr(PROMPT).alias("text"))
 
 
-def turns(c: DataFrame) -> DataFrame:
+def turns(c: DataFrame | Given) -> DataFrame:
+    if isinstance(c, Given):
+        return c.rows.select("doc_id", "item_id", "turn", "page_start", "page_end", "text")
     page = F.col("turn") + 1
     text = F.concat("text", F.lit("\n"), F.expr(picked("turn", EXTRA)))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").alias("item_id"), "turn", page.alias("page_start"), (page + (F.col("turn") % 3 == 0).cast("int")).alias("page_end"), text.alias("text"))
@@ -75,14 +87,17 @@ def measured_sql(source: str) -> str:
 BASE = f"WITH RECURSIVE {PROMPTS}, {TURNS}, {sql.questions('prompts')}"
 CONTEXTS = f"""{BASE}, {sql.passages('turns')},
 cp AS (SELECT t.item_id, t.turn, t.page_start, t.page_end, t.text AS t_text, q.* EXCLUDE (item_id), d.* EXCLUDE (text) FROM turns t JOIN q USING (item_id) JOIN d USING (doc_id)),
-cc AS (SELECT *, round({scores.LEXICAL}, 9) AS ctx, round({scores.RERANK}, 9) AS rerank FROM ({sql.counts('cp')})),
+cc AS (SELECT *, round({scores.LEXICAL}, 9) AS ctx, round({scores.LEXICAL}, 9) AS lex, round({scores.RERANK}, 9) AS rerank FROM ({sql.counts('cp')})),
 contexts AS ({measured_sql('cc')})"""
 
 
 def contexts(b: DataFrame, c: DataFrame) -> DataFrame:
     p, t = prompts(b), turns(c)
     pairs = t.withColumnRenamed("text", "t_text").join(p.select("item_id"), "item_id", "left_semi")
-    return measured(retrieval.scored(retrieval.pair_features(pairs, p, t.select("doc_id", "text")), ctx=scores.LEXICAL, rerank=scores.RERANK))
+    full = retrieval.pair_features(pairs, p, t.select("doc_id", "text"))
+    if isinstance(c, Given):
+        return measured(retrieval.scored(full).join(c.rows.select("doc_id", "ctx", "lex", "rerank"), "doc_id"))
+    return measured(retrieval.scored(full, ctx=scores.LEXICAL, lex=scores.LEXICAL, rerank=scores.RERANK))
 
 
 # Spans: neighbouring sentences of a context, each as a passage of its own.
@@ -147,7 +162,7 @@ def selection(d: Dialect) -> dict[str, str]:
         "k8": f"round({scores.share('n', 'dn')}, 9)",
         "k9": "phrase",
         "k10": f"round({scores.run_bonus(0.2)}, 9)",
-        "k11": "ctx",
+        "k11": "lex",
         "k12": "rerank",
         "k13": "-round(meta, 9)",
         "k14": f"-greatest({d.count('t_text', '[A-Za-z0-9]+')}, 1)",

@@ -112,7 +112,7 @@ answer AS (SELECT question, string_agg(CASE WHEN regexp_matches(said, '[.!?]$')
 
 
 def replied(b: DataFrame, c: DataFrame) -> DataFrame:
-    """question, answer and q_text of the questions that can be answered, the sentences in the order of their facets."""
+    """question, answer, q_text and main of the questions that can be answered: the sentences in the order of their facets, and the context of the first."""
     from .evidence import prompts
 
     cand = candidates(b, c)
@@ -123,8 +123,9 @@ def replied(b: DataFrame, c: DataFrame) -> DataFrame:
     each = own.join(texts, "context_id").join(asked, "question")
     low = F.lower("q_text")
     said = F.when(low.startswith("why ") | F.contains(low, F.lit(" why ")), answers.explained(F.col("sents"), F.col("t_text"))).otherwise(F.col("t_text"))
-    lines = each.select("question", "q_text", F.struct("place", answers.ended(said).alias("s")).alias("x"))
-    return lines.groupBy("question", "q_text").agg(F.array_sort(F.collect_list("x")).alias("l")).select("question", "q_text", F.array_join(F.transform("l", lambda x: x["s"]), " ").alias("answer"))
+    lines = each.select("question", "q_text", F.struct("place", answers.ended(said).alias("s"), "context_id").alias("x"))
+    lists = lines.groupBy("question", "q_text").agg(F.array_sort(F.collect_list("x")).alias("l"))
+    return lists.select("question", "q_text", F.array_join(F.transform("l", lambda x: x["s"]), " ").alias("answer"), F.element_at("l", 1)["context_id"].alias("main"))
 
 
 @query("gr15_extractive_answer", f"{TOLD} SELECT question, answer FROM answer", "benchmark", "conversations")

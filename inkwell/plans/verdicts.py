@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK, VALUE, prompt_measures
@@ -69,15 +69,25 @@ OUTCOME = "CASE WHEN passed1 THEN 'answer' WHEN NOT verified AND passed2 THEN 'r
 CONFIDENCE = "CASE WHEN passed1 THEN least(0.98, greatest(0.35, 0.45 + 0.5 * support1)) WHEN NOT verified AND passed2 THEN least(0.94, greatest(0.32, 0.4 + 0.45 * support2)) ELSE 0.7 END"
 
 
+def said(c: str) -> Column:
+    """The texts of claims or citations in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c]), " ")
+
+
 def judged(b: DataFrame, rows: DataFrame, weight: float) -> DataFrame:
-    """plain, covered, support and passed of the claims in rows."""
+    """plain, covered, support and passed of the claims in rows, with a citation each."""
     every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    said = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c]), " ")
     scores = F.collect_set(F.struct("context_id", "ctx"))
     per = rows.groupBy("item_id").agg(
         every("a_terms").alias("a_every"), every("terms").alias("c_terms"), said("a_text").alias("a_text"), said("x").alias("c_text"), F.count_distinct("context_id").alias("cites"),
         (F.aggregate(scores, F.lit(0.0), lambda s, e: s + e["ctx"]) / F.size(scores)).alias("mean_ctx"), F.count("*").alias("claims"), F.count_if(F.col("support") >= 0.45).alias("supported"), F.avg("support").alias("mean_claim"),
     )
+    return gated(b, per, weight)
+
+
+def gated(b: DataFrame, per: DataFrame, weight: float) -> DataFrame:
+    """per with plain, covered, support and passed. per: item_id, the terms and text of the answer (a_every, a_text) and of its
+    citations (c_terms, c_text), how many these are and their mean score (cites, mean_ctx), claims, those supported, and their mean support."""
     parts = facets(b).select(F.col("question").alias("item_id"), "q_anchors", "q_constraints", "qa", "qc", F.array_distinct(F.concat("q_terms", "q_anchors", "q_constraints")).alias("k"))
     hits = lambda m, held: {f"{m}_{n}": F.size(F.array_intersect(a, held)) for n, a in (("all", "k"), ("anchors", "q_anchors"), ("constraints", "q_constraints"))}
     counted = per.join(parts, "item_id").withColumns({**hits("a", F.concat("a_every", "c_terms")), **hits("c", F.col("c_terms")), "k_all": F.size("k")})
