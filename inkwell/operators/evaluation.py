@@ -95,14 +95,6 @@ def tier(raw: Column, strict: bool = True) -> Column:
     return F.when(said.isin("gating", "exploratory"), said).otherwise(other)
 
 
-def completion_text(body: Column) -> Column:
-    """The text of the first choice of a chat completion: a string, or the texts of its parts together."""
-    content = F.get_json_object(body, "$.choices[0].message.content")
-    parts = F.from_json(content, "array<struct<type:string,text:string>>")
-    whole = F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), "")
-    return F.trim(F.when(content.startswith("[{"), whole).otherwise(content))
-
-
 def verdict(text: Column) -> Column:
     """supported and reason of an answer whose first line says SUPPORTED or UNSUPPORTED; nulls otherwise."""
     lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != "")

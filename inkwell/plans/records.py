@@ -10,7 +10,7 @@ from ..functions import sentences as st
 from ..functions import sql
 from ..functions import text as tx
 from ..functions.dialect import DUCK
-from ..operators import chunks, evaluation, tables
+from ..operators import chunks, evaluation, events, tables
 from ..sources import uploads
 from .answers import CELLS, cells
 from .evidence import CONTEXTS, SPANS, TURNS, contexts, spans, turns
@@ -264,15 +264,45 @@ def _(c):
     return answers(c).select("conv_id", "turn", F.when(t == "", "").when(t.rlike("[.!?]$"), t).otherwise(F.concat(t, F.lit("."))).alias("ended"), F.lower(tx.collapse(F.col("answer"))).alias("unit"))
 
 
-@query("tx25_completion_text", """WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN to_json({'choices': [{'message': {'content': text}}]})::VARCHAR ELSE to_json({'choices': [{'message': {'content': [{'type': 'text', 'text': text}, {'type': 'text', 'text': role}]}}]})::VARCHAR END AS body FROM conversations)
-  SELECT conv_id, turn, trim(CASE WHEN json_type(body, '$.choices[0].message.content') = 'VARCHAR' THEN json_extract_string(body, '$.choices[0].message.content') ELSE array_to_string(json_extract_string(body, '$.choices[0].message.content[*].text'), '') END) AS content FROM p""", "conversations")
+#: Completions of every kind: a text, one that looks like a list, parts of which some are no text, and none at all.
+BODIES = """CASE turn % 5 WHEN 0 THEN '{"choices": [{"message": {"content": ' || @SAID || '}}]}' WHEN 1 THEN '{"choices": [{"message": {"content": "[{" }}]}'
+  WHEN 2 THEN '{"choices": [{"message": {"content": [{"type": "reasoning", "text": "hidden"}, {"type": "text", "text": ' || @SAID || '}, "loose", {"type": "text"}, {"type": "text", "text": "!"}]}}]}'
+  WHEN 3 THEN '{"choices": [], "content": ' || @SAID || '}' ELSE '{"choices": [{"message": {"content": null}}]}' END"""
+PARTS = "list_transform(list_filter(CAST(json_extract(body, '$.choices[0].message.content') AS JSON[]), lambda p: json_type(p) = 'OBJECT' AND coalesce(json_extract_string(p, '$.type'), '') = 'text'), lambda p: coalesce(json_extract_string(p, '$.text'), ''))"
+
+
+@query("tx25_completion_text", f"""WITH p AS (SELECT conv_id, turn, {BODIES.replace('@SAID', 'CAST(to_json(text) AS VARCHAR)')} AS body FROM conversations),
+  k AS (SELECT *, coalesce(json_type(body, '$.choices[0].message.content'), '') AS kind FROM p)
+  SELECT conv_id, turn, CASE kind WHEN 'VARCHAR' THEN json_extract_string(body, '$.choices[0].message.content') WHEN 'ARRAY' THEN array_to_string({PARTS}, '') ELSE '' END AS content FROM k""", "conversations")
 def _(c):
     """The text of a completion: a string, or the texts of its parts together."""
-    text = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices"))
-    part = lambda x: F.struct(F.lit("text").alias("type"), F.col(x).alias("text"))
-    parts = F.struct(F.array(F.struct(F.struct(F.array(part("text"), part("role")).alias("content")).alias("message"))).alias("choices"))
-    body = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.to_json(text)).otherwise(F.to_json(parts)).alias("body"))
-    return body.select("conv_id", "turn", evaluation.completion_text(F.col("body")).alias("content"))
+    said = F.regexp_replace(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', "$1")
+    body = c.withColumn("said", said).select("conv_id", "turn", F.expr(BODIES.replace("@SAID", "said")).alias("body"))
+    return body.select("conv_id", "turn", events.completion_text(F.col("body")).alias("content"))
+
+
+@query("tx25_stream_deltas", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN [] ELSE [role || ' ', text] END AS deltas FROM conversations WHERE text <> ''", "conversations")
+def _(c):
+    """What the lines of a streamed completion add: comments, other lines and empty deltas add nothing, and what follows the end isn't read."""
+    line = lambda x: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(x.alias("content")).alias("delta"))).alias("choices"))))
+    said = F.array(F.lit(": ping"), F.when(F.col("turn") % 3 == 2, F.lit("data: [DONE]")).otherwise(line(F.concat("role", F.lit(" ")))), F.lit("event: x"), line(F.lit("")), line(F.col("text")), F.lit(" data:[DONE] "), line(F.lit("late")))
+    return c.filter("text <> ''").select("conv_id", "turn", events.stream_deltas(said).alias("deltas"))
+
+
+WORDS = f"WITH {ANSWERS}, w AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(answer), '\\s+'), lambda x: x <> '') AS l FROM answers)"
+
+
+@query("st01_event_stream", f"""{WORDS} SELECT conv_id, turn, seq, CASE seq WHEN 0 THEN 'start' WHEN len(l) + 1 THEN 'complete' ELSE 'answer_delta' END AS event,
+  CASE WHEN seq BETWEEN 1 AND len(l) THEN l[seq] || CASE WHEN seq < len(l) THEN ' ' ELSE '' END END AS delta FROM (SELECT *, CAST(unnest(range(0, len(l) + 2)) AS INTEGER) AS seq FROM w)""", "conversations")
+def _(c):
+    """Each answer as events on the wire, cut into pieces of 17 characters wherever that falls, and read back."""
+    rows = answers(c).select("*", F.struct("conv_id", "turn").alias("id"))
+    sent = events.answer_events(rows, "id", F.struct(F.col("turn").alias("retrieved_chunk_count")), F.col("answer"), F.struct("answer", (F.col("turn") % 4 == 0).alias("supported")))
+    wire = sent.withColumn("said", events.frame(F.col("event"), F.col("data"))).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "said"))), lambda x: x["said"]), "").alias("said"))
+    pieces = wire.select("id", F.posexplode(F.regexp_extract_all("said", F.lit("(?s).{1,17}"), F.lit(0))).alias("n", "piece"))
+    got = events.received(pieces, "id", "n", "piece")
+    delta = F.when(F.col("event") == "answer_delta", F.get_json_object("data", "$.delta"))
+    return got.select("id.*", "seq", "event", delta.alias("delta"))
 
 
 VERDICTS = "CASE turn % 3 WHEN 0 THEN 'Supported: yes' || chr(10) || ' because ' || role WHEN 1 THEN chr(10) || 'UNSUPPORTED' ELSE role END"
