@@ -8,6 +8,10 @@ the counts (scores.py). What follows works on a few candidates a question.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import lru_cache
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -58,20 +62,21 @@ def question_features(questions: DataFrame) -> DataFrame:
     return lists.select("*", *(F.size(c).alias(n) for n, c in sizes.items())).drop("_s")
 
 
-def passage_features(passages: DataFrame) -> DataFrame:
-    """doc_id, seq (content terms in order), full (all terms in order), dn, meta and the flags of each passage.
+def passage_features(passages: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, extra columns, seq (content terms in order), full (all terms in order), dn, meta and the flags of each passage.
 
     A passage is its heading, if the table has one, and its text; head_terms are the heading's, text_meta is of the text alone."""
     text, headed = F.coalesce("text", F.lit("")), "heading" in passages.columns
     head = F.coalesce("heading", F.lit("")) if headed else F.lit("")
     whole = F.trim(F.concat_ws(" ", head, text)) if headed else text
-    t = spread(passages.select("doc_id", "text", *(["heading"] if headed else []))).select("doc_id", whole.alias("_text"), tx.normal(whole).alias("_t"), *([tx.normal(text).alias("_own"), tx.normal(head).alias("_head")] if headed else []))
+    t = spread(passages.select("doc_id", *extra, "text", *(["heading"] if headed else []))).select("doc_id", *extra, whole.alias("_text"), tx.normal(whole).alias("_t"), *([tx.normal(text).alias("_own"), tx.normal(head).alias("_head")] if headed else []))
     none = F.array().cast("array<string>")
     own = [tx.noise(tx.full_terms(F.col("_own"))).alias("text_meta"), F.array_distinct(tx.content_terms(F.col("_head"))).alias("head_terms")] if headed else [none.alias("head_terms")]
-    t = t.select("doc_id", "_text", tx.content_terms(F.col("_t")).alias("seq"), tx.full_terms(F.col("_t")).alias("full"), *own)
+    t = t.select("doc_id", *extra, "_text", tx.content_terms(F.col("_t")).alias("seq"), tx.full_terms(F.col("_t")).alias("full"), *own)
     flag = lambda c, name: c.cast("int").alias(name)
     return t.select(
         "doc_id",
+        *extra,
         "seq",
         "full",
         "head_terms",
@@ -80,8 +85,9 @@ def passage_features(passages: DataFrame) -> DataFrame:
         *([F.col("text_meta")] if headed else [tx.noise(F.col("full")).alias("text_meta")]),
         flag(tx.has_date(F.col("_text")), "date"),
         flag(tx.has_temporal(F.col("_text")), "temporal"),
-        flag(F.col("_text").rlike(tx.YEAR_RE), "year"),
-        flag(F.col("_text").rlike(tx.MONTH_RE), "month"),
+        # A year or a month is a date.
+        flag(tx.has_date(F.col("_text")) & F.col("_text").rlike(tx.YEAR_RE), "year"),
+        flag(tx.has_date(F.col("_text")) & F.col("_text").rlike(tx.MONTH_RE), "month"),
         flag(tx.has_alias(F.col("_text")), "alias_text"),
     )
 
@@ -216,26 +222,31 @@ def lexical(questions: DataFrame, passages: DataFrame, k: int = 5) -> DataFrame:
     return top(found, "item_id", k, F.desc("score"), "doc_id")
 
 
-def hashed_embedding(documents: DataFrame, key: str = "doc_id", dimensions: int = 128) -> DataFrame:
-    """key, dim and signed count of the hashing embedding, before it is normalised."""
-    each = spread(documents.select(key, "text")).select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
-    h = F.sha2("t", 256)
-    number = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
-    signed = F.when(number(9, 2) % 2 == 0, 1).otherwise(-1)
-    # Counted in each task first, at most ``dimensions`` rows a text.
-    return each.groupBy(key, (number(1, 8) % dimensions).alias("dim")).agg(F.sum(signed).alias("weight"))
+TOKEN = re.compile("[a-z0-9]+")
+
+
+@lru_cache(maxsize=1 << 17)
+def _place(token: str, dimensions: int) -> tuple[int, int]:
+    h = hashlib.sha256(token.encode()).digest()
+    return int.from_bytes(h[:4], "big") % dimensions, 1 if h[4] % 2 == 0 else -1
+
+
+def hashed(lowered: Column, dimensions: int = 128) -> Column:
+    """The hashing embedding of a lower-cased text, as an array of unit length, or of zeros for a text without tokens. Worked out in the row, a batch at a time."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), dimensions))
+        for k, t in enumerate(texts.to_pylist()):
+            at = np.array([_place(w, dimensions) for w in TOKEN.findall(t or "")], dtype=np.int64).reshape(-1, 2)
+            out[k] = np.bincount(at[:, 0], weights=at[:, 1], minlength=dimensions)
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, dimensions, dtype=np.int32), unit(out).ravel())
+
+    return F.arrow_udf(run, "array<double>")(lowered)
 
 
 def embedded(documents: DataFrame, key: str = "doc_id", dimensions: int = 128) -> DataFrame:
-    """key and v, the hashing embedding as an array of unit length, or of zeros for a text without tokens."""
-    weights = hashed_embedding(documents, key, dimensions).filter("weight <> 0").groupBy(key)
-    lists = weights.agg(F.sort_array(F.collect_list(F.struct("dim", F.col("weight").cast("double").alias("w")))).alias("l"))
-    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(m[i], F.lit(0.0)))
-    where = tx.let(F.col("l"), lambda x: tx.let(norm(x), lambda n: F.map_from_entries(F.transform(x, lambda e: F.struct(e["dim"].cast("int"), e["w"] / n)))))
-    unit = lists.select(key, tx.let(where, dense).alias("v"))
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    return documents.select(key).join(unit, key, "left").select(key, F.coalesce("v", zero).alias("v"))
+    """key and v, the hashing embedding."""
+    return spread(documents.select(key, "text")).select(key, hashed(F.lower(F.coalesce("text", F.lit(""))), dimensions).alias("v"))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -300,13 +311,29 @@ def fuse(first: DataFrame, second: DataFrame, key: str, doc: str) -> DataFrame:
     return both.withColumn("rrf", F.round(rrf, 9))
 
 
+def longest_run(said: Column) -> Column:
+    """The longest run of question terms in a text's terms, 0 if there is none of two. A run can be there only if the two one shorter in it are."""
+
+    def longer(n: int, shorter: Column) -> Column:
+        """n, or more, if a run of n is there; shorter: which of those of n - 1 are."""
+        there = F.transform(F.col("q_grams")[n - 2], lambda g, i: F.get(shorter, i) & F.get(shorter, i + 1) & F.contains(said, g))
+        more = lambda own: F.when(F.exists(own, lambda x: x), F.lit(n) if n == 5 else F.greatest(F.lit(n), longer(n + 1, own))).otherwise(0)
+        return tx.let(there, more)
+
+    two = F.transform(F.col("q_grams")[0], lambda g: F.contains(said, g))
+    return tx.let(two, lambda own: F.when(F.exists(own, lambda x: x), F.greatest(F.lit(2), longer(3, own))).otherwise(0))
+
+
+def whole_question(said: Column) -> Column:
+    return F.when((F.col("q_full") != "") & F.contains(said, F.col("q_full")), 1).otherwise(0)
+
+
 def pair_features(pairs: DataFrame, questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """pairs (item_id, doc_id, ...) with all features of both sides and COUNTS, for a few pairs a question."""
-    ids = pairs.select("doc_id").distinct()
-    own = passage_features(passages.join(small_side(ids, 32), "doc_id", "left_semi"))
-    both = pairs.join(own, "doc_id").join(question_features(questions), "item_id")
-    has = lambda joined, grams: F.exists(grams, lambda g: F.contains(joined, g))
-    run = tx.let(F.array_join("seq", " "), lambda joined: F.coalesce(*(F.when(has(joined, F.col("q_grams")[n - 2]), n) for n in (5, 4, 3, 2)), F.lit(0)))
+    """pairs (item_id, doc_id, ...) with all features of both sides and COUNTS, for a few pairs a question. questions and passages: as they are, or their features."""
+    ids = small_side(pairs.select("doc_id").distinct(), 32)
+    some = passages.join(ids, "doc_id", "left_semi")
+    own = some if "seq" in passages.columns else passage_features(some)
+    both = pairs.join(own, "doc_id").join(questions if "q_terms" in questions.columns else question_features(questions), "item_id")
     met = lambda a, b: F.size(F.array_intersect(a, b))
     return both.withColumns({
         "n": met("seq", "q_terms"),
@@ -315,8 +342,8 @@ def pair_features(pairs: DataFrame, questions: DataFrame, passages: DataFrame) -
         "np": met(tx.pairs(F.col("seq")), "q_pairs"),
         "ns": met("full", "q_subjects"),
         "nh": met("head_terms", "q_terms"),
-        "run": run,
-        "phrase": F.when((F.col("q_full") != "") & F.contains(F.array_join("full", " "), F.col("q_full")), 1).otherwise(0),
+        "run": tx.let(F.array_join("seq", " "), longest_run),
+        "phrase": whole_question(F.array_join("full", " ")),
     })
 
 

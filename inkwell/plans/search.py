@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions import text as tx
-from ..operators import retrieval, scores
+from ..operators import postings, retrieval, scores
 from ..sources.scratch import spread
 from .registry import FLAGSHIP, query
 
@@ -68,6 +68,9 @@ INTS = {"rank", "fused_rank", "dense_rank", "lexical_rank"}
 query(FLAGSHIP, f"WITH {LEXICAL} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM ({ranked('(SELECT * FROM lexical WHERE score > 0)', K, 'score DESC, doc_id')})", "benchmark", "documents")(
     lambda b, d: retrieval.lexical(b, d, K).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 )
+query("jn02_inverted_index", f"WITH {LEXICAL} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM ({ranked('(SELECT * FROM lexical WHERE score > 0)', K, 'score DESC, doc_id')})", "benchmark", "documents")(
+    lambda b, d: postings.lexical(b, postings.index(d), K).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+)
 columns("jn03_fused_lists", f"{LISTS} FROM u", lambda b, d: retrieval.fuse(retrieval.dense(retrieval.embedded(d), retrieval.embedded(b, "item_id"), "doc_id", "item_id", LIMIT), retrieval.lexical(b, d, LIMIT), "item_id", "doc_id"), ["dense_rank", "lexical_rank", "dense_score", "lexical_score"])
 for name, wanted in {"vc07_rarity": ["rarity"], "vc08_focus": ["focus"], "vc09_intent": ["intent", "penalty"], "so02_candidate_union": ["dense_score", "lexical_score"], "ag03_max_normalised": ["hybrid"]}.items():
     columns(name, f"{CANDIDATES} FROM cand", retrieval.candidates, wanted)

@@ -55,6 +55,16 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return saved_at(df, name, codec)[0]
 
 
+def saved_by(df: DataFrame, name: str, key: str, parts: int = 0, codec: str = "zstd") -> DataFrame:
+    """As saved(), in buckets of a key: what is then joined or grouped by it, whatever else it is grouped by, is not exchanged again."""
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{_open[-1] if _open else f'{shared_dir(spark)}/inkwell'}/{table}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("compression", codec).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where it comes in fewer partitions than there are: a small file of one row group, say. An input
     of many partitions is left as it is, so a large one is not exchanged."""
