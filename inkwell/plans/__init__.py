@@ -10,3 +10,4 @@ from . import replies  # noqa: F401, E402, I001
 from . import citations  # noqa: F401, E402, I001
 from . import verdicts  # noqa: F401, E402, I001
 from . import asking  # noqa: F401, E402, I001
+from . import benchmarking  # noqa: F401, E402, I001
