@@ -67,6 +67,7 @@ def spans_sql(units: str) -> str:
 def excerpt(text: Column) -> Column:
     """An excerpt as it is shown: single blanks, none within %, ( and ), one after $, no separators at the ends."""
     t = tx.collapse(text)
+    # The patterns of an excerpt's blanks.
     for pattern, by in ((r"\$\s+", r"\$ "), (r"\s+%", "%"), (r"\(\s+", "("), (r"\s+\)", ")"), (r"^[ ,;:]+|[ ,;:]+$", "")):
         t = F.regexp_replace(t, pattern, by)
     return t

@@ -12,7 +12,7 @@ from ..functions.dialect import CAUSES
 from . import evidence
 
 LEAST = 0.2
-#: What a sentence that explains the one before it says: a cause, and what it refers to.
+# What a sentence that explains the one before it says, a cause and what it refers to.
 FOLLOWS = ["reflects", "because", "due to", "driven", "resulted", "as a result"]
 REFERS = ["this ", "these ", "the increase", "increase ", "primarily"]
 KEYS = ["exact", "nc", "na", "facet", "added", "later", "ctx", "short", "turn_", "span_"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Settings
 from ..functions import text as tx
 from ..sources.scratch import saved, spread
 from . import scores
@@ -302,12 +304,12 @@ def unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def fuse(first: DataFrame, second: DataFrame, key: str, doc: str) -> DataFrame:
+def fuse(first: DataFrame, second: DataFrame, key: str, doc: str, settings: Settings = scores.DEFAULTS) -> DataFrame:
     """key, doc, both ranks and scores, and rrf: weighted reciprocal ranks. A list that lacks a document adds nothing."""
     a = first.select(key, doc, F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
     b = second.select(key, doc, F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score"))
     both = a.join(b, [key, doc], "full_outer").fillna(0.0, ["dense_score", "lexical_score"])
-    rrf = F.expr(f"{scores.reciprocal('dense_rank', scores.DENSE_WEIGHT)} + {scores.reciprocal('lexical_rank', scores.LEXICAL_WEIGHT)}")
+    rrf = F.expr(f"{scores.reciprocal('dense_rank', settings.dense_weight, settings.rrf_k)} + {scores.reciprocal('lexical_rank', settings.lexical_weight, settings.rrf_k)}")
     return both.withColumn("rrf", F.round(rrf, 9))
 
 
@@ -357,52 +359,66 @@ def rarity(pairs: DataFrame) -> DataFrame:
     return pairs.join(rare, ["item_id", "doc_id"], "left").fillna(0.0, ["rarity"])
 
 
-def first_lists(questions: DataFrame, passages: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The best of each question by dense and by lexical search.
+#: What may be chosen by name: embeddings (documents, key, dimensions -> key and v), and rerankers (pairs with all features
+#: of question and text -> the same with rerank). A name that is not here is an error when the plan is made.
+EMBEDDINGS: dict[str, Callable[[DataFrame, str, int], DataFrame]] = {"hashing": embedded}
+RERANKERS: dict[str, Callable[[DataFrame], DataFrame]] = {"token_overlap": lambda pairs: scored(pairs, rerank=scores.RERANK)}
+
+
+def named(table: dict, name: str):
+    if name not in table:
+        raise ValueError(f"unknown provider {name}, known are {', '.join(sorted(table))}")
+    return table[name]
+
+
+def first_lists(questions: DataFrame, passages: DataFrame, limit: int, settings: Settings = scores.DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """The best of each question by dense and by lexical search; none by lexical search if settings turn it off.
 
     Questions with a document_id (a column they may have, as passages) look at that document alone: its passages are
     joined by it, so where passages are laid out by document only those of such documents are read."""
+    embed = lambda df, key: named(EMBEDDINGS, settings.embedding_provider)(df, key, settings.embedding_dimensions)
+    words = lambda q: lexical(q, passages, limit) if settings.enable_lexical else q.sparkSession.createDataFrame([], f"item_id {q.schema['item_id'].dataType.simpleString()}, doc_id {passages.schema['doc_id'].dataType.simpleString()}, score double, rank int")
+    near = lambda q: dense(embed(passages, "doc_id"), embed(q, "item_id"), "doc_id", "item_id", limit)
     if "document_id" not in questions.columns:
-        return dense(embedded(passages), embedded(questions, "item_id"), "doc_id", "item_id", limit), lexical(questions, passages, limit)
+        return near(questions), words(questions)
     free, bound = questions.filter("document_id IS NULL"), questions.filter("document_id IS NOT NULL")
     own = passages.join(small_side(bound.select("document_id").distinct(), 64), "document_id", "left_semi")
     pairs = saved(own.select("doc_id", "document_id").join(bound.select("item_id", "document_id"), "document_id").drop("document_id"), "scoped")
-    near = pairs.join(embedded(own).withColumnRenamed("v", "a"), "doc_id").join(embedded(bound, "item_id").withColumnRenamed("v", "b"), "item_id")
-    near = near.select("item_id", "doc_id", F.round(cosine("a", "b"), 9).alias("score"))
-    said = scored(pair_features(pairs, bound, own), score=scores.LEXICAL).filter("score > 0").select("item_id", "doc_id", "score")
-    best = lambda df: top(df, "item_id", limit, F.desc("score"), "doc_id")
-    return (
-        dense(embedded(passages), embedded(free, "item_id"), "doc_id", "item_id", limit).unionByName(best(near)),
-        lexical(free, passages, limit).unionByName(best(said)),
-    )
+    both = pairs.join(embed(own, "doc_id").withColumnRenamed("v", "a"), "doc_id").join(embed(bound, "item_id").withColumnRenamed("v", "b"), "item_id")
+    best = lambda df: top(df.select("item_id", "doc_id", "score"), "item_id", limit, F.desc("score"), "doc_id")
+    first = near(free).unionByName(best(both.withColumn("score", F.round(cosine("a", "b"), 9))))
+    if not settings.enable_lexical:
+        return first, words(free)
+    return first, words(free).unionByName(best(scored(pair_features(pairs, bound, own), score=scores.LEXICAL).filter("score > 0")))
 
 
-def candidates(questions: DataFrame, passages: DataFrame, limit: int = 20) -> DataFrame:
+def candidates(questions: DataFrame, passages: DataFrame, limit: int = 20, settings: Settings = scores.DEFAULTS) -> DataFrame:
     """Features, scores, ranks and rarity of all that dense or lexical search finds, and hybrid: the fused score, 1 for the best of each question."""
     # A few rows a question, used several times from here on.
-    both = saved(fuse(*first_lists(questions, passages, limit), "item_id", "doc_id"), "fused")
+    both = saved(fuse(*first_lists(questions, passages, limit, settings), "item_id", "doc_id", settings), "fused")
     asked = questions.filter(tx.collapse(F.coalesce("text", F.lit(""))) != "").select("item_id")
     pairs = rarity(saved(pair_features(both.join(asked, "item_id", "left_semi"), questions, passages), "pairs"))
-    full = scored(pairs, specificity=f"least(1.0, {scores.LEXICAL})", focus=scores.FOCUS, intent=scores.INTENT, penalty=scores.PENALTY, fused=scores.FUSED)
+    full = scored(pairs, specificity=f"least(1.0, {scores.LEXICAL})", focus=scores.FOCUS, intent=scores.INTENT, penalty=scores.PENALTY, fused=scores.fused(settings))
     best = F.max("fused").over(Window.partitionBy("item_id"))
     return full.withColumn("hybrid", F.round(F.when(best > 0, F.col("fused") / best).otherwise(0.0), 9))
 
 
-def fused(questions: DataFrame, passages: DataFrame, limit: int = 20) -> DataFrame:
+def fused(questions: DataFrame, passages: DataFrame, limit: int = 20, settings: Settings = scores.DEFAULTS) -> DataFrame:
     """The best candidates of each question by the fused score, with their rank."""
-    return top(candidates(questions, passages, limit), "item_id", limit, F.desc("hybrid"), F.desc("lexical_score"), F.desc("dense_score"), "doc_id")
+    return top(candidates(questions, passages, limit, settings), "item_id", limit, F.desc("hybrid"), F.desc("lexical_score"), F.desc("dense_score"), "doc_id")
 
 
-def search(questions: DataFrame, passages: DataFrame, k: int = 5, multiplier: int = 4) -> DataFrame:
+def search(questions: DataFrame, passages: DataFrame, k: int = 5, settings: Settings = scores.DEFAULTS) -> DataFrame:
     """The best k passages of each question: fused candidates by the reranked score, with all their scores. A blank question finds nothing."""
-    found = fused(questions, passages, max(k, k * multiplier)).withColumnRenamed("rank", "fused_rank")
+    rate = named(RERANKERS, settings.reranker)
+    found = fused(questions, passages, max(k, k * settings.candidate_multiplier), settings).withColumnRenamed("rank", "fused_rank")
     if "heading" in passages.columns:  # the reranker reads the text alone
         found = saved(found, "found")
-        alone = scored(pair_features(found.select("item_id", "doc_id"), questions, passages.drop("heading")), rerank=scores.RERANK)
+        alone = rate(pair_features(found.select("item_id", "doc_id"), questions, passages.drop("heading")))
         last = found.join(alone.select("item_id", "doc_id", "rerank"), ["item_id", "doc_id"])
     else:
-        last = scored(found.drop("alias", "head"), rerank=scores.RERANK)
-    last = last.withColumn("score", F.round(F.expr(scores.FINAL), 9))
+        last = rate(found.drop("alias", "head"))
+    last = last.withColumn("score", F.round(F.expr(scores.final(settings)), 9))
     return top(last, "item_id", k, *map(F.desc, ("score", "rerank", "hybrid", "lexical_score", "dense_score")), "doc_id")
 
 

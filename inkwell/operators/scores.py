@@ -10,6 +10,8 @@ is_when, is_nick: kinds of question; qs, ns: named subjects and those it has.
 
 from __future__ import annotations
 
+from ..config import Settings
+
 
 def share(a: str, b: str) -> str:
     return f"(CASE WHEN {b} > 0 THEN {a} / CAST({b} AS DOUBLE) ELSE 0.0 END)"
@@ -49,17 +51,24 @@ RERANK = f"""(CASE WHEN dn = 0 THEN 0.0 ELSE
   0.4 * {share('n', 'qn')} + 0.1 * {share('n', 'dn')} + 0.22 * {share('na', 'qa')} + 0.05 * {share('na', 'dn')}
   + 0.23 * {share('nc', 'qc')} + 0.05 * {share('nc', 'dn')} + {PAIR} + 0.15 * phrase + {intent(0.22, 0.05, 0.45, 0.5)} - {PENALTY} END)"""
 
-K, DENSE_WEIGHT, LEXICAL_WEIGHT, RERANK_WEIGHT = 20, 0.6, 0.4, 0.65
+DEFAULTS = Settings()
+K, DENSE_WEIGHT, LEXICAL_WEIGHT = DEFAULTS.rrf_k, DEFAULTS.dense_weight, DEFAULTS.lexical_weight
 
 
-def reciprocal(rank: str, weight: float) -> str:
-    return f"coalesce(CAST({weight} AS DOUBLE) / ({K} + {rank}), CAST(0.0 AS DOUBLE))"
+def reciprocal(rank: str, weight: float, k: int = K) -> str:
+    return f"coalesce(CAST({weight} AS DOUBLE) / ({k} + {rank}), CAST(0.0 AS DOUBLE))"
 
 
-#: Fused score before it is divided by the question's largest; rarity: see retrieval.rarity.
-FUSED = f"""greatest(0.0, {reciprocal('dense_rank', DENSE_WEIGHT)} + {reciprocal('lexical_rank', LEXICAL_WEIGHT)}
+def fused(s: Settings = DEFAULTS) -> str:
+    """Fused score before it is divided by the question's largest; rarity: see retrieval.rarity."""
+    return f"""greatest(0.0, {reciprocal('dense_rank', s.dense_weight, s.rrf_k)} + {reciprocal('lexical_rank', s.lexical_weight, s.rrf_k)}
   + 0.3 * least(1.0, {LEXICAL}) + 0.28 * {FOCUS} + 0.25 * rarity + {run_bonus(0.2)} - {PENALTY} - 0.3 * text_meta)"""
 
-#: The last score. What the penalty would take off can't lower it: it is only another lower bound.
-FINAL = f"""greatest(0.0, {1 - RERANK_WEIGHT:.2f} * hybrid + {RERANK_WEIGHT} * rerank
+
+def final(s: Settings = DEFAULTS) -> str:
+    """The last score. What the penalty would take off can't lower it: it is only another lower bound."""
+    return f"""greatest(0.0, {round(1 - s.rerank_weight, 9)} * hybrid + {s.rerank_weight} * rerank
   + 0.18 * least(1.0, {LEXICAL}) + 0.24 * {FOCUS} + 0.22 * {INTENT} + {run_bonus(0.16)} - 0.25 * text_meta, -{PENALTY})"""
+
+
+FUSED, FINAL = fused(), final()

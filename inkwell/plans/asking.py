@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Settings
 from ..functions import sentences as st
 from ..functions import text as tx
 from ..functions.dialect import SPARK, prompt_measures
-from ..operators import answers, chunks, retrieval
-from ..sources.scratch import saved
+from ..operators import answers, chunks, retrieval, scores
+from ..sources.scratch import saved, tidied
 from . import verdicts
 from .citations import excerpts, merged, ranked, supported, worded
 from .evidence import USEFUL, WEAK, Given, chosen, exprs, measured, prompts, rated
@@ -165,8 +166,12 @@ def gate(asked: Given, claims: DataFrame, citations: DataFrame, weight: float) -
     return verdicts.gated(asked, said.join(held, "item_id"), weight)
 
 
-def ask(questions: DataFrame, parts: DataFrame, k: int = 5) -> Asked:
-    """Answers each of questions (item_id, text, maybe document_id) from parts (chunks of ready documents).
+#: Answers by name: (asked, contexts) -> question, answer, main.
+ANSWERERS = {"extractive": replied}
+
+
+def ask(questions: DataFrame, parts: DataFrame, k: int = 5, settings: Settings = scores.DEFAULTS) -> Asked:
+    """Answers each of questions (item_id, text, maybe document_id) from parts (chunks of ready documents), as settings say.
 
     answers: item_id, route, outcome, mode, answer, supported, confidence, support, coverage, n_hits, n_expanded, n_assembled,
     citations and claims. outcome tells the stage that decided: route, answer or gate (refused), accepted, repaired."""
@@ -174,8 +179,8 @@ def ask(questions: DataFrame, parts: DataFrame, k: int = 5) -> Asked:
     plain = questions.select("item_id", tx.collapse(F.coalesce("text", F.lit(""))).alias("text"), *(["document_id"] if "document_id" in questions.columns else []))
     plain = saved(plain, "asked")
     asked = Given(plain.select("item_id", "text"))
-    scores = ["dense_score", "lexical_score", "hybrid", "rerank", "score"]
-    found = retrieval.search(plain, p, k).select("item_id", "doc_id", "rank", *scores)
+    reply = retrieval.named(ANSWERERS, settings.answer_provider)
+    found = retrieval.search(plain, p, k, settings).select("item_id", "doc_id", "rank", "dense_score", "lexical_score", "hybrid", "rerank", "score")
     hits = saved(found.join(p, "doc_id"), "hits")
     expanded = saved(expand(plain, hits, p), "expanded")
     every = given(expanded)
@@ -187,7 +192,7 @@ def ask(questions: DataFrame, parts: DataFrame, k: int = 5) -> Asked:
     routed = saved(plain.select("item_id", "text").join(facts, "item_id", "left").select("item_id", "text", F.when(F.coalesce("weak", F.lit(True)), "unsupported").otherwise("extractive").alias("route")), "routed")
     open_ = Given(routed.filter("route = 'extractive'").select("item_id", "text"))
     mine = Given(every.rows.join(open_.rows.select("item_id"), "item_id", "left_semi"))
-    told = saved(replied(open_, mine).select(F.col("question").alias("item_id"), "answer", "main"), "told")
+    told = saved(reply(open_, mine).select(F.col("question").alias("item_id"), "answer", "main"), "told")
     claims = saved(units(told), "units")
     citations = saved(cite(open_, mine, claims), "cited")
     judged = saved(verify(open_, mine, citations, claims), "judged")
@@ -262,4 +267,4 @@ def gr17_answers(spark, sf_dir: str) -> DataFrame:
     return ask(prompts(b), parts).answers
 
 
-QUERIES["gr17_answers"] = gr17_answers
+QUERIES["gr17_answers"] = lambda spark, sf_dir: tidied(spark, "gr17_answers", lambda: gr17_answers(spark, sf_dir))

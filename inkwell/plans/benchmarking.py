@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..operators import chunks, evaluation
 from ..sources import benchmarks
-from ..sources.scratch import saved
+from ..sources.scratch import saved, tidied
 from . import asking
 from .registry import QUERIES
 
@@ -145,4 +145,4 @@ def gr18_preset_sweep(spark, sf_dir: str) -> DataFrame:
     return run(questions, pages).summaries.drop("place", *evaluation.LATENCY)
 
 
-QUERIES["gr18_preset_sweep"] = gr18_preset_sweep
+QUERIES["gr18_preset_sweep"] = lambda spark, sf_dir: tidied(spark, "gr18_preset_sweep", lambda: gr18_preset_sweep(spark, sf_dir))

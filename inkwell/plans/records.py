@@ -151,13 +151,13 @@ def _(s):
 
 
 # Pages with headers and footers: the turns of a conversation under the same lines.
-PAGES = "sheets AS (SELECT conv_id % 20 AS document_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS page_number, 'Volume ' || (conv_id % 20) || chr(10) || 'Harbour Notes' || chr(10) || text || chr(10) || 'Page ' || (turn + 1) AS raw_text FROM conversations)"
+PAGES = "sheets AS (SELECT conv_id AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_number, 'Volume ' || conv_id || chr(10) || 'Harbour Notes' || chr(10) || text || chr(10) || 'Page ' || (turn + 1) AS raw_text FROM conversations)"
 
 
 def sheets(c: DataFrame) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(F.col("conv_id") % 20).orderBy("conv_id", "turn"))
-    text = F.concat(F.lit("Volume "), (F.col("conv_id") % 20).cast("string"), F.lit("\nHarbour Notes\n"), "text", F.lit("\nPage "), (F.col("turn") + 1).cast("string"))
-    return c.select((F.col("conv_id") % 20).alias("document_id"), n.alias("page_number"), text.alias("raw_text"))
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    text = F.concat(F.lit("Volume "), F.col("conv_id").cast("string"), F.lit("\nHarbour Notes\n"), "text", F.lit("\nPage "), (F.col("turn") + 1).cast("string"))
+    return c.select(F.col("conv_id").alias("document_id"), n.alias("page_number"), text.alias("raw_text"))
 
 
 SIGNED = r"CASE WHEN f = '' OR length(f) > 90 OR len(string_split(f, ' ')) > 12 OR regexp_matches(f, '^\p{Ll}') OR (regexp_matches(f, '[.!?]$') AND len(string_split(f, ' ')) >= 5) THEN NULL ELSE trim(regexp_replace(regexp_replace(regexp_replace(lower(f), '[0-9]', '#', 'g'), '[^a-z0-9# ]', ' ', 'g'), ' +', ' ', 'g')) END"

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import sql
 from ..functions import text as tx
-from ..sources.scratch import spread
+from ..sources.scratch import spread, tidied
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,7 +21,7 @@ def query(name: str, oracle: str, *tables: str):
     """Registers f(table, ...) under the name."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+        QUERIES[name] = lambda spark, sf_dir: tidied(spark, name, lambda: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables)))
         ORACLE_SQL[name] = oracle
         return f
 

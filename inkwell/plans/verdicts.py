@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import DUCK, SPARK, VALUE, prompt_measures
 from ..operators import chunks, evidence
-from ..sources.scratch import saved
+from ..sources.scratch import saved, tidied
 from .citations import CLAIMS, cited, verified
 from .evidence import RANKED as CHOSEN
 from .evidence import chosen, exprs, facets, listed, prompts
@@ -148,7 +148,7 @@ def _(b, c):
 # What has no SQL: folds over pages and contexts; held by tests against the same by hand.
 def rows_only(name: str, *tables: str):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+        QUERIES[name] = lambda spark, sf_dir: tidied(spark, name, lambda: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables)))
         return f
 
     return add

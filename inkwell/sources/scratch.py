@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of the scratch() blocks that are open, the innermost last.
+#: Folders of the scratch() blocks that are open, the innermost last, and the tables that each has registered.
 _open: list[str] = []
+_tables: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,23 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        remove(spark, _open.pop())
+        folder = _open.pop()
+        for table in _tables.pop(folder, []):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, folder)
+
+
+def tidied(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives. If it saves tables on the way, its rows are written and those tables go; else it is left as it is."""
+    outer = _open[-1] if _open else f"{shared_dir(spark)}/inkwell"
+    with scratch(spark):
+        df = make()
+        path = spark._jvm.org.apache.hadoop.fs.Path(_open[-1])
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return df
+        kept = f"{outer}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(kept)
+    return spark.read.schema(df.schema).parquet(kept)
 
 
 def saved_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -61,6 +79,8 @@ def saved_by(df: DataFrame, name: str, key: str, parts: int = 0, codec: str = "z
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{_open[-1] if _open else f'{shared_dir(spark)}/inkwell'}/{table}"
+    if _open:
+        _tables.setdefault(_open[-1], []).append(table)
     df.repartition(parts, key).write.bucketBy(parts, key).option("compression", codec).option("path", path).saveAsTable(table)
     return spark.table(table)
 
