@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions import text as tx
-from ..operators import postings, retrieval, scores
-from ..sources.scratch import spread
-from .registry import FLAGSHIP, query
+from ..operators import cells, postings, retrieval, scores
+from ..sources.scratch import spread, tidied
+from .registry import FLAGSHIP, QUERIES, query
 
 LIMIT, K = 20, 5
 
@@ -141,6 +141,16 @@ def _(v):
     return retrieval.dense(vectors, queries, "vec_id", "query_id", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def wn01_cells_topk(spark, sf_dir: str) -> DataFrame:
+    """As wn01_dense_topk, in the cells nearest to each query; the exact search is the measure of what it finds."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
+    found = cells.search(cells.build(vectors, "vec_id"), vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), "query_id")
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+QUERIES["wn01_cells_topk"] = lambda spark, sf_dir: tidied(spark, "wn01_cells_topk", lambda: wn01_cells_topk(spark, sf_dir))
+
+
 @query("flt01_usable_vectors", "SELECT doc_id FROM documents JOIN embeddings ON vec_id = doc_id LEFT JOIN labels USING (doc_id) WHERE embedding IS NOT NULL AND len(embedding) = 64 AND coalesce(toxic, 0) = 0", "documents", "embeddings", "labels")
 def _(d, v, lab):
     """Vectors of the right dimension whose document is ready (here: not rated toxic)."""

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders of the scratch() blocks that are open, the innermost last, and the tables that each has registered.
 _open: list[str] = []
@@ -85,6 +86,15 @@ def saved_by(df: DataFrame, name: str, key: str, parts: int = 0, codec: str = "z
     return spark.table(table)
 
 
+def saved_under(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As saved(), with a folder for each value of a column, so that a filter on it reads those folders only."""
+    spark = df.sparkSession
+    path = f"{_open[-1] if _open else f'{shared_dir(spark)}/inkwell'}/{name}-{uuid.uuid4().hex}"
+    # Salted, so that a value that most rows have is written by several tasks.
+    df.repartition(column, (F.rand(1) * 4).cast("int")).write.partitionBy(column).option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where it comes in fewer partitions than there are: a small file of one row group, say. An input
     of many partitions is left as it is, so a large one is not exchanged."""
