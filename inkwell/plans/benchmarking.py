@@ -42,7 +42,7 @@ def cases(definitions: DataFrame) -> DataFrame:
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
     texts = F.filter(F.transform(none(F.col("expected_citation_text_contains"), "string"), F.trim), lambda t: t != "")
     return q.select(
-        F.row_number().over(Window.orderBy("benchmark", "filename", "question")).cast("long").alias("number"),  # a definition's questions are a short list
+        F.row_number().over(Window.orderBy("benchmark", "document_place", "question_place")).cast("long").alias("number"),  # a definition's questions are a short list
         F.col("filename").alias("document"),
         "question",
         F.col("regression_tier").alias("tier"),
@@ -50,7 +50,7 @@ def cases(definitions: DataFrame) -> DataFrame:
         none(F.col("expected_answer_contains"), "string").alias("answer_terms"),
         none(F.col("expected_citation_pages"), "int").alias("expected_pages"),
         texts.alias("expected_texts"),
-        F.coalesce("citation_match_mode", F.lit("any")).alias("page_mode"),
+        F.coalesce("citation_match_mode", F.lit("any")).alias("page_mode"),  # a null mode is not "all"
         F.coalesce("citation_text_match_mode", F.when(F.size(texts) > 1, "all").otherwise("any")).alias("text_mode"),
     )
 

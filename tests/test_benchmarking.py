@@ -87,3 +87,21 @@ def test_quality_comes_before_latency(spark):
     best = lambda rows: evaluation.best(spark.createDataFrame(rows, schema), "preset", "place").first().preset
     assert best([row("small", 0, 1.0, 120.0), row("default", 1, 1.0, 100.0), row("large", 2, 0.9, 90.0)]) == "default"
     assert best([row("small", 0, 1.0, 100.0), row("default", 1, 1.0, 100.0)]) == "small"
+
+
+def test_options_by_presence(spark, tmp_path):
+    """A null that is there wins over a default further out, and is no tier."""
+    q = {"question": "Why?", "expected_supported": True}
+    made = {"name": "n", "defaults": {"regression_tier": " Exploratory "}, "documents": [{"filename": "f", "pages": ["one"], "questions": [q, q | {"regression_tier": "gating"}]}, {"filename": "g", "pages": ["x"], "defaults": {"regression_tier": "gating"}, "questions": [q | {"citation_match_mode": None, "expected_citation_pages": [2, 3]}]}]}
+
+    def read(name):
+        (tmp_path / name).write_text(json.dumps(made))
+        return benchmarks.questions(benchmarks.read(spark, str(tmp_path / name)))
+
+    got = read("a").orderBy("document_place", "question_place").collect()
+    assert [(r.filename, r.regression_tier, r.citation_match_mode) for r in got] == [("f", "exploratory", "any"), ("f", "gating", "any"), ("g", "gating", None)]
+    assert (got[2].expected_citation_pages, got[0].expected_citation_pages, got[0].citation_text_match_mode) == ([2, 3], None, None)
+    assert [(r.number, r.document, r.page_mode, r.text_mode) for r in benchmarking.cases(benchmarks.read(spark, str(tmp_path / "a"))).orderBy("number").collect()] == [(1, "f", "any", "any"), (2, "f", "any", "any"), (3, "g", "any", "any")]
+    made["documents"][1]["questions"][0]["regression_tier"] = None
+    with pytest.raises(Exception, match="unknown tier: null"):
+        read("b").collect()
