@@ -48,7 +48,10 @@ def scratch(spark: SparkSession):
 
 def tidied(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What make() gives. If it saves tables on the way, its rows are written and those tables go; else it is left as it is."""
-    outer = _open[-1] if _open else f"{shared_dir(spark)}/inkwell"
+    try:
+        outer = _open[-1] if _open else f"{shared_dir(spark)}/inkwell"
+    except ValueError:  # no shared folder: only what saves nothing can be made
+        return make()
     with scratch(spark):
         df = make()
         path = spark._jvm.org.apache.hadoop.fs.Path(_open[-1])
