@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fragments that a worker keeps, and the longest one it keeps.
-CACHE, LONGEST = 400_000, 200
+CACHE, LONGEST = 100_000, 200
 
 
 def default_vocabulary() -> str:
@@ -96,6 +96,11 @@ def merge_ranks(path: str) -> tuple[dict[bytes, int], list[int]]:
     return ranks, [model["vocab"][token] for token in order]
 
 
+def special_tokens(path: str) -> list[bytes]:
+    with open(path, encoding="utf-8") as f:
+        return [t["content"].encode() for t in json.load(f)["added_tokens"]]
+
+
 class Fragments(dict):
     """Ids of fragments as little-endian int32 bytes, worked out when first asked for."""
 
@@ -103,16 +108,22 @@ class Fragments(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         ranks, ids = merge_ranks(path)
         self.ids = [int(i).to_bytes(4, "little") for i in ids]
         quick = tiktoken.Encoding("fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece, self.quick = quick._core_bpe.encode_single_piece, quick.encode_ordinary
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.path, self.special = path, special_tokens(path)
+
+    @cached_property
+    def model(self):
+        """The library's tokenizer, held by workers that meet a special token only."""
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(self.path)
+        model.no_truncation()
+        model.no_padding()
+        return model
 
     def __missing__(self, fragment: bytes) -> bytes:
         text = fragment.decode()
@@ -133,6 +144,7 @@ class Encoder:
     def __init__(self, path: str):
         self.cuts = cut_table(path)
         self.known = Fragments(path)
+        merge_ranks.cache_clear()  # tiktoken holds them from here on
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         of = self.known.__getitem__
