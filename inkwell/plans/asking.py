@@ -86,6 +86,7 @@ def pack(asked: Given, held: Given, budget: int = 1400) -> DataFrame:
     apart = F.dense_rank().over(Window.partitionBy("item_id").orderBy("document_id")).cast("long") * 1_000_000
     raw = F.regexp_extract_all(F.lower("t_text"), F.lit("[a-z0-9]+"), F.lit(0))
     some = some.select("item_id", "doc_id", "turn", (apart + F.col("page_start")).alias("page_start"), (apart + F.col("page_end")).alias("page_end"), "rank", F.array_distinct("seq").alias("terms"), "q_terms", tokens.alias("cost"), raw.alias("raw"))
+    some = saved(some, "chosen")
     return chunks.assemble(some, "item_id", budget).select("item_id", "doc_id")
 
 

@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions.dialect import CAUSES, DUCK
 from ..operators import answers, evidence, retrieval, scores
 from ..sources.scratch import saved
-from .evidence import FACET_TABLE, SPANS, contexts, facets, measured, measured_sql, prompts, spans
+from .evidence import FACET_TABLE, SPANS, contexts, facets, measured, measured_sql, placed, prompts, spans
 from .registry import query
 
 NC, NA, N = (scores.share(a, b) for a, b in (("nc", "qc"), ("na", "qa"), ("n", "qn")))
@@ -126,7 +126,7 @@ def excerpts(b: DataFrame, c: DataFrame, own: DataFrame | None = None) -> DataFr
 
     place = F.array_position(F.transform("l", lambda x: x["text"]), F.col("b.t_text")).cast("int") - 1
     trimmed = lists.select("unit", "context_id", F.when((F.col("b.u_n") > 0) | (F.col("b.u_phrase") == 1), tx.let(place, cut)).alias("cut"))
-    held = contexts(b, c).select(F.col("doc_id").alias("context_id"), "turn", "page_start", "page_end", F.col("t_text").alias("whole"))
+    held = placed(b, c).select(F.col("doc_id").alias("context_id"), "turn", "page_start", "page_end", F.col("t_text").alias("whole"))
     x = best.join(trimmed, ["unit", "context_id"], "left").join(held, "context_id")
     text = F.when(F.col("u_n") == 0, F.col("whole")).otherwise(st.excerpt(F.coalesce("cut", "t_text")))
     rows = x.select((F.col("unit") * 1000000000 + F.col("context_id")).alias("doc_id"), *CLAIM, "item_id", "context_id", "ctx", "page_start", "page_end", "turn", text.alias("text"))

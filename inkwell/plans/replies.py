@@ -45,8 +45,8 @@ def candidates(b: DataFrame, c: DataFrame) -> DataFrame:
 
 def facet_pairs(b: DataFrame, some: DataFrame) -> DataFrame:
     """Measured pairs of the facets of each question with some of its candidates."""
-    parts = facets(b).select("item_id", "question", "no", F.col("q_text").alias("text"))
-    pairs = some.join(parts.select("item_id", "question", "no"), "question")
+    parts = saved(facets(b).select("item_id", "question", "no", F.col("q_text").alias("text")), "facets")
+    pairs = saved(some.join(parts.select("item_id", "question", "no"), "question"), "pairs")
     texts = some.select("doc_id", F.col("t_text").alias("text")).dropDuplicates(["doc_id"])
     return measured(retrieval.scored(retrieval.pair_features(pairs, parts.select("item_id", "text"), texts)))
 
