@@ -1,4 +1,4 @@
-"""Lexical search by an inverted index: the terms of passages joined with those of questions, with bounds, and no Python.
+"""Lexical search by an inverted index: the terms of passages joined with those of questions, with bounds, and no Python but for the index.
 
 Texts are read once, into an index: a row for each passage with its terms, pairs and measures, in buckets of its number,
 so that what is counted for a passage needs no exchange. The work follows the matches, not questions by passages, and
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..sources.scratch import saved, saved_by, spread
 from . import scores
-from .retrieval import BROADCAST_BYTES, QUESTION, longest_run, pair_features, passage_features, question_features, scored, small_side, top, whole_question
+from .retrieval import BROADCAST_BYTES, FLAGS, QUESTION, flagged, listed, longest_run, pair_features, question_features, scored, small_side, top, whole_question
 
 
 @dataclass(frozen=True)
@@ -33,12 +33,18 @@ class Index:
 
 def index(passages: DataFrame) -> Index:
     """The index of passages (doc_id, text, maybe heading)."""
-    features = passage_features(spread(passages).withColumn("row", F.monotonically_increasing_id()), "row")
-    # Worked out once for each row: what a generator gives isn't worked out again for each column that reads it.
-    lists = F.inline(F.array(F.struct("seq", "full", "head_terms")))
-    features = features.select(*(c for c in features.columns if c not in ("seq", "full", "head_terms")), lists)
-    said = {"said": F.array_join("seq", " "), "said_full": F.array_join("full", " "), "keys": passage_keys()}
-    return Index(saved_by(features.withColumns(said).drop("seq", "full"), "passages", "row", codec="lz4"))
+    rows = spread(passages).withColumn("row", F.monotonically_increasing_id())
+    text, headed = F.coalesce("text", F.lit("")), "heading" in passages.columns
+    head = F.coalesce("heading", F.lit("")) if headed else F.lit("")
+    rows = rows.select("doc_id", "row", (F.trim(F.concat_ws(" ", head, text)) if headed else text).alias("_text"), *([text.alias("_own"), head.alias("_head")] if headed else []))
+    # Texts are cut into terms whole batches at a time: as expressions that took most of the time of a search.
+    rows = rows.select("*", listed(F.lower("_text")).alias("_l"), *([listed(F.lower("_own")).alias("_o"), listed(F.lower("_head")).alias("_h")] if headed else []))
+    none = F.array().cast("array<string>")
+    heads = F.when(F.col("_h.said") == "", none).otherwise(F.array_distinct(F.split("_h.said", " "))) if headed else none
+    lists = flagged(rows.select("doc_id", "row", "_text", "_l.*", (F.col("_o.meta") if headed else F.col("_l.meta")).alias("text_meta"), heads.alias("head_terms")))
+    marked = F.transform("head_terms", lambda t: F.concat(F.lit(MARK["nh"]), t))
+    kept = lists.select("doc_id", "row", "dn", "meta", "text_meta", *FLAGS, "head_terms", "said", "said_full", F.concat("keys", marked).alias("keys") if headed else F.col("keys"))
+    return Index(saved_by(kept, "passages", "row", codec="lz4"))
 
 
 #: What a question and a passage may share, by kind: terms, anchors, constraints and pairs in its content, subjects among all its terms, terms in its heading.
@@ -55,12 +61,6 @@ def question_keys(q: DataFrame) -> DataFrame:
     return each.groupBy("item_id", "e.key").agg(*(F.max((F.col("e.kind") == k).cast("int")).alias(k) for k in SETS))
 
 
-def passage_keys() -> Column:
-    """The different keys of a passage, but for those that only questions for a nickname have."""
-    heads = F.transform("head_terms", lambda t: F.concat(F.lit(MARK["nh"]), t))
-    return F.concat(F.array_distinct("seq"), tx.pairs(F.col("seq")), heads)
-
-
 def every_key() -> Column:
     return F.concat("keys", F.transform(F.array_distinct(F.split("said_full", " ")), lambda t: F.concat(F.lit(MARK["ns"]), t)))
 
@@ -79,13 +79,12 @@ def lexical(questions: DataFrame, passages: Index, k: int = 5) -> DataFrame:
     # Whether a term of the question follows itself: such a pair isn't counted, so a run may be long without one.
     twice = F.exists(tx.pairs(F.col("q_seq")), lambda p: F.substring_index(p, " ", 1) == F.substring_index(p, " ", -1)).cast("int")
     sizes = few(q.select("item_id", *QUESTION, F.size("q_seq").alias("length"), F.size("q_subjects").alias("named"), twice.alias("twice")))
-    flags = ["date", "temporal", "year", "month", "alias_text"]
-    bits = sum((F.shiftleft(c, i) for i, c in enumerate(flags)), F.lit(0)).alias("flags")
+    bits = sum((F.shiftleft(c, i) for i, c in enumerate(FLAGS)), F.lit(0)).alias("flags")
 
     def counted() -> DataFrame:
         each = found.select("row", "dn", "meta", bits, F.explode(every_key() if named else F.col("keys")).alias("key")).join(keys, "key")
         shared = each.groupBy("row", "item_id").agg(*(F.sum(c).alias(c) for c in SETS), *(F.max(c).alias(c) for c in ("dn", "meta", "flags")))
-        own = {c: F.shiftright("flags", i).bitwiseAND(F.lit(1)) for i, c in enumerate(flags)}
+        own = {c: F.shiftright("flags", i).bitwiseAND(F.lit(1)) for i, c in enumerate(FLAGS)}
         both = shared.filter("n > 0").withColumns(own).join(sizes, "item_id").withColumns({"alias": F.expr("CASE WHEN alias_text = 1 AND (named = 0 OR ns > 0) THEN 1 ELSE 0 END"), "head": (F.col("nh") > 0).cast("int")})
         # All but the first and the last term of a run, or of the question, stand as they are in what has it.
         low = both.withColumns({"run": F.lit(0), "phrase": F.lit(0)}).withColumn("low", F.expr(scores.LEXICAL))

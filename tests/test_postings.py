@@ -38,3 +38,22 @@ def test_no_exchange_of_counts_and_no_python(spark, tables):
     plan = counts._jdf.queryExecution().executedPlan().toString()
     over = plan.split("HashAggregate")[1:3]
     assert len(over) == 2 and "Exchange" not in over[0] and "Bucketed: true" in plan and "Python" not in plan
+
+
+def test_lists_of_batches_are_those_of_expressions(spark, tables):
+    from pyspark.sql import functions as F
+
+    _, passages = tables
+    odd = passages.filter("doc_id <> 5").unionByName(spark.createDataFrame([(400, "Ünïcode ISBN 123 printed;;\x03the ok", "The ISBN"), (401, "a b c the", "of"), (402, "\n\t ", None)], passages.schema))
+    was = {r.doc_id: r for r in retrieval.passage_features(odd).collect()}
+    own = postings.index(odd).features
+    assert own.filter("doc_id = 400").count() == 1 and len(was) == own.count()
+    for r in own.select("*", F.size("keys").alias("n_keys")).collect():
+        w = was[r.doc_id]
+        pairs = [f"{a} {b}" for a, b in zip(w.seq, w.seq[1:], strict=False)]
+        heads = ["\x02" + t for t in w.head_terms]
+        assert (r.said, r.said_full, r.dn, r.meta, r.text_meta, r.head_terms) == (" ".join(w.seq), " ".join(w.full), w.dn, w.meta, w.text_meta, w.head_terms)
+        assert sorted(r["keys"]) == sorted([*({*w.seq} | {*pairs}), *heads])
+        assert all(r[c] == w[c] for c in retrieval.FLAGS)
+    empty = postings.index(odd.limit(0)).features
+    assert empty.count() == 0
