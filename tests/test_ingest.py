@@ -153,3 +153,15 @@ def test_once(spark, tmp_path):
     q = ingest.once(stream, "sha256", "at").writeStream.format("memory").queryName("once_rows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.sha256 for r in spark.table("once_rows").collect()) == ["a", "b"]
+
+
+def test_block_is_what_stands_between_its_offsets(spark):
+    text = "One  \n\n\t Two words\x0b \n\nthree  \u0085\n\n \n\nFour"
+    rows = chunks.blocks(pages(spark, text), ["document_id"], "normalized_text").orderBy("block").collect()
+    assert [r.text for r in rows] == [text[r.start : r.end] for r in rows] == ["One  ", "Two words", "three  \u0085", "Four"]
+
+
+def test_heading_of_few_words(spark):
+    texts = ["Of Ships", " Of Ships \n", "A " * 12, "A " * 13, "word " * 5000 + "End", "", " ", "The End.", "of ships", "12 Ships at sea", "A B", "\tA B"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", chunks.is_heading(F.col("t")).alias("h")).orderBy("i").collect()
+    assert [r.h for r in got] == [True, True, True, False, False, False, False, False, False, False, True, True]
