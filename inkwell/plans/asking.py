@@ -16,10 +16,10 @@ from ..functions import sentences as st
 from ..functions import text as tx
 from ..functions.dialect import SPARK, prompt_measures
 from ..operators import answers, chunks, retrieval, scores
-from ..sources.scratch import saved, tidied
+from ..sources.scratch import saved, spread, tidied
 from . import verdicts
 from .citations import excerpts, merged, ranked, supported, worded
-from .evidence import USEFUL, WEAK, Given, chosen, exprs, measured, prompts, rated
+from .evidence import USEFUL, WEAK, Given, asked_features, chosen, exprs, facets, measured, prompts, rated
 from .registry import QUERIES
 from .replies import replied
 
@@ -52,22 +52,25 @@ def expand(questions: DataFrame, hits: DataFrame, parts: DataFrame) -> DataFrame
     """hits, and the passages on their pages that help: with the scores of the first hit they stand beside, and 0.04 less.
 
     Pages are joined one by one, so what is read of a document follows its hits. A hit of several pages brings none, unless an exact figure is asked for."""
-    asked = questions.select("item_id", F.col("text").alias("q_text")).select("item_id", *exprs(prompt_measures(SPARK))).select("item_id", "q_exact")
+    questions = questions if "q_exact" in questions.columns else asked_features(questions)
+    asked = questions.select("item_id", "q_exact")
     pages = lambda df: df.withColumn("page", F.explode(F.sequence("page_start", "page_end")))
     own = hits.join(asked, "item_id").filter((F.col("page_start") == F.col("page_end")) | (F.col("q_exact") == 1))
     own = pages(own).select("item_id", "document_id", "page", F.struct("rank", "score", "dense_score", "lexical_score", "hybrid", "rerank").alias("parent"))
     there = parts.join(retrieval.small_side(own.select("document_id").distinct(), 64), "document_id", "left_semi")
     beside = pages(there).join(own, ["document_id", "page"]).groupBy("item_id", "doc_id").agg(F.min("parent").alias("parent"))
     beside = saved(beside.join(hits.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti"), "beside")
+    order = Window.partitionBy("item_id").orderBy("from_hit", "by", "page_start", "page_end", "chunk_index")
+    every = hits.withColumns({"from_hit": F.lit(0), "by": F.col("rank")})
+    kept = ["item_id", "doc_id", "document_id", "chunk_index", "page_start", "page_end", "text", "token_estimate", "dense_score", "lexical_score", "hybrid", "rerank", "score"]
+    placed = lambda rows: rows.withColumn("place", F.row_number().over(order)).select(*kept, "place", (F.col("from_hit") == 0).alias("hit"))
+    if beside.isEmpty():
+        return placed(every)
     texts = there.join(retrieval.small_side(beside.select("doc_id").distinct(), 64), "doc_id", "left_semi")
     pairs = beside.join(texts, "doc_id").withColumn("t_text", F.col("text"))
-    alone = texts.select("doc_id", "text")
-    useful = measured(retrieval.scored(retrieval.pair_features(pairs.select("item_id", "doc_id", "t_text"), questions, alone))).filter(F.expr(USEFUL)).select("item_id", "doc_id")
+    useful = measured(retrieval.scored(retrieval.text_pairs(pairs.select("item_id", "doc_id", "t_text"), questions, asked_only=True))).filter(F.expr(USEFUL)).select("item_id", "doc_id")
     more = pairs.join(useful, ["item_id", "doc_id"]).withColumns({"score": F.greatest(F.col("parent.score") - 0.04, F.lit(0.0)), **{c: F.col(f"parent.{c}") for c in ("dense_score", "lexical_score", "hybrid", "rerank")}})
-    order = Window.partitionBy("item_id").orderBy("from_hit", "by", "page_start", "page_end", "chunk_index")
-    every = hits.withColumns({"from_hit": F.lit(0), "by": F.col("rank")}).unionByName(more.withColumns({"from_hit": F.lit(1), "by": F.col("parent.rank")}), allowMissingColumns=True)
-    kept = ["item_id", "doc_id", "document_id", "chunk_index", "page_start", "page_end", "text", "token_estimate", "dense_score", "lexical_score", "hybrid", "rerank", "score"]
-    return every.withColumn("place", F.row_number().over(order)).select(*kept, "place", (F.col("from_hit") == 0).alias("hit"))
+    return placed(every.unionByName(more.withColumns({"from_hit": F.lit(1), "by": F.col("parent.rank")}), allowMissingColumns=True))
 
 
 def given(rows: DataFrame, text: str = "text") -> Given:
@@ -178,8 +181,10 @@ def ask(questions: DataFrame, parts: DataFrame, k: int = 5, settings: Settings =
     citations and claims. outcome tells the stage that decided: route, answer or gate (refused), accepted, repaired."""
     p = saved(passages(parts), "passages")
     plain = questions.select("item_id", tx.collapse(F.coalesce("text", F.lit(""))).alias("text"), *(["document_id"] if "document_id" in questions.columns else []))
-    plain = saved(plain, "asked")
-    asked = Given(plain.select("item_id", "text"))
+    plain = saved(plain.join(asked_features(spread(plain)), "item_id"), "asked")
+    asked = Given(plain.select("item_id", "text"), plain.drop("text", "document_id"))
+    parts_of = saved(retrieval.packed(facets(Given(spread(asked.rows)))).select("*", *exprs(prompt_measures(SPARK))), "facets")
+    asked = Given(asked.rows, asked.features, parts_of)
     reply = retrieval.named(ANSWERERS, settings.answer_provider)
     found = retrieval.search(plain, p, k, settings).select("item_id", "doc_id", "rank", "dense_score", "lexical_score", "hybrid", "rerank", "score")
     hits = saved(found.join(p, "doc_id"), "hits")
@@ -191,7 +196,7 @@ def ask(questions: DataFrame, parts: DataFrame, k: int = 5, settings: Settings =
 
     facts = rated(asked, assembled).select(F.col("question").alias("item_id"), F.expr(WEAK).alias("weak"))
     routed = saved(plain.select("item_id", "text").join(facts, "item_id", "left").select("item_id", "text", F.when(F.coalesce("weak", F.lit(True)), "unsupported").otherwise("extractive").alias("route")), "routed")
-    open_ = Given(routed.filter("route = 'extractive'").select("item_id", "text"))
+    open_ = asked.only(routed.filter("route = 'extractive'"))
     mine = Given(every.rows.join(open_.rows.select("item_id"), "item_id", "left_semi"))
     told = saved(reply(open_, mine).select(F.col("question").alias("item_id"), "answer", "main"), "told")
     claims = saved(units(told), "units")

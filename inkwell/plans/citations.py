@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions.dialect import CAUSES, DUCK
 from ..operators import answers, evidence, retrieval, scores
 from ..sources.scratch import saved
-from .evidence import FACET_TABLE, SPANS, contexts, facets, measured, measured_sql, placed, prompts, spans
+from .evidence import FACET_TABLE, SPANS, contexts, facets, features, measured, measured_sql, placed, spans
 from .registry import query
 
 NC, NA, N = (scores.share(a, b) for a, b in (("nc", "qc"), ("na", "qa"), ("n", "qn")))
@@ -74,14 +74,14 @@ def worded(said: DataFrame) -> DataFrame:
 
 
 def met(df: DataFrame) -> DataFrame:
-    phrase = (F.col("a_full") != "") & F.contains(F.array_join("full", " "), F.col("a_full"))
+    phrase = (F.col("a_full") != "") & F.contains("said_full", F.col("a_full"))
     return df.withColumns({"u_n": F.size(F.array_intersect("seq", "a_terms")), "u_phrase": phrase.cast("int")})
 
 
 def judged(b: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (item_id, doc_id, text, ...) measured against their question and their claim."""
     pairs = rows.withColumnRenamed("text", "t_text")
-    return met(measured(retrieval.scored(retrieval.pair_features(pairs, prompts(b), rows.select("doc_id", "text")))))
+    return met(measured(retrieval.scored(retrieval.text_pairs(pairs, features(b), asked_only=True))))
 
 
 def nine(e: str) -> Column:
@@ -96,10 +96,12 @@ def excerpts(b: DataFrame, c: DataFrame, own: DataFrame | None = None) -> DataFr
     claim, cut to the clause that does (with a neighbour where a cause is asked for or given, or a short lead); the whole
     context if it says nothing of it. own: the claims, if they are others than claims() makes."""
     own = claims(b, c) if own is None else own
-    each = met(spans(b, c).filter("ctx > 0").join(own, "item_id"))
+    # Claims go with the contexts, so of spans no more than the best are exchanged; what else a claim has comes after.
+    said = own.groupBy("item_id").agg(F.collect_list(F.struct("unit", "a_terms", "a_full")).alias("said"))
+    each = met(spans(b, c, said).filter("ctx > 0").select("*", F.inline("said")))
     key = F.struct(F.col("u_n"), nine(NC), nine(NA), nine(f"{N} + {evidence.TYPE_BONUS} + {evidence.ALIGNED}"), F.col("u_phrase"), -F.col("dn"), -F.col("doc_id"))
-    kept = F.struct("t_text", "u_n", "u_phrase", "ctx", "q_text", *CLAIM[1:])
-    best = saved(each.groupBy("unit", "item_id", "context_id").agg(F.max_by(kept, key).alias("x")).select("unit", "item_id", "context_id", "x.*"), "best")
+    best = each.groupBy("unit", "item_id", "context_id").agg(F.max_by(F.struct("t_text", "u_n", "u_phrase", "ctx"), key).alias("x")).select("unit", "item_id", "context_id", "x.*")
+    best = saved(best.join(own.drop("item_id"), "unit").join(features(b).select("item_id", "q_text"), "item_id"), "best")
 
     parts = best.filter("u_n > 0 and u_phrase = 0").select(*CLAIM, "item_id", "context_id", st.clauses(F.col("t_text")).alias("l")).filter(F.size("l") > 1)
     parts = parts.select(*CLAIM, "item_id", "context_id", F.posexplode("l").alias("i", "text")).withColumn("doc_id", F.concat_ws("-", F.col("unit").cast("string"), F.col("context_id").cast("string"), F.col("i").cast("string")))

@@ -11,7 +11,7 @@ from ..functions import sql
 from ..functions.dialect import DUCK
 from ..operators import answers, evidence, retrieval
 from ..sources.scratch import saved
-from .evidence import FACET_TABLE, SPANS, facets, measured, measured_sql, spans, turns
+from .evidence import FACET_TABLE, SPANS, asked_features, facets, measured, measured_sql, spans, turns
 from .registry import query
 
 RANK = "row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n DESC, dn, turn, doc_id) AS rank"
@@ -45,10 +45,10 @@ def candidates(b: DataFrame, c: DataFrame) -> DataFrame:
 
 def facet_pairs(b: DataFrame, some: DataFrame) -> DataFrame:
     """Measured pairs of the facets of each question with some of its candidates."""
-    parts = saved(facets(b).select("item_id", "question", "no", F.col("q_text").alias("text")), "facets")
-    pairs = saved(some.join(parts.select("item_id", "question", "no"), "question"), "pairs")
-    texts = some.select("doc_id", F.col("t_text").alias("text")).dropDuplicates(["doc_id"])
-    return measured(retrieval.scored(retrieval.pair_features(pairs, parts.select("item_id", "text"), texts)))
+    parts = facets(b)
+    own = parts.drop("question", "no") if "q_pack" in parts.columns else asked_features(parts.select("item_id", F.col("q_text").alias("text")))
+    pairs = some.join(parts.select("item_id", "question", "no"), "question")
+    return measured(retrieval.scored(retrieval.text_pairs(pairs, own, asked_only=True)))
 
 
 def picks(b: DataFrame, cand: DataFrame) -> DataFrame:
